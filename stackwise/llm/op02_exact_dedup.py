@@ -83,7 +83,9 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256"
     )
     maybe = flagged.filter("_maybe")
-    grouped = maybe.join(_groups(maybe, "doc_id"), F.col("text_sha256") == F.col("_sha")).select(
+    # Written first: joined straight from files, the rows of one text can be split over tasks.
+    groups = scratch.table(_groups(maybe, "doc_id"))
+    grouped = maybe.join(groups, F.col("text_sha256") == F.col("_sha")).select(
         "doc_id", "keep_id", "group_size", "text_sha256"
     )
     out = alone.unionByName(grouped)
