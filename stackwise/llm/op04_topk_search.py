@@ -88,7 +88,8 @@ def topk(base: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
                 earlier = earlier & ((apart[i] > radius) if i < j else (apart[i] >= radius))
             first = first | ((F.col("j") == j) & earlier)
         distance = F.bit_count(F.col("q").bitwiseXOR(F.col("code")))
-        met = probes.join(
+        # Exploded probes are larger than any estimate of them: a sort-merge join, which neither side must fit for.
+        met = probes.hint("merge").join(
             side, (F.col("j") == F.col("pj")) & (F.col("v") == F.col("pv")) & first & (distance <= F.col("bound"))
         ).select("q", "code", "first_id", "held", distance.cast("int").alias("distance"))
         best = scratch.table(_best(met if best is None else best.unionByName(met), k))
