@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import LOWER, SPACE, PolyHash, chunks, mix, read_table, utf8
 
@@ -201,7 +202,7 @@ def score(docs: DataFrame, model: OrdinalModel | None, id_col: str = "doc_id", t
             expected, top = model.predict(features(*utf8(batch.column(at)), hasher))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(expected), pa.array(top), pa.array(top >= KEEP_AT)], names)
 
-    schema = docs.schema
+    schema = T.StructType(list(docs.schema.fields))
     for name, kind in added.items():
         schema = schema.add(name, kind)
     return docs.mapInArrow(run, schema)
