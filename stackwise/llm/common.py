@@ -6,6 +6,7 @@ see.  They cut lineage without tying data to an executor: a lost executor only c
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -47,6 +48,11 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def release(self) -> None:
+        """Let Spark remove the shuffle files of finished jobs now: they'd else stay until the driver's next collection."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that no later plan reads."""
         for df in tables:

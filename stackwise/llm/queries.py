@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import op01_minhash_dedup as op01
 from . import op02_exact_dedup as op02
+from . import op03_packing as op03
 from . import op04_topk_search as op04
 from . import op05_sharding as op05
 from . import op06_token_counts as op06
@@ -16,6 +17,7 @@ def queries() -> dict:
     return {
         "op1_minhash_dedup": op01.op1_minhash_dedup,
         "op2_exact_dedup": op02.op2_exact_dedup,
+        "op3_packing": op03.op3_packing,
         "op4_topk_search": op04.op4_topk_search,
         "op5_sharding": op05.op5_sharding,
         "op6_token_counts": op06.op6_token_counts,
