@@ -28,7 +28,7 @@ LANG_WEIGHTS = {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}
 OTHER_WEIGHT = 0.1
 SHARE, MAX_EPOCHS, SEED = 0.8, 2, 17
 #: Rows that one bucket of a leaf should hold, and leaves or cells up to which a small table is broadcast.
-BUCKET_ROWS, SMALL_ROWS = 20_000, 100_000
+BUCKET_ROWS, SMALL_ROWS = 2_000, 100_000
 LEVELS = ("domain", "lang", "source")
 
 
@@ -38,6 +38,10 @@ def domain_of(source: Column) -> Column:
     return F.when(number != "", F.concat(F.lit("d"), (F.substr(number, F.lit(-9)).try_cast("long") % 4).cast("string"))).otherwise("other")
 
 
+def token_count(text_col: str = "text") -> Column:
+    return (F.regexp_count(text_or_empty(text_col), F.lit(r"[^\x20\x09-\x0D]+")) + 1).cast("long")
+
+
 def _weight(column: str, weights: dict[str, float]) -> Column:
     out = F.lit(OTHER_WEIGHT)
     for name, weight in weights.items():
@@ -82,45 +86,80 @@ def leaf_targets(leaves: DataFrame, share: float, max_epochs: int) -> DataFrame:
     )
 
 
-def mix(
-    docs: DataFrame, share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: int = SEED, id_col: str = "doc_id"
-) -> DataFrame:
-    """One row per selected document and epoch: ``doc_id, domain, lang, source, tokens, epoch``."""
-    scratch = Scratch(docs.sparkSession, "mix")
+def _key(seed: int, id_col: str) -> Column:
+    """The place of a document in the last epoch of its leaf."""
+    name = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
+    return F.sha2(F.concat_ws(":", F.lit(str(seed)), (F.col("_full") + 1).cast("string"), name), 256)
+
+
+def _placed(docs: DataFrame) -> DataFrame:
+    """``docs`` with its leaf: ``_domain, _lang, _source``."""
     source = F.coalesce(F.col("source"), F.lit("unknown"))
+    return docs.withColumns({"_domain": domain_of(source), "_lang": F.coalesce(F.col("lang"), F.lit("unknown")), "_source": source})
+
+
+def leaf_cuts(docs: DataFrame, share: float, max_epochs: int, seed: int, id_col: str, scratch: Scratch) -> tuple[DataFrame, int]:
+    """``_domain, _lang, _source, _full, _cut`` and the number of leaves.
+
+    A document is in the epochs 1 to ``_full`` of its leaf, and in one more if its key there is at most ``_cut``.
+    """
     base = scratch.table(
-        docs.select(
+        _placed(docs).select(
             F.col(id_col).alias("doc_id"),
-            domain_of(source).alias("domain"),
-            F.coalesce(F.col("lang"), F.lit("unknown")).alias("lang"),
-            source.alias("source"),
-            (F.regexp_count(text_or_empty(), F.lit(r"[^\x20\x09-\x0D]+")) + 1).cast("long").alias("tokens"),
+            *[F.col(f"_{level}").alias(level) for level in LEVELS],
+            token_count().alias("tokens"),
         )
     )
     leaves = base.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows"))
     leaves = scratch.table(leaves)
-    shape = leaves.agg(F.count(F.lit(1)), F.max("rows")).first()
+    n_leaves, most = leaves.agg(F.count(F.lit(1)), F.max("rows")).first()
     digits = 0
-    while (shape[1] or 0) / 16**digits > BUCKET_ROWS:
+    while (most or 0) / 16**digits > BUCKET_ROWS:
         digits += 1
     targets = scratch.table(leaf_targets(leaves.drop("rows"), share, max_epochs))
-    rows = base.join(checked_broadcast(targets, shape[0], SMALL_ROWS), list(LEVELS))
-    out = [*("doc_id", *LEVELS, "tokens"), "epoch"]
-    whole = rows.filter("full > 0").withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("full").cast("int"))))
-    name = F.concat_ws(
-        ":", F.lit(str(seed)), (F.col("full") + 1).cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    )
-    part = rows.filter("rest > 0").withColumn("key", F.sha2(name, 256)).withColumn("epoch", (F.col("full") + 1).cast("int"))
+    part = base.join(checked_broadcast(targets, n_leaves, SMALL_ROWS), list(LEVELS)).filter("rest > 0")
+    part = part.withColumnRenamed("full", "_full").withColumn("key", _key(seed, "doc_id"))
     part = part.withColumn("bucket", F.substring("key", 1, digits))
     cells = part.groupBy(*LEVELS, "bucket").agg(F.sum("tokens").alias("held"))
     below = W.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    cells = scratch.table(cells.withColumn("before", F.coalesce(F.sum("held").over(below), F.lit(0))))
-    part = part.join(checked_broadcast(cells, shape[0] * 16**digits, SMALL_ROWS), [*LEVELS, "bucket"])
-    inside = part.filter("before + held <= rest")
-    edge = part.filter("before < rest AND before + held > rest")
-    order = W.partitionBy(*LEVELS, "bucket").orderBy("key", "doc_id", "tokens").rowsBetween(W.unboundedPreceding, 0)
-    edge = edge.withColumn("upto", F.col("before") + F.sum("tokens").over(order)).filter("upto <= rest")
-    return whole.select(*out).unionByName(inside.select(*out)).unionByName(edge.select(*out))
+    cells = cells.withColumn("before", F.coalesce(F.sum("held").over(below), F.lit(0)))
+    cells = cells.join(targets.select(*LEVELS, "rest"), list(LEVELS))
+    edges = scratch.table(cells.filter("before <= rest AND before + held > rest").select(*LEVELS, "bucket", "before"))  # one per leaf
+    edge = part.join(checked_broadcast(edges, n_leaves, SMALL_ROWS), [*LEVELS, "bucket"])
+    # Equal keys are rows of one id: they are in or out together.
+    order = W.partitionBy(*LEVELS, "bucket").orderBy("key").rangeBetween(W.unboundedPreceding, 0)
+    upto = F.col("before") + F.sum("tokens").over(order)
+    last = edge.withColumn("upto", upto).filter("upto <= rest").groupBy(*LEVELS).agg(F.max("key").alias("last"))
+    # Where no document of the edge bucket fits, the bucket's prefix is the cut: it is below all keys in the bucket.
+    cuts = targets.join(edges, list(LEVELS), "left").join(last, list(LEVELS), "left")
+    cuts = cuts.select(*[F.col(level).alias(f"_{level}") for level in LEVELS], F.col("full").alias("_full"), F.coalesce("last", "bucket").alias("_cut"))
+    return scratch.table(cuts), n_leaves
+
+
+def select_epochs(
+    docs: DataFrame, share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: int = SEED, id_col: str = "doc_id"
+) -> DataFrame:
+    """The selected rows of ``docs``, all columns as they were, with ``epoch``: one row for each epoch it is in.
+
+    Texts don't shuffle: a row's fate follows from its leaf and its own key.
+    """
+    cuts, n_leaves = leaf_cuts(docs, share, max_epochs, seed, id_col, Scratch(docs.sparkSession, "mix"))
+    names = [f"_{level}" for level in LEVELS]
+    rows = _placed(docs).join(checked_broadcast(cuts, n_leaves, SMALL_ROWS), names)
+    whole = F.when(F.col("_full") > 0, F.sequence(F.lit(1), F.col("_full").cast("int"))).otherwise(F.array().cast("array<int>"))
+    more = F.when(_key(seed, id_col) <= F.col("_cut"), F.array((F.col("_full") + 1).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return rows.withColumn("epoch", F.explode(F.concat(whole, more))).select(*docs.columns, "epoch")
+
+
+def mix(docs: DataFrame, **parameters) -> DataFrame:
+    """One row per selected document and epoch: ``doc_id, domain, lang, source, tokens, epoch``."""
+    chosen = _placed(select_epochs(docs, **parameters))
+    return chosen.select(
+        F.col(parameters.get("id_col", "doc_id")).alias("doc_id"),
+        *[F.col(f"_{level}").alias(level) for level in LEVELS],
+        token_count().alias("tokens"),
+        "epoch",
+    )
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,7 +198,7 @@ WITH base AS (SELECT doc_id, lang0 AS lang, source0 AS source, tokens,
 , goal AS (SELECT l.*, floor(budget + 1e-6)::BIGINT AS target FROM leaves l JOIN {above} USING ({by}))
 , aim AS (SELECT {by}, target // tokens AS full_epochs, target % tokens AS rest FROM goal)
 , d AS (SELECT base.*, full_epochs, rest, sha256('{seed}:' || (full_epochs + 1) || ':' || coalesce(doc_id::VARCHAR, 'null')) AS key FROM base JOIN aim USING ({by}))
-, c AS (SELECT *, sum(tokens) OVER (PARTITION BY {by} ORDER BY key, doc_id, tokens ROWS UNBOUNDED PRECEDING) AS upto FROM d)
+, c AS (SELECT *, sum(tokens) OVER (PARTITION BY {by} ORDER BY key RANGE UNBOUNDED PRECEDING) AS upto FROM d)
 SELECT doc_id, {by}, tokens, unnest(range(1, full_epochs + 1))::INT AS epoch FROM d
 UNION ALL SELECT doc_id, {by}, tokens, (full_epochs + 1)::INT AS epoch FROM c WHERE upto <= rest
 """
