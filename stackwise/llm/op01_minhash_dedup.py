@@ -6,10 +6,13 @@
    three quarters of their sketches and at least ``SHARED`` of it but for a six-sigma event.  A node therefore only
    posts its rarest values, as many as must contain a shared one (prefix filtering): passages that many documents
    have are the most frequent values and are not posted by documents that hold much else.
-3. *Overlaps.*  Rounds: in each list one pivot is paired with all nodes of other components, never all with all.
-   Lists of up to ``SHORT`` nodes pair everything that is still apart.  A list whose nodes are all connected, or whose
-   nodes all were pivots, is done.  What is left after ``ROUNDS`` rounds is compared exactly, in blocks: only pairs
-   that pass the sketch filter leave the kernel.
+3. *Overlaps.*  Lists of up to ``SHORT`` nodes pair all that is still apart.  In a longer list one pivot, the node whose
+   values are the most frequent, meets the others on the full sets.  A node that is not linked with the pivot and has
+   ``a`` of its shingles can only be linked with a node of ``n`` shingles if they also share one that the pivot has not,
+   unless ``7 a >= 3 (own + n)``.  So the few pairs of the second kind are taken at once, and the list is replaced by
+   lists of the shingles that the pivot has not: a star of copies or a passage in very many documents falls apart
+   after one pivot, without pairing all with all.  Lists whose nodes are all connected are done.  What is left after
+   ``ROUNDS`` rounds is compared exactly, in blocks: only pairs that pass the sketch filter leave the kernel.
 4. *Filter and verify.*  The union sketch of a pair (the smallest values of both sketches) estimates its Jaccard; six
    sigma below the threshold are let through.  The rest is verified on the full sets.
 5. *Components* by alternating large-star and small-star joins over the verified links.
@@ -38,7 +41,7 @@ PERCENT = 75
 SKETCH = 64
 #: Part of a sketch that linked sets share at least: 0.75 less six sigma of 64 draws.
 SHARED = 0.42
-SHORT, ROUNDS, BLOCK = 8, 4, 256
+SHORT, ROUNDS, BLOCK = 8, 6, 256
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, hasher: PolyHash) -> Iterator[np.ndarray]:
@@ -160,30 +163,34 @@ def _filtered(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return met.filter(_passes(F.col("su"), F.col("sw"), F.col("nu"), F.col("nw"))).select("u", "w")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose full sets reach the threshold."""
+def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``u, w, nu, nw, shared`` on the full sets of the pairs."""
     u = sets.select(F.col("node").alias("u"), F.col("full").alias("fu"))
     w = sets.select(F.col("node").alias("w"), F.col("full").alias("fw"))
-    shared = F.size(F.array_intersect("fu", "fw"))
-    return (
-        pairs.join(u, "u").join(w, "w")
-        .withColumn("shared", shared)
-        .filter(100 * F.col("shared") >= PERCENT * (F.size("fu") + F.size("fw") - F.col("shared")))
-        .select("u", "w")
+    return pairs.join(u, "u").join(w, "w").select(
+        "u", "w", F.size("fu").cast("long").alias("nu"), F.size("fw").cast("long").alias("nw"), F.size(F.array_intersect("fu", "fw")).cast("long").alias("shared")
     )
 
 
+LINKED = f"100 * shared >= {PERCENT} * (nu + nw - shared)"
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose full sets reach the threshold."""
+    return _overlaps(pairs, sets).filter(LINKED).select("u", "w")
+
+
 def _rest(members: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """All pairs within the lists (v, node, label) that are still apart, exactly, block against block."""
-    order = W.partitionBy("v").orderBy("node")
+    """All pairs within the lists (o, v, node, label) that are still apart, exactly, block against block."""
+    order = W.partitionBy("o", "v").orderBy("node")
     numbered = members.join(nodes.select("node", "sketch", "n_shingles"), "node")
     numbered = numbered.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK))
     blocks = scratch.table(
-        numbered.groupBy("v", "block").agg(F.collect_list(F.struct("node", "label", "n_shingles", "sketch")).alias("held"))
+        numbered.groupBy("o", "v", "block").agg(F.collect_list(F.struct("node", "label", "n_shingles", "sketch")).alias("held"))
     )
-    left = blocks.select("v", F.col("block").alias("i"), F.col("held").alias("x"))
-    right = blocks.select(F.col("v").alias("v2"), F.col("block").alias("j"), F.col("held").alias("y"))
-    pairs = left.join(right, (F.col("v") == F.col("v2")) & (F.col("i") <= F.col("j"))).select("x", "y")
+    left = blocks.select("o", "v", F.col("block").alias("i"), F.col("held").alias("x"))
+    right = blocks.select(F.col("o").alias("o2"), F.col("v").alias("v2"), F.col("block").alias("j"), F.col("held").alias("y"))
+    pairs = left.join(right, (F.col("o") == F.col("o2")) & (F.col("v") == F.col("v2")) & (F.col("i") <= F.col("j"))).select("x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,6 +212,15 @@ def _rest(members: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
     return pairs.mapInArrow(run, "u long, w long").distinct()
 
 
+def _relabelled(info: DataFrame, links: list[DataFrame], scratch: Scratch) -> DataFrame:
+    """``node, label``: the component of each node after all links so far."""
+    every = links[0]
+    for x in links[1:]:
+        every = every.unionByName(x)
+    joined = connected_components(every, scratch).withColumnRenamed("node", "x")
+    return scratch.table(info.join(joined, F.col("node") == F.col("x"), "left").select("node", F.coalesce("component", "node").alias("label")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, kept``."""
     scratch = Scratch(docs.sparkSession, "near")
@@ -229,43 +245,58 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = lists.select("node").distinct()
     sets = scratch.table(full_sets(docs.join(wanted, F.col("doc_id") == F.col("node"), "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"])))
 
-    labels = wanted.withColumn("label", F.col("node"))
-    links: DataFrame | None = None
-    open_ = lists
+    weight = posted.join(common, "v").groupBy("node").agg(F.sum("count").alias("weight"))
+    info = scratch.table(lists.select("node").distinct().join(weight, "node").join(nodes.select("node", "n_shingles"), "node"))
+    labels = info.select("node", F.col("node").alias("label"))
+    links: list[DataFrame] = []
+    key = ["o", "u"]
+    open_ = lists.select(F.lit(-1).cast("long").alias("o"), F.col("v").alias("u"), "node")
     for turn in range(ROUNDS + 1):
-        members = open_.join(labels, "node").select("v", "node", "label")
-        shape = members.groupBy("v").agg(
-            F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node"))["node"].alias("pivot"),
-            F.min("node").alias("least"),
-        ).filter("low <> high")
-        if turn == 0:
-            shape = shape.withColumn("pivot", F.col("least"))
-        members = scratch.table(members.join(shape.select("v", "size", "pivot"), "v"))
+        members = open_.join(labels, "node").join(info, "node")
+        shape = members.groupBy(*key).agg(
+            F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high"),
+            F.max(F.struct(F.col("weight") / F.col("n_shingles"), -F.col("node"), "node", "label")).alias("best"),
+        )
+        shape = shape.filter("low <> high").select(*key, "size", F.col("best.node").alias("pivot"), F.col("best.label").alias("pivot_label"))
+        members = scratch.table(members.join(shape, key).select(*key, "node", "label", "n_shingles", "size", "pivot", "pivot_label"))
         if members.isEmpty():
             break
-        pivots = members.filter("node = pivot").select(F.col("v").alias("v2"), F.col("label").alias("pivot_label"))
-        star = members.join(pivots, (F.col("v") == F.col("v2")) & (F.col("label") != F.col("pivot_label")))
-        pairs = star.select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("w"))
-        brief = members.filter(F.col("size") <= SHORT)
-        if turn == 1:
-            x = brief.select("v", F.col("node").alias("u"), F.col("label").alias("lu"))
-            y = brief.select(F.col("v").alias("v2"), F.col("node").alias("w"), F.col("label").alias("lw"))
-            pairs = pairs.unionByName(
-                x.join(y, (F.col("v") == F.col("v2")) & (F.col("u") < F.col("w")) & (F.col("lu") != F.col("lw"))).select("u", "w")
-            )
-        if turn < ROUNDS:
-            pairs = _filtered(pairs.distinct(), nodes)
+        if turn == ROUNDS:
+            links.append(scratch.table(_verified(_rest(members.withColumnRenamed("u", "v").select("o", "v", "node", "label"), nodes, scratch), sets)))
+            labels = _relabelled(info, links, scratch)
+            break
+        short, long_ = members.filter(F.col("size") <= SHORT), members.filter(F.col("size") > SHORT)
+        if turn == 0:  # one link each first: most of what is in a short list is connected by then
+            pairs = short.filter("label <> pivot_label").select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("w"))
+            again = short.select(*key, "node")
         else:
-            pairs = _rest(members.select("v", "node", "label"), nodes, scratch)
-        found = scratch.table(_verified(scratch.table(pairs), sets))
-        links = found if links is None else links.unionByName(found)
-        if not found.isEmpty():
-            joined = connected_components(links, scratch)
-            labels = scratch.table(
-                wanted.join(joined.withColumnRenamed("node", "x"), F.col("node") == F.col("x"), "left").select("node", F.coalesce("component", "node").alias("label"))
-            )
-        # A pivot has met all of its list; short lists have met themselves in turn 1.
-        open_ = members.filter("node <> pivot" + (f" AND size > {SHORT}" if turn >= 1 else "")).select("v", "node")
+            x = short.select(*[F.col(c).alias(f"x{c}") for c in key], F.col("node").alias("xn"), F.col("label").alias("xl"))
+            pairs = short.join(x, (F.col("o") == F.col("xo")) & (F.col("u") == F.col("xu")) & (F.col("node") < F.col("xn")) & (F.col("label") != F.col("xl")))
+            pairs = pairs.select(F.col("node").alias("u"), F.col("xn").alias("w"))
+            again = None
+        pairs = scratch.table(_filtered(pairs.distinct(), nodes))
+        star = long_.filter("label <> pivot_label").select(F.col("pivot").alias("u"), F.col("node").alias("w")).distinct()
+        star = scratch.table(_overlaps(star, sets))
+        apart = star.filter(f"NOT ({LINKED})")
+        # Pairs that the pivot's own shingles could link: both of them hold nearly all that a link needs.
+        held = long_.select("pivot", F.col("node").alias("z"), F.col("n_shingles").alias("nz")).distinct()
+        close = apart.filter("4 * shared >= 3 * nw").join(
+            held, (F.col("u") == F.col("pivot")) & (F.col("z") != F.col("w")) & (F.col("z") != F.col("u"))
+            & (7 * F.col("shared") >= 3 * (F.col("nw") + F.col("nz"))) & (4 * F.col("nz") >= 3 * F.col("nw")),
+        )
+        close = close.select(F.least("w", "z").alias("u"), F.greatest("w", "z").alias("w")).distinct()
+        links.append(scratch.table(_verified(pairs.unionByName(_filtered(close, nodes)).distinct(), sets).unionByName(star.filter(LINKED).select("u", "w"))))
+        labels = _relabelled(info, links, scratch)
+        pivots = apart.select(F.col("u").alias("o")).distinct()
+        left = held.select(F.col("pivot").alias("o"), F.col("z").alias("node")).join(pivots, "o", "left_semi").filter("o <> node")
+        own = sets.select("node", F.col("full").alias("own"))
+        theirs = sets.select(F.col("node").alias("o"), F.col("full").alias("theirs"))
+        rest = left.join(own, "node").join(theirs, "o").select("o", "node", F.explode(F.array_except("own", "theirs")).alias("u"))
+        rest = scratch.table(rest)
+        twice = rest.groupBy(*key).count().filter("count > 1").select(*key)
+        open_ = rest.join(twice, key).select(*key, "node")
+        open_ = open_ if again is None else open_.unionByName(again)
+        scratch.release()
     component = names.join(labels.select(F.col("node").alias("x"), "label"), F.col("node") == F.col("x"), "left").select(
         F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("n_shingles").alias("n2"), F.coalesce("label", "node").alias("component")
     )
