@@ -11,6 +11,11 @@ def _zero() -> Column:
     return F.lit(0.0)
 
 
+def let(value: Column, then) -> Column:
+    """``then(value)`` with ``value`` evaluated once, however often ``then`` uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def canonical_zero(value: Column) -> Column:
     """-0.0 becomes 0.0."""
     return value + F.lit(0.0)
@@ -71,4 +76,13 @@ def sorted_median(values: Column) -> Column:
 
 
 def array_median(values: Column) -> Column:
-    return sorted_median(F.array_sort(values))
+    return let(F.sort_array(values), sorted_median)
+
+
+def median_and_mad(values: Column) -> Column:
+    """``struct(median, mad)``: the exact median and the exact median of the distances from it."""
+
+    def around(s: Column, m: Column) -> Column:
+        return F.struct(m.alias("median"), array_median(F.transform(s, lambda v: F.abs(v - m))).alias("mad"))
+
+    return let(F.sort_array(values), lambda s: let(sorted_median(s), lambda m: around(s, m)))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stackwise.functions.numerics import array_median
+from stackwise.functions.numerics import array_median, median_and_mad
 from stackwise.schema import COLD, HOT, IMAGE, MISSING, count_of, eligible, require
 
 from .quality import MAD_SCALE
@@ -58,7 +58,7 @@ def around(samples: DataFrame, offsets: list[tuple[int, int]], value: str = "val
     """``values``: for each position the sorted values of its neighbours at ``offsets`` (dy, dx)."""
     at = F.array(*[F.struct((F.col("y") - dy).alias("y"), (F.col("x") - dx).alias("x")) for dy, dx in offsets])
     sent = samples.select(*IMAGE, F.explode(at).alias("at"), F.col(value).alias("v"))
-    return sent.groupBy(*IMAGE, F.col("at.y").alias("y"), F.col("at.x").alias("x")).agg(F.array_sort(F.collect_list("v")).alias("values"))
+    return sent.groupBy(*IMAGE, F.col("at.y").alias("y"), F.col("at.x").alias("x")).agg(F.sort_array(F.collect_list("v")).alias("values"))
 
 
 def square(radius: int, stride: int) -> list[tuple[int, int]]:
@@ -68,9 +68,9 @@ def square(radius: int, stride: int) -> list[tuple[int, int]]:
 
 def _decide(found: DataFrame, least: int, hot: float, cold: float, floor: float) -> DataFrame:
     """Adds ``decision`` from the sorted neighbour ``values``."""
-    found = found.withColumn("_median", array_median(F.col("values")))
-    found = found.withColumn("_sigma", array_median(F.transform("values", lambda v: F.abs(v - F.col("_median")))) * MAD_SCALE)
-    apart = F.col("value") - F.col("_median")
+    found = found.withColumn("_near", median_and_mad(F.col("values")))
+    found = found.withColumns({"_apart": F.col("value") - F.col("_near.median"), "_sigma": F.col("_near.mad") * MAD_SCALE})
+    apart = F.col("_apart")
     usable = eligible()
     decision = (
         F.when(~usable, "unavailable")
@@ -80,7 +80,7 @@ def _decide(found: DataFrame, least: int, hot: float, cold: float, floor: float)
         .when(apart < -(F.col("_sigma") * cold), "cold")
         .otherwise("clear")
     )
-    return found.withColumn("decision", decision).drop("_median", "_sigma", "values")
+    return found.withColumn("decision", decision).drop("_near", "_apart", "_sigma", "values")
 
 
 def local_decisions(samples: DataFrame, p: LocalDefects) -> DataFrame:

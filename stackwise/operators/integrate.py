@@ -90,7 +90,7 @@ def gather(samples: DataFrame, keys: tuple[str, ...] = PIXEL, by_frame: bool = F
     """Positions with their eligible samples, sorted by value (or by frame, for strict sums in canonical order)."""
     order = F.struct("frame_id", "value") if by_frame else F.struct("value", "frame_id")
     return samples.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.when(eligible(), order))).alias("samples"),
+        F.sort_array(F.collect_list(F.when(eligible(), order))).alias("samples"),
         count_of(masked()).alias("masked"),
         count_of(non_finite()).alias("non_finite"),
         or_flags().alias("seen_flags"),
@@ -132,7 +132,7 @@ def integrate_weighted_mean(samples: DataFrame, weights: DataFrame, keys: tuple[
     """
     joined = samples.join(weights.select("frame_id", "weight"), "frame_id")
     gathered = joined.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.when(eligible(), F.struct("frame_id", "value", "weight")))).alias("samples"),
+        F.sort_array(F.collect_list(F.when(eligible(), F.struct("frame_id", "value", "weight")))).alias("samples"),
         count_of(masked()).alias("masked"),
         count_of(non_finite()).alias("non_finite"),
         or_flags().alias("seen_flags"),
@@ -266,7 +266,7 @@ def rebuild(found: DataFrame, keys: tuple[str, ...] = PIXEL) -> DataFrame:
     """Value and support from dispositions: the strict mean of the accepted samples."""
     d = F.col("disposition")
     gathered = found.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.when(d == "accepted", F.col("value")))).alias("values"),
+        F.sort_array(F.collect_list(F.when(d == "accepted", F.col("value")))).alias("values"),
         *[count_of(d == name).alias(name) for name in DISPOSITIONS],
         or_flags().alias("seen_flags"),
     )

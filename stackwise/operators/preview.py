@@ -30,7 +30,7 @@ def _blocks(samples: DataFrame, level: int):
 def block_preview(samples: DataFrame, level: int) -> DataFrame:
     """Block means with valid and excluded counts and the union of flags."""
     found = _blocks(samples, level).agg(
-        F.array_sort(F.collect_list(F.when(eligible(), F.col("value")))).alias("values"),
+        F.sort_array(F.collect_list(F.when(eligible(), F.col("value")))).alias("values"),
         count_of(eligible()).alias("valid"), count_of(~eligible()).alias("excluded"), or_flags().cast("short").alias("flags"),
     )
     value = F.when(F.col("valid") > 0, neumaier_sum(F.transform("values", lambda v: v / F.col("valid"))))
@@ -39,8 +39,8 @@ def block_preview(samples: DataFrame, level: int) -> DataFrame:
 
 def bitmask_preview(samples: DataFrame, level: int, allowed: int) -> DataFrame:
     """Bitwise union of a categorical map; bits that aren't allowed make their sample invalid."""
-    bits = F.col("value").cast("long")
-    fine = eligible() & (F.col("value") == bits) & (bits.bitwiseAND(F.lit(~allowed)) == 0)
+    bits = F.col("value").try_cast("long")
+    fine = eligible() & F.coalesce(F.col("value") == bits, F.lit(False)) & F.coalesce(bits.bitwiseAND(F.lit(~allowed)) == 0, F.lit(False))
     return _blocks(samples, level).agg(F.bit_or(F.when(fine, bits)).alias("value"), count_of(fine).alias("valid"), count_of(~fine).alias("excluded"))
 
 
@@ -56,7 +56,7 @@ def display_transform(preview: DataFrame, keys: tuple[str, ...] = IMAGE) -> Data
     """
     keys = list(keys)
     good = preview.filter(F.col("value").isNotNull() & ~F.isnan("value"))
-    mid = good.groupBy(*keys).agg(F.median("value").alias("median"), F.count(F.lit(1)).alias("samples"), F.array_sort(F.collect_list("value")).alias("_v"))
+    mid = good.groupBy(*keys).agg(F.median("value").alias("median"), F.count(F.lit(1)).alias("samples"), F.sort_array(F.collect_list("value")).alias("_v"))
     mid = mid.withColumn("high_quantile", F.get("_v", F.floor((F.col("samples") - 1) * HIGH_QUANTILE).cast("int"))).drop("_v")
     mad = good.join(mid.select(*keys, "median"), keys).groupBy(*keys).agg((F.median(F.abs(F.col("value") - F.col("median"))) * MAD_SCALE).alias("scaled_mad"))
     out = mid.join(mad, keys)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from stackwise.functions.numerics import neumaier_sum
 from stackwise.schema import IMAGE, MISSING, count_of, eligible, masked, non_finite, or_flags, require
+from stackwise.scratch import cut
 
 # The ratio of sigma and median absolute deviation of a normal distribution, and FWHM over sigma.
 MAD_SCALE = 1.482602218505602
@@ -31,8 +32,8 @@ class Background:
 def estimate_background(samples: DataFrame, parameters: Background | None = None, keys: tuple[str, ...] = IMAGE) -> DataFrame:
     """Location, MAD and noise of each image by iterated median and MAD clipping.
 
-    Each pass is two exact medians per image over all images at once and one condition on the next pass: a bounded
-    number of passes in one lazy plan.  No image is gathered in one place.
+    Each pass is two exact medians per image, over all images at once; its outcome, one row per image, is cut off
+    from its plan.  Passes are bounded, and end when all images are done.
     """
     p = parameters or Background()
     base = samples.groupBy(*keys).agg(
@@ -68,6 +69,9 @@ def estimate_background(samples: DataFrame, parameters: Background | None = None
             F.when(going, F.when(stop, F.col("n")).otherwise(F.coalesce("_left", F.lit(0)))).otherwise(F.col("held")).alias("held"),
             (F.col("converged") | (going & stop)).alias("converged"),
         )
+        state = cut(state)
+        if state.filter("NOT done").isEmpty():
+            break
     final = estimates(state)
     out = base.join(state, list(keys)).join(final, list(keys), "left")
     enough = F.col("held") >= p.minimum_samples
@@ -109,7 +113,7 @@ def cfa_cell_mean(samples: DataFrame) -> DataFrame:
     """Means of 2 x 2 cells of a mosaic; one bad sample voids its cell."""
     keys = [*IMAGE, (F.floor(F.col("y") / 2)).cast("int").alias("y"), (F.floor(F.col("x") / 2)).cast("int").alias("x")]
     cells = samples.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.when(eligible(), F.col("value")))).alias("values"),
+        F.sort_array(F.collect_list(F.when(eligible(), F.col("value")))).alias("values"),
         F.count(F.lit(1)).alias("n"), or_flags().alias("seen"), count_of(non_finite()).alias("bad"),
     ).filter("n = 4")
     whole = F.size("values") == 4

@@ -37,7 +37,7 @@ def embedding_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(0).alias("plane"),
         F.floor(F.col("i") / 8).cast("int").alias("y"),
         (F.col("i") % 8).cast("int").alias("x"),
-        F.when(bad == 3, float("nan")).otherwise(F.round(F.col("v").cast("double") * 1000)).alias("value"),
+        F.when(bad == 3, float("nan")).otherwise(F.round(F.col("v").cast("double") * 1000) + 0.0).alias("value"),
         F.when(bad == 1, SATURATED).when(bad == 2, MISSING | COLD).otherwise(0).cast("short").alias("flags"),
     )
 
@@ -49,6 +49,6 @@ SELECT 0 AS stack_id, l_orderkey * 8 + l_linenumber AS frame_id, 0 AS plane, (l_
 
 EMBEDDING_SQL = f"""
 SELECT label AS stack_id, vec_id AS frame_id, 0 AS plane, (i // 8)::INT AS y, (i % 8)::INT AS x,
-  CASE WHEN (vec_id * 7 + i) % 97 = 3 THEN 'NaN'::DOUBLE ELSE round(embedding[i + 1]::DOUBLE * 1000) END AS value,
+  CASE WHEN (vec_id * 7 + i) % 97 = 3 THEN 'NaN'::DOUBLE ELSE round(embedding[i + 1]::DOUBLE * 1000) + 0.0::DOUBLE END AS value,
   CASE WHEN (vec_id * 7 + i) % 97 = 1 THEN {SATURATED} WHEN (vec_id * 7 + i) % 97 = 2 THEN {MISSING | COLD} ELSE 0 END AS flags
 FROM (SELECT vec_id, label, embedding, unnest(range(0, len(embedding))) AS i FROM embeddings)"""

@@ -7,17 +7,26 @@ from pyspark.sql import functions as F
 
 from stackwise.schema import finite, require
 
-# Cameras, keywords and names.
-CAMERAS = ("ZWO ASI2600MC Pro", "ZWO ASI533MC Pro", "ZWO ASI294MM Pro")
+# Keywords in order of preference, and closed sets of names.
 FRAME_TYPES = ("BIAS", "DARK", "FLAT", "LIGHT")
 BAYER = ("RGGB", "BGGR", "GRBG", "GBRG")
 KEYWORDS = {
-    "camera": ("INSTRUME",), "frame_type": ("IMAGETYP", "FRAME"), "exposure": ("EXPTIME", "EXPOSURE"), "sensor_temperature": ("CCD-TEMP",),
-    "set_temperature": ("SET-TEMP",), "gain": ("GAIN",), "offset": ("OFFSET",), "x_binning": ("XBINNING",), "y_binning": ("YBINNING",), "filter": ("FILTER",), "bayer": ("BAYERPAT",),
+    "camera": ("INSTRUME", "CAMERA"),
+    "frame_type": ("IMAGETYP", "FRAME", "FRAMETYP"),
+    "exposure": ("EXPTIME", "EXPOSURE"),
+    "sensor_temperature": ("CCD-TEMP", "CCD_TEMP", "SENSORT"),
+    "set_temperature": ("SET-TEMP", "SET_TEMP"),
+    "gain": ("GAIN",),
+    "offset": ("OFFSET",),
+    "x_binning": ("XBINNING",),
+    "y_binning": ("YBINNING",),
+    "filter": ("FILTER",),
+    "bayer": ("BAYERPAT", "BAYERPATN"),
 }
+ZWO, TOUPTEK = "ZWO ASI294MC Pro", "ToupTek ATR585C"
 NUMBERS = ("exposure", "sensor_temperature", "set_temperature", "gain", "offset", "x_binning", "y_binning")
 GROUP_KEY = ("frame_type", "camera", "width", "height", "exposure", "sensor_temperature", "set_temperature", "gain", "offset", "x_binning", "y_binning", "filter", "bayer")
-REQUIRED = ("frame_type", "camera", "width", "height", "exposure", "gain", "offset", "x_binning", "y_binning")
+REQUIRED = ("camera", "exposure", "sensor_temperature", "set_temperature", "gain", "offset", "x_binning", "y_binning", "filter", "bayer")
 
 
 def card_values(cards: Column, keyword: str) -> Column:
@@ -44,22 +53,25 @@ def resolve(cards: Column, keywords: tuple[str, ...], numeric: bool) -> Column:
 
 
 def normalize_camera(raw: Column) -> Column:
-    """``struct(value, confidence)``: exact name, or the same without case and a trailing unit number."""
-    bare = F.upper(F.regexp_replace(F.trim(raw), r"\s*\(?[0-9]*\)?$", ""))
-    value, confidence = raw, F.when(raw.isNotNull(), "other")
-    for name in CAMERAS:
-        value = F.when((F.upper(F.trim(raw)) == name.upper()) | (bare == name.upper()), name).otherwise(value)
-        confidence = F.when(raw == name, "exact").when((F.upper(F.trim(raw)) == name.upper()) | (bare == name.upper()), "normalized").otherwise(confidence)
-    return F.struct(value.alias("value"), confidence.alias("confidence"))
+    """``struct(value, confidence, sensor)``: known cameras by name, without case or with a transport suffix."""
+    name = F.trim(raw)
+    upper = F.upper(name)
+    zwo, short = upper == ZWO.upper(), name == "ATR585C"
+    touptek = (upper == TOUPTEK.upper()) | upper.rlike(r"^ATR585C\(.*\)$")
+    value = F.when(zwo, ZWO).when(short | touptek, TOUPTEK).otherwise(name)
+    exact = (name == ZWO) | short
+    confidence = F.when(exact, "exact").when(zwo | touptek, "normalized").when(name.isNotNull(), "exact")
+    sensor = F.when(zwo | short | touptek, "color").when(name.isNotNull(), "unknown")
+    return F.struct(value.alias("value"), confidence.alias("confidence"), sensor.alias("sensor"))
 
 
-def normalize_closed(raw: Column, names: tuple[str, ...], strip: str = "") -> Column:
+def normalize_closed(raw: Column, names: tuple[str, ...]) -> Column:
     """``struct(value, confidence)`` for a closed set of upper-case names; anything else stays as it is."""
-    upper = F.upper(F.trim(raw))
-    if strip:
-        upper = F.trim(F.regexp_replace(upper, strip, ""))
+    name = F.trim(raw)
+    upper = F.upper(name)
     known = upper.isin(*names)
-    return F.struct(F.when(known, upper).otherwise(raw).alias("value"), F.when(raw.isNull(), None).when(raw.isin(*names), "exact").when(known, "normalized").otherwise("other").alias("confidence"))
+    confidence = F.when(known & (name != upper), "normalized").when(name.isNotNull(), "exact")
+    return F.struct(F.when(known, upper).otherwise(name).alias("value"), confidence.alias("confidence"))
 
 
 def normalize_headers(headers: DataFrame) -> DataFrame:
@@ -72,7 +84,7 @@ def normalize_headers(headers: DataFrame) -> DataFrame:
     both = F.col("_x_binning.value").isNotNull() & F.col("_y_binning.value").isNotNull()
     binning = {n: F.when(both, F.col(f"_{n}.value").cast("int")).alias(n) for n in ("x_binning", "y_binning")}
     return out.select(
-        "path", normalize_camera(F.col("_camera.value"))["value"].alias("camera"), normalize_closed(F.col("_frame_type.value"), FRAME_TYPES, "FRAME$")["value"].alias("frame_type"),
+        "path", normalize_camera(F.col("_camera.value"))["value"].alias("camera"), normalize_closed(F.col("_frame_type.value"), FRAME_TYPES)["value"].alias("frame_type"),
         normalize_closed(F.col("_bayer.value"), BAYER)["value"].alias("bayer"), F.col("_filter.value").alias("filter"),
         *[F.col(f"_{n}.value").alias(n) for n in ("exposure", "sensor_temperature", "set_temperature", "gain", "offset")], *binning.values(), *dims.values(), issues.alias("issues"),
     )
@@ -80,7 +92,7 @@ def normalize_headers(headers: DataFrame) -> DataFrame:
 
 def directory_type(name: Column) -> Column:
     """BIAS, DARK, FLAT or LIGHT from a directory's name; DARKS may have an exposure."""
-    upper = F.upper(name)
+    upper = F.upper(F.trim(name))
     out = F.lit(None).cast("string")
     for kind, plural in (("BIAS", "BIASES"), ("DARK", "DARKS"), ("FLAT", "FLATS"), ("LIGHT", "LIGHTS")):
         out = F.when(upper.isin(kind, plural), kind).otherwise(out)
@@ -89,7 +101,8 @@ def directory_type(name: Column) -> Column:
 
 def filename_type(path: Column) -> Column:
     """The first token of the file's name; master files name their role."""
-    token = F.upper(F.get(F.split(F.element_at(F.split(path, "/"), -1), r"[_\- .]"), 0))
+    stem = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
+    token = F.upper(F.get(F.split(stem, r"[_\- ]"), 0))
     out = F.when(token.isin("MASTERDARK"), "DARK").when(token.isin("MASTERFLAT"), "FLAT")
     return F.when(token.isin(*FRAME_TYPES), token).otherwise(out)
 
@@ -116,8 +129,11 @@ def resolve_type(classified: DataFrame, policy: str = "require_agreement") -> Da
 
 
 def missing_fields(required: tuple[str, ...] = REQUIRED) -> Column:
-    """Stable list of the required fields that are absent."""
-    return F.filter(F.array(*[F.when(F.col(c).isNull(), c) for c in required]), lambda c: c.isNotNull())
+    """Stable list of the required fields that are absent; a dark does not need its measured temperature."""
+    absent = {c: F.col(c).isNull() for c in required}
+    if "sensor_temperature" in absent:
+        absent["sensor_temperature"] = absent["sensor_temperature"] & ~F.coalesce(F.col("frame_type") == "DARK", F.lit(False))
+    return F.filter(F.array(*[F.when(gone, c) for c, gone in absent.items()]), lambda c: c.isNotNull())
 
 
 def with_groups(frames: DataFrame) -> DataFrame:
