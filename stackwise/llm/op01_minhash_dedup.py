@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -128,22 +128,20 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("w").alias("u"), F.col("u").alias("w")))
         low = both.groupBy(F.col("u").alias("x")).agg(F.min("w").alias("m")).withColumn("m", F.least("x", "m"))
-        large = both.filter("w > u").join(low, F.col("u") == F.col("x")).select(F.col("w").alias("u"), F.col("m").alias("w"))
-        large = scratch.table(large.distinct())
+        large = both.filter("w > u").join(low, F.col("u") == F.col("x")).select(F.col("w").alias("u"), F.col("m").alias("w")).distinct()
         low = large.groupBy(F.col("u").alias("x")).agg(F.min("w").alias("m"))
         small = large.join(low, F.col("u") == F.col("x"))
         small = small.select(F.col("w").alias("u"), F.col("m").alias("w")).unionByName(low.select(F.col("x").alias("u"), F.col("m").alias("w")))
-        new = scratch.table(small.filter("u <> w").distinct())
-        scratch.drop(edges, large)
+        seen = Observation()
+        new = small.filter("u <> w").distinct().observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "w").cast("decimal(38,0)")).alias("sum"))
+        new = scratch.table(new)
+        scratch.drop(edges)
         edges = new
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "w").cast("decimal(38,0)"))).first()
-        if tuple(now) == mark:
+        if seen.get == mark:
             break
-        mark = tuple(now)
-    return scratch.table(
-        edges.select(F.col("u").alias("node"), F.col("w").alias("component")).unionByName(
-            edges.select(F.col("w").alias("node"), F.col("w").alias("component")).distinct()
-        )
+        mark = seen.get
+    return edges.select(F.col("u").alias("node"), F.col("w").alias("component")).unionByName(
+        edges.select(F.col("w").alias("node"), F.col("w").alias("component")).distinct()
     )
 
 
@@ -212,13 +210,19 @@ def _rest(members: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
     return pairs.mapInArrow(run, "u long, w long").distinct()
 
 
-def _relabelled(info: DataFrame, links: list[DataFrame], scratch: Scratch) -> DataFrame:
-    """``node, label``: the component of each node after all links so far."""
-    every = links[0]
-    for x in links[1:]:
-        every = every.unionByName(x)
-    joined = connected_components(every, scratch).withColumnRenamed("node", "x")
-    return scratch.table(info.join(joined, F.col("node") == F.col("x"), "left").select("node", F.coalesce("component", "node").alias("label")))
+def _relabelled(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """``node, label`` after more links: components of the labels, then the labels of the nodes."""
+    if links.isEmpty():
+        return labels
+    side = lambda k: labels.select(F.col("node").alias(k), F.col("label").alias(f"l{k}"))
+    joined = connected_components(links.join(side("u"), "u").join(side("w"), "w").select(F.col("lu").alias("u"), F.col("lw").alias("w")), scratch)
+    joined = joined.withColumnRenamed("node", "x")
+    return scratch.table(labels.join(joined, F.col("label") == F.col("x"), "left").select("node", F.coalesce("component", "label").alias("label")))
+
+
+def _size_class(n):
+    """Sizes within about half a percent of each other."""
+    return F.floor(200 * F.ln(n)).cast("int")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -248,7 +252,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     weight = posted.join(common, "v").groupBy("node").agg(F.sum("count").alias("weight"))
     info = scratch.table(lists.select("node").distinct().join(weight, "node").join(nodes.select("node", "n_shingles"), "node"))
     labels = info.select("node", F.col("node").alias("label"))
-    links: list[DataFrame] = []
     key = ["o", "u"]
     open_ = lists.select(F.lit(-1).cast("long").alias("o"), F.col("v").alias("u"), "node")
     for turn in range(ROUNDS + 1):
@@ -262,8 +265,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if members.isEmpty():
             break
         if turn == ROUNDS:
-            links.append(scratch.table(_verified(_rest(members.withColumnRenamed("u", "v").select("o", "v", "node", "label"), nodes, scratch), sets)))
-            labels = _relabelled(info, links, scratch)
+            rest = _rest(members.withColumnRenamed("u", "v").select("o", "v", "node", "label"), nodes, scratch)
+            labels = _relabelled(labels, scratch.table(_verified(rest, sets)), scratch)
             break
         short, long_ = members.filter(F.col("size") <= SHORT), members.filter(F.col("size") > SHORT)
         if turn == 0:  # one link each first: most of what is in a short list is connected by then
@@ -280,13 +283,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         apart = star.filter(f"NOT ({LINKED})")
         # Pairs that the pivot's own shingles could link: both of them hold nearly all that a link needs.
         held = long_.select("pivot", F.col("node").alias("z"), F.col("n_shingles").alias("nz")).distinct()
-        close = apart.filter("4 * shared >= 3 * nw").join(
-            held, (F.col("u") == F.col("pivot")) & (F.col("z") != F.col("w")) & (F.col("z") != F.col("u"))
-            & (7 * F.col("shared") >= 3 * (F.col("nw") + F.col("nz"))) & (4 * F.col("nz") >= 3 * F.col("nw")),
+        least, most = F.ceil(0.75 * F.col("nw")), F.floor((7 * F.col("shared") - 3 * F.col("nw")) / 3)
+        close = apart.filter(least <= most).withColumn("size", F.explode(F.sequence(_size_class(least), _size_class(most))))
+        close = close.join(
+            held.withColumn("zsize", _size_class(F.col("nz"))),
+            (F.col("u") == F.col("pivot")) & (F.col("size") == F.col("zsize")) & (F.col("z") != F.col("w")) & (F.col("z") != F.col("u")) & F.col("nz").between(least, most),
         )
         close = close.select(F.least("w", "z").alias("u"), F.greatest("w", "z").alias("w")).distinct()
-        links.append(scratch.table(_verified(pairs.unionByName(_filtered(close, nodes)).distinct(), sets).unionByName(star.filter(LINKED).select("u", "w"))))
-        labels = _relabelled(info, links, scratch)
+        found = _verified(pairs.unionByName(_filtered(close, nodes)).distinct(), sets).unionByName(star.filter(LINKED).select("u", "w"))
+        labels = _relabelled(labels, scratch.table(found), scratch)
         pivots = apart.select(F.col("u").alias("o")).distinct()
         left = held.select(F.col("pivot").alias("o"), F.col("z").alias("node")).join(pivots, "o", "left_semi").filter("o <> node")
         own = sets.select("node", F.col("full").alias("own"))
