@@ -42,45 +42,63 @@ def corners(x: np.ndarray, y: np.ndarray, transform: Projective, p: Drizzle) ->
     return np.stack([(u + 0.5) * p.scale - 0.5, (v + 0.5) * p.scale - 0.5], axis=2)
 
 
-def area(polygon: np.ndarray) -> float:
-    x, y = polygon[:, 0], polygon[:, 1]
-    return float(abs((x * np.roll(y, -1) - np.roll(x, -1) * y).sum()) / 2)
-
-
-def clip(polygon: np.ndarray, axis: int, bound: float, keep_above: bool) -> np.ndarray:
-    """The part of a convex polygon on one side of an axis-parallel line."""
-    if not len(polygon):
-        return polygon
-    distance = (polygon[:, axis] - bound) * (1 if keep_above else -1)
-    out = []
-    for k in range(len(polygon)):
-        j = (k + 1) % len(polygon)
-        if distance[k] >= 0:
-            out.append(polygon[k])
-        if (distance[k] > 0) != (distance[j] > 0) and distance[k] != distance[j]:
-            t = distance[k] / (distance[k] - distance[j])
-            if 0 < t < 1:
-                out.append(polygon[k] + t * (polygon[j] - polygon[k]))
-    return np.array(out).reshape(-1, 2)
-
-
-def deposits(polygon: np.ndarray, p: Drizzle) -> list[tuple[int, int, float]]:
-    """``(y, x, part)``: how the footprint's area is divided over the output; parts off the output are lost."""
-    whole = area(polygon)
-    if whole <= 0:
-        return []
-    low = np.floor(polygon.min(axis=0) + 0.5).astype(int)
-    high = (np.ceil(polygon.max(axis=0) + 0.5) - 1).astype(int)
-    if (high[0] - low[0] + 1) * (high[1] - low[1] + 1) > p.maximum_contributions:
+def areas(polygons: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Areas of ``(n, K, 2)`` polygons of which the first ``count`` vertices are used."""
+    total = np.zeros(len(polygons))
+    row = np.arange(len(polygons))
+    for k in range(polygons.shape[1]):
+        live = k < count
+        j = np.where(k + 1 < count, k + 1, 0)
+        p, q = polygons[:, k], polygons[row, j]
+        total += np.where(live, p[:, 0] * q[:, 1] - q[:, 0] * p[:, 1], 0.0)
+    return np.abs(total) / 2
+
+
+def clip(polygons: np.ndarray, count: np.ndarray, axis: int, bound: np.ndarray, above: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The parts of convex polygons on one side of axis-parallel lines; each gains one vertex at most."""
+    n, size, _ = polygons.shape
+    out, held, row = np.zeros((n, size + 1, 2)), np.zeros(n, np.int64), np.arange(n)
+    distance = (polygons[:, :, axis] - bound[:, None]) * (1 if above else -1)
+
+    def put(where: np.ndarray, points: np.ndarray) -> None:
+        out[row[where], held[where]] = points
+        held[where] += 1
+
+    for k in range(size):
+        live = k < count
+        j = np.where(k + 1 < count, k + 1, 0)
+        here, there = distance[:, k], distance[row, j]
+        inside = live & (here >= 0)
+        put(inside, polygons[inside, k])
+        cross = live & ((here > 0) != (there > 0)) & (here != there)
+        t = np.where(cross, here / np.where(cross, here - there, 1.0), 0.0)
+        cross &= (t > 0) & (t < 1)
+        put(cross, polygons[cross, k] + t[cross, None] * (polygons[row[cross], j[cross]] - polygons[cross, k]))
+    return out, held
+
+
+def deposits(polygons: np.ndarray, p: Drizzle) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(index, y, x, part)``: how each footprint's area is divided over the output; parts off the output are lost."""
+    four = np.full(len(polygons), 4)
+    whole = areas(polygons, four)
+    low = np.floor(polygons.min(axis=1) + 0.5).astype(np.int64)
+    high = (np.ceil(polygons.max(axis=1) + 0.5) - 1).astype(np.int64)
+    if ((high - low + 1).prod(axis=1) > p.maximum_contributions).any():
         raise ValueError(f"a footprint touches more than {p.maximum_contributions} positions")
-    out = []
-    for y in range(max(0, low[1]), min(p.height - 1, high[1]) + 1):
-        row = clip(clip(polygon, 1, y - 0.5, True), 1, y + 0.5, False)
-        for x in range(max(0, low[0]), min(p.width - 1, high[0]) + 1):
-            cell = clip(clip(row, 0, x - 0.5, True), 0, x + 0.5, False)
-            if len(cell) >= 3 and (part := area(cell) / whole) > 0:
-                out.append((y, x, part))
-    return out
+    low = np.maximum(low, 0)
+    high = np.minimum(high, [p.width - 1, p.height - 1])
+    size = np.maximum(high - low + 1, 0)
+    cells = np.where(whole > 0, size.prod(axis=1), 0)
+    index = np.repeat(np.arange(len(polygons)), cells)
+    k = np.arange(len(index)) - np.repeat(np.cumsum(cells) - cells, cells)
+    y, x = low[index, 1] + k // np.maximum(size[index, 0], 1), low[index, 0] + k % np.maximum(size[index, 0], 1)
+    part, count = polygons[index], np.full(len(index), 4)
+    for axis, at in ((1, y), (0, x)):
+        for side, above in ((-0.5, True), (0.5, False)):
+            part, count = clip(part, count, axis, at + side, above)
+    share = np.where(count >= 3, areas(part, count), 0.0) / whole[index]
+    got = share > 0
+    return index[got], y[got], x[got], share[got]
 
 
 def scatter(samples: DataFrame, transforms: dict[int, Projective], parameters: Drizzle, pattern: str | None = None, weights: dict[int, float] | None = None) -> DataFrame:
@@ -99,15 +117,17 @@ def scatter(samples: DataFrame, transforms: dict[int, Projective], parameters: D
         shapes, heavy = held.value
         for batch in batches:
             stack, frame, plane, y, x, value = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(6))
-            out = []
             for f in np.unique(frame):
                 at = np.flatnonzero(frame == f)
                 w = heavy.get(int(f), 1.0)
-                for k, polygon in zip(at, corners(x[at].astype(float), y[at].astype(float), shapes[int(f)], p), strict=True):
-                    out += [(stack[k], plane[k], b, a, value[k] * w * part, w * part) for b, a, part in deposits(polygon, p)]
-            columns = zip(*out, strict=True) if out else ((),) * 6
-            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], ["stack_id", "plane", "y", "x", "flux", "weight"])
+                for a in range(0, len(at), 8192):
+                    own = at[a : a + 8192]
+                    k, oy, ox, part = deposits(corners(x[own].astype(float), y[own].astype(float), shapes[int(f)], p), p)
+                    own = own[k]
+                    yield pa.RecordBatch.from_arrays(
+                        [*(pa.array(c.astype(np.int32)) for c in (stack[own], plane[own], oy, ox)), pa.array(value[own] * w * part), pa.array(w * part)],
+                        ["stack_id", "plane", "y", "x", "flux", "weight"],
+                    )
 
     return good.mapInArrow(run, "stack_id int, plane int, y int, x int, flux double, weight double")
 

@@ -370,15 +370,39 @@ def publish(spark: SparkSession, products: dict[str, bytes], directory: str) ->
     return [f"{directory}/{name}" for name in products]
 
 
-def parse_alignment_xml(text: str) -> np.ndarray:
-    """The 3 x 3 matrix of an alignment file: nine numbers in elements named Matrix or by row and column."""
+def parse_alignment_xml(text: str) -> dict:
+    """``version, width, height, channels, origin, matrix`` of an alignment file; its matrix maps reference to source."""
     import xml.etree.ElementTree as tree
 
     require(len(text) <= 8 << 20, "the file is too large")
     require("<!DOCTYPE" not in text and "<!ENTITY" not in text, "declarations are not allowed")
-    numbers = []
-    for node in tree.fromstring(text).iter():
-        if node.tag.rsplit("}", 1)[-1].lower() == "matrix" and node.text:
-            numbers += [float(v) for v in node.text.replace(",", " ").replace(";", " ").split()]
-    require(len(numbers) == 9 and np.isfinite(numbers).all(), "nine finite numbers are needed")
-    return np.array(numbers).reshape(3, 3)
+    root = tree.fromstring(text)
+    name = lambda node: node.tag.rsplit("}", 1)[-1]
+    require(name(root) == "xdrz" and root.get("version") is not None, "the root must be a versioned xdrz")
+
+    def only(wanted: str):
+        found = [node for node in root if name(node) == wanted]
+        require(len(found) == 1, f"one {wanted} is needed")
+        return found[0]
+
+    size, matrix = only("ReferenceGeometry"), only("AlignmentMatrix")
+    require(len(matrix) == 0, "the matrix must be text only")
+    numbers = [float(v) for v in (matrix.text or "").replace(",", " ").replace(";", " ").split()]
+    require(len(numbers) == 9 and bool(np.isfinite(numbers).all()), "nine finite numbers are needed")
+    width, height, channels = (int(size.get(k, "0")) for k in ("width", "height", "numberOfChannels"))
+    require(min(width, height, channels) > 0, "the geometry must be positive")
+    origin = [node for node in root if name(node) == "AlignmentOrigin"]
+    at = (float(origin[0].get("x")), float(origin[0].get("y"))) if origin else (0.0, 0.0)
+    return {"version": root.get("version"), "width": width, "height": height, "channels": channels, "origin": at, "matrix": np.array(numbers).reshape(3, 3)}
+
+
+def compare_alignment(alignment: dict, transform, divisions: int = 4) -> dict[str, float]:
+    """Distances between an alignment file and a transform on a grid over the reference: count, RMS, maximum, centre."""
+    steps = np.arange(divisions + 1) / divisions
+    x, y = (a.ravel() for a in np.meshgrid((alignment["width"] - 1) * steps, (alignment["height"] - 1) * steps))
+    ox, oy = alignment["origin"]
+    u, v, w = np.linalg.inv(alignment["matrix"]) @ np.stack([x - ox, y - oy, np.ones_like(x)])
+    require(bool((w != 0).all()), "the alignment has a horizon in the image")
+    p, q = transform.apply(x, y)
+    apart = np.hypot(u / w + ox - p, v / w + oy - q)
+    return {"count": len(apart), "rms": float(np.sqrt((apart**2).mean())), "maximum": float(apart.max()), "centre": float(apart[len(apart) // 2])}

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stackwise.schema import finite, require
 
+from . import fits
+
 # Keywords in order of preference, and closed sets of names.
 FRAME_TYPES = ("BIAS", "DARK", "FLAT", "LIGHT")
 BAYER = ("RGGB", "BGGR", "GRBG", "GBRG")
@@ -162,6 +164,23 @@ def group_manifest(frames: DataFrame, policy: str = "require_agreement") -> dict
     }
 
 
+def scan_directory(spark: SparkSession, path: str, policy: str = "require_agreement", maximum_files: int = 1_000_000, maximum_bytes: int = 1 << 50) -> dict[str, DataFrame]:
+    """The session manifest of a directory: ``files`` with fingerprints, ``groups``, ``unassigned`` and ``failures``.
+
+    Limits are checked on the listing, before a byte is read.  A file whose header does not conform is a failure, not
+    the end of the scan.
+    """
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{fits,fit,fts}").load(path)
+    n, size = listing.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+    require(n <= maximum_files and size <= maximum_bytes, f"{n} files of {size} bytes are over the limits")
+    headers = fits.read_headers(spark, path)
+    out = group_manifest(normalize_headers(headers.filter("strict")), policy)
+    prints = fits.fingerprints(spark, path).withColumnRenamed("path", "_path")
+    files = out["files"].join(prints, F.col("path") == F.col("_path")).drop("_path")
+    files = files.withColumn("frame_identity", frame_identity(F.col("path"), F.col("byte_length"), F.col("sha256")))
+    return out | {"files": files, "failures": headers.filter("NOT strict").select("path", "diagnostics")}
+
+
 def frame_identity(path: Column, length: Column, sha256: Column) -> Column:
     """Identity of a frame: a digest of its portable path, its size and its content's digest."""
     return F.sha2(F.concat_ws("\u001f", F.lit("frame-v1"), F.length(path).cast("string"), path, length.cast("string"), sha256), 256)

@@ -71,9 +71,29 @@ def test_header_diagnostics():
     assert fits.combine_checksums(0xFFFFFFFF, 1) == 1
 
 
-def test_alignment_matrix():
-    got = fits.parse_alignment_xml("<a><Matrix>1 0 2 0 1 3 0 0 1</Matrix></a>")
-    assert got.tolist() == [[1, 0, 2], [0, 1, 3], [0, 0, 1]]
+def test_alignment_file():
+    text = """<xdrz version="1.0" xmlns="x"><ReferenceGeometry width="100" height="50" numberOfChannels="1"/><AlignmentMatrix>1 0 -2 0 1 -3 0 0 1</AlignmentMatrix></xdrz>"""
+    got = fits.parse_alignment_xml(text)
+    assert got["matrix"].tolist() == [[1, 0, -2], [0, 1, -3], [0, 0, 1]] and got["width"] == 100
+    same = fits.compare_alignment(got, G.Affine(1, 0, 2, 0, 1, 3))
+    assert same["count"] == 25 and same["maximum"] < 1e-12
+    with pytest.raises(ParameterError):
+        fits.parse_alignment_xml(text.replace("1 0 -2", "1 0"))
+
+
+def test_directory_scan(spark, tmp_path):
+    cards = {"INSTRUME": "ATR585C", "IMAGETYP": "Dark", "EXPTIME": 30.0, "SET-TEMP": -10.0, "GAIN": 100, "OFFSET": 5, "XBINNING": 1, "YBINNING": 1, "FILTER": "L", "BAYERPAT": "RGGB"}
+    for name, extra in (("darks/DARK_1.fits", {}), ("darks/DARK_2.fits", {}), ("darks/DARK_3.fits", {"EXPTIME": 60.0}), ("lights/LIGHT_1.fits", {"IMAGETYP": "Dark"})):
+        file = tmp_path / name
+        file.parent.mkdir(exist_ok=True)
+        file.write_bytes(fits.encode_f64(np.ones((1, 2, 2)), np.zeros((1, 2, 2), int), cards | extra))
+    (tmp_path / "bad.fits").write_bytes(b"SIMPLE  = nothing")
+    got = manifest.scan_directory(spark, str(tmp_path))
+    assert sorted(r["files"] for r in got["groups"].collect()) == [1, 2]
+    assert got["unassigned"].count() == 1 and got["failures"].count() == 1
+    assert got["files"].select("frame_identity").distinct().count() == 4
+    with pytest.raises(ParameterError):
+        manifest.scan_directory(spark, str(tmp_path), maximum_files=2)
 
 
 def test_metadata(spark):
