@@ -1,14 +1,15 @@
 """Lanczos-3 resampling through affine or projective transforms, demosaicing and common footprints.
 
-Resampling is a join: each output position knows the up to 36 source taps that it needs; taps are an exploded table
-joined to the source, and one aggregation forms value and support.  A band of the output needs only the source rows
-that ``source_window`` names, which is an ordinary filter.
+An output is made in bands of rows.  Each band needs the source rows that ``source_window`` names; rows are sent to the
+bands that need them, and a band of one plane is one Arrow group, whatever the size of the image.  ``resample_by_taps``
+says the same as a join: each output position knows the up to 36 source taps that it needs.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,7 +54,7 @@ def taps(grid: DataFrame, source_width: int, source_height: int) -> DataFrame:
     return out.select("y", "x", "sy", "sx", (F.col("wx") * F.col("wy")).alias("weight"))
 
 
-def resample(source: DataFrame, source_width: int, source_height: int, width: int, height: int, transform: Affine | Projective) -> DataFrame:
+def resample_by_taps(source: DataFrame, source_width: int, source_height: int, width: int, height: int, transform: Affine | Projective) -> DataFrame:
     """Frames (stack_id, frame_id, plane) resampled to the reference grid; positions without full clean support are NaN.
 
     A bad tap passes its flags on with MISSING; a position off the source is MISSING alone.
@@ -90,6 +91,94 @@ def source_window(width: int, height: int, transform: Affine | Projective, y0: i
     return top, left, bottom, right
 
 
+IMAGE = ("stack_id", "frame_id", "plane")
+RESAMPLED = "stack_id int, frame_id long, plane int, y int, x int, value double, flags smallint"
+
+
+def _axis(c: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First taps, six weights and completeness along one axis; whole distances other than 0 weigh exactly 0."""
+    base = np.floor(c)
+    d = c[:, None] - (base[:, None] + np.arange(-2, 4))
+    with np.errstate(invalid="ignore"):
+        weight = np.sinc(d) * np.sinc(d / 3)
+    weight = np.where(d == 0, 1.0, np.where((np.abs(d) >= 3) | (d == np.round(d)), 0.0, weight))
+    whole = c == base
+    done = np.where(whole, (c >= 0) & (c <= length - 1), (base - 2 >= 0) & (base + 3 <= length - 1))
+    return base - 2, weight, done & np.isfinite(c)
+
+
+def _band(rows: pa.Table, y0: int, count: int, width: int, transform: Affine | Projective, source_width: int, source_height: int) -> tuple[np.ndarray, np.ndarray]:
+    """Values and flags of ``count`` output rows from the source rows that are there."""
+    sy = rows["y"].to_numpy()
+    real = sy >= 0
+    top = int(sy[real].min()) if real.any() else 0
+    tall = int(sy[real].max()) - top + 1 if real.any() else 1
+    values, flags = np.zeros((tall, source_width)), np.full((tall, source_width), MISSING, np.int16)
+    at = sy[real] - top, rows["x"].to_numpy()[real]
+    values[at] = rows["value"].to_numpy()[real]
+    flags[at] = rows["flags"].to_numpy()[real]
+    nan = (flags == 0) & ~np.isfinite(values)
+    values[(flags != 0) | nan] = 0.0
+    out, seen = np.full(count * width, np.nan), np.full(count * width, MISSING, np.int16)
+    x = np.tile(np.arange(width, dtype=np.float64), count)
+    y = np.repeat(np.arange(y0, y0 + count, dtype=np.float64), width)
+    u, v = transform.inverse().apply(x, y)
+    left, wx, full_x = _axis(u, source_width)
+    high, wy, full_y = _axis(v, source_height)
+    good = np.flatnonzero(full_x & full_y)
+    left, high, wx, wy = left[good].astype(np.int64), high[good].astype(np.int64) - top, wx[good], wy[good]
+    total, bottom = np.zeros(len(good)), np.zeros(len(good))
+    met, bad, lost = np.zeros(len(good), np.int16), np.zeros(len(good), bool), np.zeros(len(good), bool)
+    for j in range(6):
+        for i in range(6):
+            w = wy[:, j] * wx[:, i]
+            used = w != 0
+            row, column = high + j, left + i
+            here = used & (row >= 0) & (row < tall)
+            r, c = np.clip(row, 0, tall - 1), np.clip(column, 0, source_width - 1)
+            flag = np.where(here, flags[r, c], np.where(used, MISSING, 0))
+            total += np.where(here, w * values[r, c], 0.0)
+            bottom += np.where(used, w, 0.0)
+            met |= flag.astype(np.int16)
+            lost |= here & nan[r, c]
+            bad |= flag != 0
+    bad |= lost | (np.abs(bottom) < LEAST_WEIGHT)
+    fine = ~bad
+    out[good[fine]] = total[fine] / bottom[fine]
+    seen[good[fine]] = 0
+    seen[good[bad]] = met[bad] | MISSING | np.where(lost[bad], INVALID, 0).astype(np.int16)
+    return out, seen
+
+
+def resample(source: DataFrame, source_width: int, source_height: int, width: int, height: int, transform: Affine | Projective, band_rows: int = 256) -> DataFrame:
+    """Frames (stack_id, frame_id, plane) resampled to the reference grid; positions without full clean support are NaN.
+
+    All taps that weigh must be inside and clean.  A bad tap passes its flags on with MISSING; a position off the source
+    is MISSING alone.
+    """
+    require(width > 0 and height > 0 and band_rows > 0, "the output needs a positive size")
+    bands = []
+    for y0 in range(0, height, band_rows):
+        window = source_window(width, height, transform, y0, min(band_rows, height - y0))
+        bands.append((y0, *((window[0], window[2]) if window else (0, -1))))
+    known = F.array(*[F.struct(F.lit(b).alias("band"), F.lit(t).alias("top"), F.lit(e).alias("bottom")) for b, t, e in bands])
+    needed = F.filter(known, lambda b: F.col("y").between(b["top"], b["bottom"]))
+    names = [*IMAGE, "y", "x", "value", "flags"]
+    sent = source.select(*names[:-1], F.coalesce("flags", F.lit(0)).cast("short").alias("flags"), F.explode(F.transform(needed, lambda b: b["band"])).alias("band"))
+    # One marker per band and image: a band that needs no source row still has positions.
+    marks = source.select(*IMAGE).distinct().select(*IMAGE, F.lit(-1).alias("y"), F.lit(0).alias("x"), F.lit(0.0).alias("value"), F.lit(0).cast("short").alias("flags"), F.explode(F.array(*[F.lit(b[0]) for b in bands])).alias("band"))
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        stack, frame, plane, y0 = (k.as_py() for k in key)
+        count = min(band_rows, height - y0)
+        value, flags = _band(rows, y0, count, width, transform, source_width, source_height)
+        n = count * width
+        columns = [np.full(n, stack, np.int32), np.full(n, frame, np.int64), np.full(n, plane, np.int32), np.repeat(np.arange(y0, y0 + count, dtype=np.int32), width), np.tile(np.arange(width, dtype=np.int32), count), value, flags]
+        return pa.table([pa.array(c) for c in columns], names=names)
+
+    return sent.unionByName(marks).groupBy(*IMAGE, "band").applyInArrow(run, RESAMPLED)
+
+
 def common_footprint(spark: SparkSession, width: int, height: int, frames: list[tuple[int, int, Affine | Projective]]) -> DataFrame:
     """Output positions with how many frames ``(source width, source height, transform)`` cover them completely."""
     grid = output_grid(spark, width, height)

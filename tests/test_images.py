@@ -171,6 +171,21 @@ def test_resample_keeps_a_constant_and_linear_fields(spark):
     assert np.nanmax(np.abs(out - 5)) < 1e-12 and np.isfinite(out[6, 6])
 
 
+@pytest.mark.parametrize("transform", [G.Affine(0.99, -0.07, 2.3, 0.07, 0.99, -1.2), G.Affine(1, 0, -40, 0, 1, 0), G.Projective.of(np.array([[1, 0.02, 1], [0.01, 1.02, -2], [1e-4, 2e-4, 1]]))])
+def test_bands_equal_taps(spark, transform):
+    rng = np.random.default_rng(8)
+    src, flags = rng.normal(10, 3, (24, 20)), np.zeros((24, 20), int)
+    flags[5, 5], src[9, 12] = 2, np.nan
+    samples = frame(spark, src, flags=flags)
+    want = {(r["y"], r["x"]): r for r in resample.resample_by_taps(samples, 20, 24, 22, 26, transform).collect()}
+    for band_rows in (4, 26):
+        got = {(r["y"], r["x"]): r for r in resample.resample(samples, 20, 24, 22, 26, transform, band_rows).collect()}
+        assert set(got) == set(want) and len(got) == 22 * 26
+        for k, r in want.items():
+            assert got[k]["flags"] == r["flags"]
+            assert got[k]["value"] == pytest.approx(r["value"], rel=1e-9, nan_ok=True)
+
+
 @pytest.mark.parametrize("pattern", ["RGGB", "BGGR", "GRBG", "GBRG"])
 def test_demosaic_constant(spark, pattern):
     out = resample.demosaic(frame(spark, np.full((6, 4), 42.5)), pattern)
