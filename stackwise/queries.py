@@ -12,11 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stackwise.functions.geometry import Affine
+from stackwise.functions.numerics import neumaier_sum
 from stackwise.functions.student import esd_critical_value
 from stackwise.operators import calibrate, defects, drizzle, localnorm, preview, quality, registration, resample, review, statistics
 from stackwise.operators import integrate as I
 from stackwise.plans import association
-from stackwise.sources import manifest
+from stackwise.sources import fits, manifest
 from stackwise.sources.adapters import EMBEDDING_SQL, LINEITEM_SQL, embedding_samples, lineitem_samples, table
 from stackwise.streaming import running
 
@@ -408,13 +409,12 @@ def local_defects(spark, d):
     return defects.detect_local_defects(embedding_samples(spark, d), SPOTS).select("frame_id", "y", "x", "defect")
 
 
-MERGED_SQL = SQUARE_SQL + ", mrg AS (SELECT y, x, bit_or(CASE decision WHEN 'hot' THEN 4 ELSE 8 END) AS defect, count(*) AS votes FROM dec WHERE decision IN ('hot', 'cold') AND frame_id < 40 GROUP BY 1, 2)"
+MERGED_SQL = SQUARE_SQL + ", mrg AS (SELECT y, x, bit_or(CASE decision WHEN 'hot' THEN 4 ELSE 8 END) AS defect, count(*) AS votes FROM dec WHERE decision IN ('hot', 'cold') GROUP BY 1, 2)"
 
 
 @register("merge_defects", MERGED_SQL + " SELECT y, x, defect, votes, defect = 12 AS conflict FROM mrg")
 def merge_defects(spark, d):
-    e = embedding_samples(spark, d).filter("frame_id < 40")  # a set of reference frames, as masters are
-    return defects.merge_defect_maps(defects.detect_local_defects(e, SPOTS)).select("y", "x", "defect", "votes", "conflict")
+    return defects.merge_defect_maps(defects.detect_local_defects(embedding_samples(spark, d), SPOTS)).select("y", "x", "defect", "votes", "conflict")
 
 
 @register(
@@ -516,15 +516,16 @@ def triangle_descriptors(spark, d):
 
 @register(
     "triangle_matches",
-    TRIANGLES_SQL + """ SELECT s.frame_id AS source_id, r.frame_id AS reference_id, s.ids[1] AS si, s.ids[2] AS sj, s.ids[3] AS sk, r.ids[1] AS ri, r.ids[2] AS rj, r.ids[3] AS rk FROM desc_ s JOIN desc_ r ON s.frame_id = 1 AND r.frame_id = 0
+    TRIANGLES_SQL + """ SELECT s.frame_id AS source_id, r.frame_id AS reference_id, s.ids[1] AS si, s.ids[2] AS sj, s.ids[3] AS sk, r.ids[1] AS ri, r.ids[2] AS rj, r.ids[3] AS rk FROM desc_ s JOIN desc_ r ON s.frame_id <> 0 AND r.frame_id = 0
  WHERE abs(s.sr - r.sr) <= 0.02 AND abs(s.mr - r.mr) <= 0.02 AND abs(s.ar - r.ar) <= 0.02 AND r.ls / s.ls BETWEEN 0.8::DOUBLE AND 1.25::DOUBLE""",
 )
 def triangle_matches(spark, d):
+    """Every other frame against frame 0, the reference."""
     t = registration.triangle_descriptors(features(spark, d), TRIANGLES)
-    s, r = t.filter("frame_id = 1"), t.filter("frame_id = 0")
+    s, r = t.filter("frame_id <> 0"), t.filter("frame_id = 0")
     m = registration.match_triangles(s, r, registration.Matching(0.02, 0.02, 0.8, 1.25, "allow", 100_000, 1_000_000))
-    ids = lambda df, n, k: df.select(F.col("triangle").alias(n), *[F.col("ids")[i].alias(f"{k}{c}") for i, c in enumerate("ijk")])
-    return m.join(ids(s, "s", "s"), "s").join(ids(r, "r", "r"), "r").select("source_id", "reference_id", "si", "sj", "sk", "ri", "rj", "rk")
+    ids = lambda df, n, f: df.select(F.col("frame_id").alias(f), F.col("triangle").alias(n), *[F.col("ids")[i].alias(f"{n}{c}") for i, c in enumerate("ijk")])
+    return m.join(ids(s, "s", "source_id"), ["source_id", "s"]).join(ids(r, "r", "reference_id"), ["reference_id", "r"]).select("source_id", "reference_id", "si", "sj", "sk", "ri", "rj", "rk")
 
 
 MATCH_SQL = "mt AS (SELECT (s_nationkey % 4)::INT AS pair, (s_suppkey * 31 % 500)::DOUBLE AS sx, (s_suppkey * 57 % 400)::DOUBLE AS sy, s_suppkey FROM supplier), mm AS (SELECT pair, sx, sy, 0.98 * sx - 0.05 * sy + 12 + (s_suppkey % 3 - 1) * 0.1 AS rx, 0.05 * sx + 0.98 * sy - 7 + (s_suppkey % 5 - 2) * 0.1 AS ry FROM mt)"
@@ -566,9 +567,9 @@ def model_selection(spark, d):
 
 @register("similarity_consensus")
 def similarity_consensus(spark, d):
-    """Every frame's features against the same ones moved and turned: the known transform must come out."""
+    """All frames moved and turned against frame 0 as it was: for frame 0 the known transform must come out."""
     ref = features(spark, d)
-    moved = ref.withColumns({"x": 0.9998 * F.col("x") - 0.02 * F.col("y") + 5, "y": 0.02 * F.col("x") + 0.9998 * F.col("y") - 3}).filter("frame_id = 0")
+    moved = ref.withColumns({"x": 0.9998 * F.col("x") - 0.02 * F.col("y") + 5, "y": 0.02 * F.col("x") + 0.9998 * F.col("y") - 3})
     ref = ref.filter("frame_id = 0")
     t = registration.Triangles()
     m = registration.match_triangles(registration.triangle_descriptors(moved, t), registration.triangle_descriptors(ref, t))
@@ -593,11 +594,12 @@ LANCZOS_SQL = "CASE WHEN @ = 0 THEN 1 WHEN abs(@) >= 3 THEN 0 ELSE 3 * sin(pi()
 @register(
     "lanczos_shift",
     f"""{BASE}, g AS (SELECT frame_id, y, x AS sx, value, {GOOD} AS ok FROM e), t AS (SELECT o.x, k.k AS sx, {LANCZOS_SQL.replace('@', '(o.x - 0.25 - k.k)')} AS w FROM range(3, 6) o(x), range(8) k(k) WHERE k.k BETWEEN o.x - 3 AND o.x + 2)
-SELECT frame_id, y, x, CASE WHEN bool_and(ok) THEN round(sum(w * CASE WHEN ok THEN value ELSE 0 END) / sum(w), 6) END AS value FROM t JOIN g USING (sx) GROUP BY 1, 2, 3""",
+, r AS (SELECT frame_id, y, x, CASE WHEN bool_and(ok) THEN round(sum(w * CASE WHEN ok THEN value ELSE 0 END) / sum(w), 6) END AS value FROM t JOIN g USING (sx) GROUP BY 1, 2, 3)
+SELECT e.frame_id, e.y, e.x, r.value FROM e LEFT JOIN r ON r.frame_id = e.frame_id AND r.y = e.y AND r.x = e.x""",
 )
 def lanczos_shift(spark, d):
     out = resample.resample(embedding_samples(spark, d), 8, 8, 8, 8, Affine(1.0, 0.0, 0.25, 0.0, 1.0, 0.0))
-    return out.filter("x BETWEEN 3 AND 5").select("frame_id", "y", "x", no_nan("value", 6).alias("value"))
+    return out.select("frame_id", "y", "x", no_nan("value", 6).alias("value"))
 
 
 @register("common_footprint", "SELECT y::INT AS y, x::INT AS x, ((x >= 2 AND y >= 1)::INT + (x <= 16)::INT)::INT AS covered, x >= 2 AND y >= 1 AND x <= 16 AS common FROM range(12) a(y), range(20) b(x)")
@@ -605,16 +607,23 @@ def common_footprint(spark, d):
     return resample.common_footprint(spark, 20, 12, [(20, 12, Affine(1, 0, 2, 0, 1, 1)), (20, 12, Affine(1, 0, -3, 0, 1, 0))])
 
 
+def _kernel_rows() -> str:
+    kinds = {"opp": resample.OPPOSITE_COLOUR, "row": resample.COLOUR_IN_ROW, "grn": resample.GREEN_AT_COLOUR}
+    rows = [f"('{n}', {dx}, {dy}, {w}::DOUBLE / {k[0]})" for n, k in kinds.items() for (dx, dy), w in k[1].items()]
+    rows += [f"('col', {dy}, {dx}, {w}::DOUBLE / 16)" for (dx, dy), w in resample.COLOUR_IN_ROW[1].items()]
+    return ", ".join([*rows, "('own', 0, 0, 1.0)"])
+
+
 @register(
-    "demosaic_red",
-    f"""{BASE}, g AS (SELECT frame_id, y, x, value, {GOOD} AS ok FROM e), o AS (SELECT y::INT AS y, x::INT AS x FROM range(8) a(y), range(8) b(x))
-, kn(kind, dx, dy, w) AS (VALUES {", ".join(f"('{n}', {dx}, {dy}, {w}::DOUBLE / {k[0]})" for n, k in (("opp", resample.OPPOSITE_COLOUR), ("row", resample.COLOUR_IN_ROW)) for (dx, dy), w in k[1].items())},
-  {", ".join(f"('col', {dy}, {dx}, {w}::DOUBLE / 16)" for (dx, dy), w in resample.COLOUR_IN_ROW[1].items())}, ('own', 0, 0, 1.0))
-, t AS (SELECT o.y, o.x, w, 7 - abs(((o.y + dy) % 14 + 14) % 14 - 7) AS ty, 7 - abs(((o.x + dx) % 14 + 14) % 14 - 7) AS tx FROM o JOIN kn ON kind = CASE WHEN y % 2 = 0 AND x % 2 = 0 THEN 'own' WHEN y % 2 = 0 THEN 'row' WHEN x % 2 = 0 THEN 'col' ELSE 'opp' END)
-SELECT frame_id, t.y, t.x, CASE WHEN bool_and(ok) THEN round(sum(w * CASE WHEN ok THEN value ELSE 0 END), 6) END AS value FROM t JOIN g ON g.y = ty AND g.x = tx GROUP BY 1, 2, 3""",
+    "demosaic",
+    f"""{BASE}, g AS (SELECT frame_id, y, x, value, {GOOD} AS ok FROM e), o AS (SELECT p::INT AS plane, y::INT AS y, x::INT AS x FROM range(3) c(p), range(8) a(y), range(8) b(x))
+, kn(kind, dx, dy, w) AS (VALUES {_kernel_rows()})
+, kd AS (SELECT *, CASE WHEN plane = 1 THEN CASE WHEN (y + x) % 2 = 1 THEN 'own' ELSE 'grn' END WHEN y % 2 = plane // 2 AND x % 2 = plane // 2 THEN 'own' WHEN y % 2 = plane // 2 THEN 'row' WHEN x % 2 = plane // 2 THEN 'col' ELSE 'opp' END AS kind FROM o)
+, t AS (SELECT plane, y, x, w, 7 - abs(((y + dy) % 14 + 14) % 14 - 7) AS ty, 7 - abs(((x + dx) % 14 + 14) % 14 - 7) AS tx FROM kd JOIN kn USING (kind))
+SELECT frame_id, plane, t.y, t.x, CASE WHEN bool_and(ok) THEN round(sum(w * CASE WHEN ok THEN value ELSE 0 END), 6) END AS value FROM t JOIN g ON g.y = ty AND g.x = tx GROUP BY 1, 2, 3, 4""",
 )
-def demosaic_red(spark, d):
-    return resample.demosaic(embedding_samples(spark, d), "RGGB").filter("plane = 0").select("frame_id", "y", "x", no_nan("value", 6).alias("value"))
+def demosaic(spark, d):
+    return resample.demosaic(embedding_samples(spark, d), "RGGB").select("frame_id", "plane", "y", "x", no_nan("value", 6).alias("value"))
 
 
 DRIZZLE = drizzle.Drizzle(1.0, 0.5, 8, 8)
@@ -817,6 +826,112 @@ def inspect_position(spark, d):
     return preview.inspect_position({"science": science, "support": I.support_map(science)}, 3, 0, 2, 5).select("product", F.round("value", 6).alias("value"))
 
 
+# --- files and metadata
+
+@register("fits_round_trip", f"{BASE} SELECT frame_id, y, x, CASE WHEN flags & 1 = 0 AND isfinite(value) THEN value END AS value, (CASE WHEN flags & 1 = 0 AND isfinite(value) THEN 0 ELSE 32 END)::SMALLINT AS flags FROM e")
+def fits_round_trip(spark, d):
+    """Every frame encoded as a file and decoded again."""
+    out = fits.decode_images(fits.encode_images(embedding_samples(spark, d), {"CREATOR": "stackwise"}))
+    return out.select("frame_id", "y", "x", no_nan("value").alias("value"), "flags")
+
+
+@register("frame_identity", "SELECT s_suppkey AS frame_id, sha256('frame-v1' || chr(31) || length('/a/' || s_name) || chr(31) || '/a/' || s_name || chr(31) || (s_suppkey * 100) || chr(31) || sha256(s_name)) AS identity FROM supplier")
+def frame_identity(spark, d):
+    path = F.concat(F.lit("/a/"), F.col("s_name"))
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("frame_id"), manifest.frame_identity(path, F.col("s_suppkey") * 100, F.sha2("s_name", 256)).alias("identity"))
+
+
+CARD_SQL = """hd AS (SELECT c_custkey AS k, CASE c_custkey % 5 WHEN 0 THEN 'ATR585C' WHEN 1 THEN 'zwo asi294mc pro' WHEN 2 THEN 'atr585c(USB3)' WHEN 3 THEN ' ZWO ASI294MC Pro ' ELSE 'Other cam' END AS cam,
+ CASE c_custkey % 4 WHEN 0 THEN 'LIGHT' WHEN 1 THEN 'dark' WHEN 2 THEN 'Flat ' ELSE 'Snapshot' END AS typ, CASE WHEN c_custkey % 3 > 0 THEN (c_custkey % 7)::VARCHAR END AS e1, CASE WHEN c_custkey % 2 > 0 THEN (c_custkey % 5)::VARCHAR END AS e2, CASE WHEN c_custkey % 11 = 0 THEN 'bad' ELSE '100' END AS gain FROM customer)"""
+
+
+def header_cards(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    pick = lambda n, *names: F.element_at(F.array(*[F.lit(v) for v in names]), (k % n + 1).cast("int"))
+    card = lambda keyword, value: F.struct(F.lit(keyword).alias("keyword"), F.lit("string").alias("kind"), value.alias("value"), F.lit("").alias("raw"))
+    cards = [
+        card("INSTRUME", pick(5, "ATR585C", "zwo asi294mc pro", "atr585c(USB3)", " ZWO ASI294MC Pro ", "Other cam")), card("IMAGETYP", pick(4, "LIGHT", "dark", "Flat ", "Snapshot")),
+        card("EXPTIME", F.when(k % 3 > 0, (k % 7).cast("string"))), card("EXPOSURE", F.when(k % 2 > 0, (k % 5).cast("string"))), card("GAIN", F.when(k % 11 == 0, "bad").otherwise("100")),
+    ]
+    name = F.concat(F.when(k % 6 == 0, "/x/DARKS20ms/").otherwise("/x/night/"), pick(3, "LIGHT_", "MASTERDARK-", "frame "), k.cast("string"), F.lit(".fits"))
+    return table(spark, d, "customer").select(k.alias("k"), name.alias("path"), F.array(*cards).alias("cards"))
+
+
+@register(
+    "normalize_headers",
+    f"""WITH {CARD_SQL} SELECT k, CASE WHEN upper(trim(cam)) = 'ZWO ASI294MC PRO' THEN 'ZWO ASI294MC Pro' WHEN upper(trim(cam)) LIKE 'ATR585C%' THEN 'ToupTek ATR585C' ELSE trim(cam) END AS camera, CASE WHEN typ = 'Snapshot' THEN typ ELSE upper(trim(typ)) END AS frame_type,
+ coalesce(e1, e2)::DOUBLE AS exposure, CASE WHEN gain = '100' THEN 100::DOUBLE END AS gain, concat_ws(',', CASE WHEN e1 <> e2 THEN 'exposure:conflicting_values' END, CASE WHEN gain = 'bad' THEN 'gain:invalid_value' END) AS issues FROM hd""",
+)
+def normalize_headers(spark, d):
+    headers = header_cards(spark, d)
+    out = manifest.normalize_headers(headers).join(headers.select("path", "k"), "path")
+    return out.select("k", "camera", "frame_type", "exposure", "gain", F.array_join("issues", ",").alias("issues"))
+
+
+@register(
+    "classify_frames",
+    f"""WITH {CARD_SQL}, ev AS (SELECT k, CASE WHEN typ <> 'Snapshot' THEN upper(trim(typ)) END AS h, CASE WHEN k % 6 = 0 THEN 'DARK' END AS dir, CASE k % 3 WHEN 0 THEN 'LIGHT' WHEN 1 THEN 'DARK' END AS f FROM hd)
+SELECT k, h AS header_type, dir AS directory_type, f AS filename_type, coalesce(h <> dir, false) OR coalesce(h <> f, false) OR coalesce(dir <> f, false) AS conflict,
+ CASE WHEN NOT (coalesce(h <> dir, false) OR coalesce(h <> f, false) OR coalesce(dir <> f, false)) THEN coalesce(h, dir, f) END AS resolved FROM ev""",
+)
+def classify_frames(spark, d):
+    headers = header_cards(spark, d)
+    out = manifest.resolve_type(manifest.classify(manifest.normalize_headers(headers))).join(headers.select("path", "k"), "path")
+    return out.select("k", "header_type", "directory_type", "filename_type", "conflict", "resolved")
+
+
+@register(
+    "correct_linear_defects",
+    f"""{BASE}, g AS (SELECT * FROM e WHERE {GOOD} AND y <> 4), n AS (SELECT a.frame_id, a.y, a.x, median(b.value) AS med, count(b.value) AS n FROM e a JOIN g b ON a.frame_id = b.frame_id AND a.x = b.x AND a.y <> b.y AND abs(a.y - b.y) <= 3 WHERE a.y = 4 GROUP BY 1, 2, 3)
+SELECT e.frame_id, e.y, e.x, CASE WHEN (flags & ~12) <> 0 THEN 'blocked' WHEN coalesce(n, 0) >= 4 THEN 'corrected' ELSE 'unsupported' END AS outcome, CASE WHEN (flags & ~12) <> 0 THEN CASE WHEN isnan(value) THEN NULL ELSE value END WHEN coalesce(n, 0) >= 4 THEN med END AS value
+FROM e LEFT JOIN n ON n.frame_id = e.frame_id AND n.y = e.y AND n.x = e.x WHERE e.y = 4""",
+)
+def correct_linear_defects(spark, d):
+    row = _grid(spark).filter("y = 4").withColumn("defect", F.lit(4).cast("short"))
+    out = defects.correct_linear_defects(embedding_samples(spark, d), row, LINES, 4)
+    return out.filter("y = 4").select("frame_id", "y", "x", "outcome", no_nan("value").alias("value"))
+
+
+@register(
+    "local_normalization",
+    PAIR_SQL + """, ct AS (SELECT frame_id, col_ * 4 + 1.5 AS cx, row_ * 4 + 1.5 AS cy, scale, off FROM ic WHERE abs(scale) >= 1e-6)
+, w AS (SELECT e.frame_id, e.y, e.x, scale, off, 1 / ((e.x - cx) ** 2 + (e.y - cy) ** 2) AS w FROM e JOIN ct ON e.frame_id = ct.frame_id WHERE (e.x - cx) ** 2 + (e.y - cy) ** 2 <= 400)
+, cf AS (SELECT frame_id, y, x, sum(w * scale) / sum(w) AS scale, sum(w * off) / sum(w) AS off FROM w GROUP BY 1, 2, 3)
+SELECT e.frame_id, e.y, e.x, CASE WHEN isfinite(value) THEN round(CASE WHEN scale IS NOT NULL THEN scale * value + off ELSE value END, 3) END AS value, (CASE WHEN scale IS NULL THEN flags | 1 ELSE flags END)::SMALLINT AS flags FROM e LEFT JOIN cf ON cf.frame_id = e.frame_id AND cf.y = e.y AND cf.x = e.x""",
+)
+def local_normalization(spark, d):
+    e = embedding_samples(spark, d).withColumn("stack_id", F.lit(0))
+    out = localnorm.normalize(e, e.filter("frame_id = 0"), 8, 8, GRID, localnorm.Surface(4, 1, 20.0))
+    return out.select("frame_id", "y", "x", no_nan("value", 3).alias("value"), "flags")
+
+
+@register(
+    "render_grayscale",
+    BASE + STRETCH_SQL + f""", tr AS (SELECT frame_id, black, white, bg * 0.75 / (bg + 0.25 - 0.5 * bg) AS m FROM nb), nv AS (SELECT e.frame_id, y, x, m, CASE WHEN {GOOD} THEN (value - black) / (white - black) END AS v FROM e JOIN tr USING (frame_id))
+SELECT frame_id, y, x, CASE WHEN v IS NULL THEN 0 ELSE floor(least(greatest(CASE WHEN v <= 0 OR v >= 1 THEN v ELSE (m - 1) * v / ((2 * m - 1) * v - m) END, 0), 1) * 255 + 0.5)::INT END AS g, CASE WHEN v IS NULL THEN 0 ELSE 255 END AS a FROM nv""",
+)
+def render_grayscale(spark, d):
+    e = embedding_samples(spark, d).withColumn("value", F.when(F.col("flags") == 0, no_nan("value")))
+    return preview.render_grayscale(e, preview.display_transform(e)).select("frame_id", "y", "x", "g", "a")
+
+
+@register(
+    "compensated_sums",
+    "SELECT c_mktsegment, round(sum(c_acctbal), 2) AS total FROM customer GROUP BY 1",
+)
+def compensated_sums(spark, d):
+    """Huge values that cancel are put around the balances: only a compensated sum gives the balances back."""
+    values = F.concat(F.array(F.lit(1e17)), F.sort_array(F.collect_list("c_acctbal")), F.array(F.lit(-1e17)))
+    return table(spark, d, "customer").groupBy("c_mktsegment").agg(values.alias("v")).select("c_mktsegment", F.round(neumaier_sum(F.col("v")), 2).alias("total"))
+
+
+@register("star_measure")
+def star_measure(spark, d):
+    """Stars of the vector frames, with the smallest aperture."""
+    p = quality.StarMeasurement(quality.Background(3.0, 4, 20), 1.0, 0.2, 1, 1, 3)
+    return quality.measure_stars(embedding_samples(spark, d), p).select("frame_id", *[F.round(c, 6).alias(c) for c in ("y", "x", "flux", "snr", "eccentricity")])
+
+
 # --- extension
 
 @register(

@@ -343,6 +343,24 @@ def encode_images(samples: DataFrame, provenance: dict | None = None) -> DataFra
     return samples.groupBy("stack_id", "frame_id").applyInPandas(run, schema)
 
 
+def decode_images(files: DataFrame) -> DataFrame:
+    """Samples of ``(stack_id, frame_id, content)``: the inverse of ``encode_images``, up to what a file can hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for stack, frame, data in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                shape = layout(parse_header(data))
+                values, flags = physical(data, shape)
+                plane, y, x = (a.ravel().astype(np.int32) for a in np.indices((shape.planes, shape.height, shape.width)))
+                n = shape.samples
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(n, stack, np.int32)), pa.array(np.full(n, frame, np.int64)), pa.array(plane), pa.array(y), pa.array(x), pa.array(values), pa.array(flags)],
+                    ["stack_id", "frame_id", "plane", "y", "x", "value", "flags"],
+                )
+
+    return files.select("stack_id", "frame_id", "content").mapInArrow(run, "stack_id int, frame_id long, plane int, y int, x int, value double, flags smallint")
+
+
 def publish(spark: SparkSession, products: dict[str, bytes], directory: str) -> list[str]:
     """Write a set of products all or nothing: staged beside the target, then renamed; nothing is overwritten."""
     jvm = spark._jvm
