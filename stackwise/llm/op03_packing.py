@@ -31,7 +31,7 @@ from .op06_token_counts import byte_alphabet
 
 WINDOW, END_ID = 1024, 0
 #: Rows in one cell of a length, and cells up to which their offsets are broadcast.
-CELL_ROWS, SMALL_CELLS = 20_000, 100_000
+CELL_ROWS, SMALL_CELLS = 2_000, 100_000
 PASSES = 400
 
 
