@@ -11,8 +11,10 @@
    ``a`` of its shingles can only be linked with a node of ``n`` shingles if they also share one that the pivot has not,
    unless ``7 a >= 3 (own + n)``.  So the few pairs of the second kind are taken at once, and the list is replaced by
    lists of the shingles that the pivot has not: a star of copies or a passage in very many documents falls apart
-   after one pivot, without pairing all with all.  Lists whose nodes are all connected are done.  What is left after
-   ``ROUNDS`` rounds is compared exactly, in blocks: only pairs that pass the sketch filter leave the kernel.
+   after one pivot, without pairing all with all.  Of lists with the same nodes one is kept, and lists whose nodes
+   are all connected are done.  Once a round no longer halves the pairs that are left, or they are at most ``REST`` for
+   each node, they are compared on the full sets, block against block: only links that connect something leave the
+   kernel.
 4. *Filter and verify.*  The union sketch of a pair (the smallest values of both sketches) estimates its Jaccard; six
    sigma below the threshold are let through.  The rest is verified on the full sets.
 5. *Components* by alternating large-star and small-star joins over the verified links.
@@ -41,7 +43,9 @@ PERCENT = 75
 SKETCH = 64
 #: Part of a sketch that linked sets share at least: 0.75 less six sigma of 64 draws.
 SHARED = 0.42
-SHORT, ROUNDS, BLOCK = 8, 6, 256
+SHORT, ROUNDS = 8, 6
+#: Pairs for each node that are compared without further rounds, and shingles in one block of that comparison.
+REST, BLOCK = 64, 1 << 18
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, hasher: PolyHash) -> Iterator[np.ndarray]:
@@ -178,38 +182,63 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return _overlaps(pairs, sets).filter(LINKED).select("u", "w")
 
 
-def _rest(members: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """All pairs within the lists (o, v, node, label) that are still apart, exactly, block against block."""
-    order = W.partitionBy("o", "v").orderBy("node")
-    numbered = members.join(nodes.select("node", "sketch", "n_shingles"), "node")
-    numbered = numbered.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK))
-    blocks = scratch.table(
-        numbered.groupBy("o", "v", "block").agg(F.collect_list(F.struct("node", "label", "n_shingles", "sketch")).alias("held"))
-    )
-    left = blocks.select("o", "v", F.col("block").alias("i"), F.col("held").alias("x"))
-    right = blocks.select(F.col("o").alias("o2"), F.col("v").alias("v2"), F.col("block").alias("j"), F.col("held").alias("y"))
-    pairs = left.join(right, (F.col("o") == F.col("o2")) & (F.col("v") == F.col("v2")) & (F.col("i") <= F.col("j"))).select("x", "y")
+def _rest(members: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links (u, w) between nodes of the lists (o, u, node, label) that are still apart: exact, block against block.
+
+    A block holds ``BLOCK`` shingles, however many nodes these are.  Of the links in one pair of blocks, those are
+    returned that connect its components.
+    """
+    order = W.partitionBy("o", "u").orderBy("node")
+    held = members.select("o", "u", "node", "label").join(sets, "node")
+    held = held.withColumn("block", F.floor(F.sum(F.size("full")).over(order) / BLOCK))
+    blocks = held.groupBy("o", "u", "block").agg(F.collect_list(F.struct("node", "label", "full")).alias("held"))
+    blocks = scratch.table(blocks)
+    left = blocks.select("o", "u", F.col("block").alias("i"), F.col("held").alias("x"))
+    right = blocks.select(F.col("o").alias("o2"), F.col("u").alias("u2"), F.col("block").alias("j"), F.col("held").alias("y"))
+    pairs = left.join(right, (F.col("o") == F.col("o2")) & (F.col("u") == F.col("u2")) & (F.col("i") <= F.col("j"))).select("x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = set()
             for x, y in zip(batch.column(0), batch.column(1), strict=True):
-                y = [(r["node"], r["label"], r["n_shingles"], np.array(r["sketch"])) for r in y.as_py()]
-                for r in x.as_py():
-                    s, n = np.array(r["sketch"]), r["n_shingles"]
-                    for node, label, m, t in y:
-                        if label == r["label"] or 100 * min(n, m) < PERCENT * max(n, m):
-                            continue
-                        union = np.union1d(s, t)[:SKETCH]
-                        shared = np.intersect1d(s, t, assume_unique=True)
-                        if np.count_nonzero(shared <= union[-1]) >= int(SHARED * len(union)):
-                            found.add((min(node, r["node"]), max(node, r["node"])))
-            u, w = zip(*found, strict=True) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(w, pa.int64())], ["u", "w"])
+                u, w = _block_links(x.values, y.values)
+                if len(u):
+                    yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(w, pa.int64())], ["u", "w"])
 
     return pairs.mapInArrow(run, "u long, w long").distinct()
 
 
+def _block_links(x: pa.StructArray, y: pa.StructArray) -> tuple[list[int], list[int]]:
+    """Links between the nodes of two blocks that connect different components, from an inverted list of the second."""
+    (xn, xl, xs), (yn, yl, ys) = ((a.field(0).to_numpy(), a.field(1).to_numpy(), a.field(2)) for a in (x, y))
+    size = ys.value_lengths().to_numpy()
+    values, owner = ys.flatten().to_numpy(), np.repeat(np.arange(len(yn)), size)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    parent: dict[int, int] = {}
+
+    def find(k: int) -> int:
+        while parent.setdefault(k, k) != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    u, w = [], []
+    for i in range(len(xn)):
+        own = xs[i].values.to_numpy()
+        first, last = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
+        n = last - first
+        at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        shared = np.bincount(owner[at], minlength=len(yn))
+        linked = (100 * shared >= PERCENT * (size + len(own) - shared)) & (yl != xl[i])
+        for j in np.flatnonzero(linked).tolist():
+            p, q = find(int(xl[i])), find(int(yl[j]))
+            if p != q:
+                parent[p] = q
+                u.append(int(xn[i]))
+                w.append(int(yn[j]))
+    return u, w
+
+
 def _relabelled(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     """``node, label`` after more links: components of the labels, then the labels of the nodes."""
     if links.isEmpty():
@@ -251,6 +280,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     weight = posted.join(common, "v").groupBy("node").agg(F.sum("count").alias("weight"))
     info = scratch.table(lists.select("node").distinct().join(weight, "node").join(nodes.select("node", "n_shingles"), "node"))
+    known, before = info.count(), 0
     labels = info.select("node", F.col("node").alias("label"))
     key = ["o", "u"]
     open_ = lists.select(F.lit(-1).cast("long").alias("o"), F.col("v").alias("u"), "node")
@@ -259,15 +289,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         shape = members.groupBy(*key).agg(
             F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high"),
             F.max(F.struct(F.col("weight") / F.col("n_shingles"), -F.col("node"), "node", "label")).alias("best"),
+            F.bit_xor(F.xxhash64("node")).alias("e"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("f"),
         )
-        shape = shape.filter("low <> high").select(*key, "size", F.col("best.node").alias("pivot"), F.col("best.label").alias("pivot_label"))
+        # Lists with the same nodes say the same: one of them is enough.
+        same = shape.filter("low <> high").groupBy("o", "size", "e", "f").agg(F.min(F.struct("u", "best")).alias("one"))
+        shape = same.select("o", F.col("one.u").alias("u"), "size", F.col("one.best").alias("best")).select(*key, "size", F.col("best.node").alias("pivot"), F.col("best.label").alias("pivot_label"))
         members = scratch.table(members.join(shape, key).select(*key, "node", "label", "n_shingles", "size", "pivot", "pivot_label"))
-        if members.isEmpty():
+        # The sum of a list's size over its members is the square of its size: what comparing all would cost.
+        cost = members.agg(F.sum("size")).first()[0]
+        if cost is None:
             break
-        if turn == ROUNDS:
-            rest = _rest(members.withColumnRenamed("u", "v").select("o", "v", "node", "label"), nodes, scratch)
-            labels = _relabelled(labels, scratch.table(_verified(rest, sets)), scratch)
+        if turn == ROUNDS or (turn > 0 and (cost <= REST * known or cost > before / 2)):
+            labels = _relabelled(labels, scratch.table(_rest(members, sets, scratch)), scratch)
             break
+        before = cost
         short, long_ = members.filter(F.col("size") <= SHORT), members.filter(F.col("size") > SHORT)
         if turn == 0:  # one link each first: most of what is in a short list is connected by then
             pairs = short.filter("label <> pivot_label").select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("w"))
