@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -331,9 +332,7 @@ def encode_images(samples: DataFrame, provenance: dict | None = None) -> DataFra
     """``(stack_id, frame_id, content)``: one encoded file per frame; the frame is the unit of a file."""
     schema = "stack_id int, frame_id long, content binary"
 
-    def run(key: tuple, pdf):
-        import pandas as pd
-
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         planes, height, width = (int(pdf[c].max()) + 1 for c in ("plane", "y", "x"))
         values, flags = np.full((planes, height, width), np.nan), np.full((planes, height, width), MISSING)
         at = pdf["plane"].to_numpy(), pdf["y"].to_numpy(), pdf["x"].to_numpy()
