@@ -48,6 +48,10 @@ SHORT, ROUNDS = 8, 6
 REST, BLOCK = 64, 1 << 18
 
 
+#: The pivot of lists that come from no pivot.
+NO_PIVOT = -(1 << 63)
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, hasher: PolyHash) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes (int64) of each document."""
     for lo, hi in chunks(offsets):
@@ -183,19 +187,18 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _rest(members: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """Links (u, w) between nodes of the lists (o, u, node, label) that are still apart: exact, block against block.
+    """Links (u, w) between nodes of the groups (o, node, label, n_shingles) that are still apart, block against block.
 
-    A block holds ``BLOCK`` shingles, however many nodes these are.  Of the links in one pair of blocks, those are
-    returned that connect its components.
+    A group is all nodes in lists of one pivot, so each set is held once for it.  A block holds ``BLOCK`` shingles,
+    however many nodes these are.  Of the links in one pair of blocks, those are returned that connect its components.
     """
-    order = W.partitionBy("o", "u").orderBy("node")
-    held = members.select("o", "u", "node", "label").join(sets, "node")
-    held = held.withColumn("block", F.floor(F.sum(F.size("full")).over(order) / BLOCK))
-    blocks = held.groupBy("o", "u", "block").agg(F.collect_list(F.struct("node", "label", "full")).alias("held"))
+    order = W.partitionBy("o").orderBy("node")
+    numbered = members.withColumn("block", F.floor(F.sum("n_shingles").over(order) / BLOCK)).drop("n_shingles")
+    blocks = numbered.join(sets, "node").groupBy("o", "block").agg(F.collect_list(F.struct("node", "label", "full")).alias("held"))
     blocks = scratch.table(blocks)
-    left = blocks.select("o", "u", F.col("block").alias("i"), F.col("held").alias("x"))
-    right = blocks.select(F.col("o").alias("o2"), F.col("u").alias("u2"), F.col("block").alias("j"), F.col("held").alias("y"))
-    pairs = left.join(right, (F.col("o") == F.col("o2")) & (F.col("u") == F.col("u2")) & (F.col("i") <= F.col("j"))).select("x", "y")
+    left = blocks.select("o", F.col("block").alias("i"), F.col("held").alias("x"))
+    right = blocks.select(F.col("o").alias("o2"), F.col("block").alias("j"), F.col("held").alias("y"))
+    pairs = left.join(right, (F.col("o") == F.col("o2")) & (F.col("i") <= F.col("j"))).select("x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -283,7 +286,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known, before = info.count(), 0
     labels = info.select("node", F.col("node").alias("label"))
     key = ["o", "u"]
-    open_ = lists.select(F.lit(-1).cast("long").alias("o"), F.col("v").alias("u"), "node")
+    open_ = lists.select(F.lit(NO_PIVOT).alias("o"), F.col("v").alias("u"), "node")
     for turn in range(ROUNDS + 1):
         members = open_.join(labels, "node").join(info, "node")
         shape = members.groupBy(*key).agg(
@@ -295,23 +298,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         same = shape.filter("low <> high").groupBy("o", "size", "e", "f").agg(F.min(F.struct("u", "best")).alias("one"))
         shape = same.select("o", F.col("one.u").alias("u"), "size", F.col("one.best").alias("best")).select(*key, "size", F.col("best.node").alias("pivot"), F.col("best.label").alias("pivot_label"))
         members = scratch.table(members.join(shape, key).select(*key, "node", "label", "n_shingles", "size", "pivot", "pivot_label"))
-        # The sum of a list's size over its members is the square of its size: what comparing all would cost.
-        cost = members.agg(F.sum("size")).first()[0]
-        if cost is None:
-            break
-        if turn == ROUNDS or (turn > 0 and (cost <= REST * known or cost > before / 2)):
-            labels = _relabelled(labels, scratch.table(_rest(members, sets, scratch)), scratch)
+        # What comparing all would cost: in each list, or, once lists belong to pivots, in the nodes of each pivot.
+        groups = members.filter(F.col("o") != NO_PIVOT).select("o", "node", "label", "n_shingles").distinct()
+        squares = groups.groupBy("o").count().select(F.col("count") * F.col("count")) if turn else members.select("size")
+        cost = squares.toDF("cost").agg(F.sum("cost")).first()[0]
+        if cost is None and members.isEmpty():
             break
+        finish = turn == ROUNDS or (turn > 0 and ((cost or 0) <= REST * known or cost > before / 2))
         before = cost
         short, long_ = members.filter(F.col("size") <= SHORT), members.filter(F.col("size") > SHORT)
         if turn == 0:  # one link each first: most of what is in a short list is connected by then
             pairs = short.filter("label <> pivot_label").select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("w"))
             again = short.select(*key, "node")
         else:
+            short = short.filter(F.col("o") == NO_PIVOT) if finish else short
             x = short.select(*[F.col(c).alias(f"x{c}") for c in key], F.col("node").alias("xn"), F.col("label").alias("xl"))
             pairs = short.join(x, (F.col("o") == F.col("xo")) & (F.col("u") == F.col("xu")) & (F.col("node") < F.col("xn")) & (F.col("label") != F.col("xl")))
             pairs = pairs.select(F.col("node").alias("u"), F.col("xn").alias("w"))
             again = None
+        if finish:
+            found = _verified(scratch.table(_filtered(pairs.distinct(), nodes)), sets).unionByName(_rest(groups, sets, scratch))
+            labels = _relabelled(labels, scratch.table(found), scratch)
+            break
         pairs = scratch.table(_filtered(pairs.distinct(), nodes))
         star = long_.filter("label <> pivot_label").select(F.col("pivot").alias("u"), F.col("node").alias("w")).distinct()
         star = scratch.table(_overlaps(star, sets))

@@ -80,8 +80,9 @@ def test_common_passage_links_nothing(spark):
 
 
 def test_rest_in_blocks(spark, monkeypatch):
-    """Without elimination rounds the exact block comparison gives the same."""
-    monkeypatch.setattr(near, "ROUNDS", 0)
+    """The exact comparison in many small blocks, and without it as many rounds as there are, give the same."""
+    monkeypatch.setattr(near, "SHORT", 2)
+    monkeypatch.setattr(near, "BLOCK", 500)
     docs = list(enumerate(varied(random.Random(5), 4, 12, 80, 8)))
     check_near(spark.createDataFrame(docs, "doc_id long, text string"), docs)
 
