@@ -44,8 +44,9 @@ SKETCH = 64
 #: Part of a sketch that linked sets share at least: 0.75 less six sigma of 64 draws.
 SHARED = 0.42
 SHORT, ROUNDS = 8, 6
-#: Pairs for each node that are compared without further rounds, and shingles in one block of that comparison.
-REST, BLOCK = 64, 1 << 18
+#: Pairs for each node that are compared without further rounds (about a millisecond of work), and shingles in one
+#: block of that comparison.
+REST, BLOCK = 1000, 1 << 18
 
 
 #: The pivot of lists that come from no pivot.
