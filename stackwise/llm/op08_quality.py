@@ -126,11 +126,13 @@ class OrdinalModel:
     def fit(cls, rows: list[np.ndarray], grades: np.ndarray) -> OrdinalModel | None:
         if len(rows) == 0 or len(np.unique(grades)) < 2:
             return None
-        column = np.concatenate(rows).astype(np.int32)
+        column = np.concatenate([r.astype(np.int32) for r in rows])
         row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
         seen = np.bincount(column, minlength=FEATURES) >= min(max(3, LEAST_SEEN * len(rows)), len(rows))
-        column, row = column[seen[column]], row[seen[column]]
-        used, column = np.unique(column, return_inverse=True)
+        kept = seen[column]
+        used, place = np.flatnonzero(seen), np.cumsum(seen, dtype=np.int32) - 1
+        column, row = place[column[kept]], row[kept]
+        del kept
         n, w = len(rows), np.zeros(len(used))
         # Thresholds are an origin and positive steps, so they stay ordered.
         share = np.clip(np.cumsum(np.bincount(grades, minlength=GRADES))[:-1] / n, 1e-3, 1 - 1e-3)
