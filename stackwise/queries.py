@@ -250,12 +250,13 @@ def rebuilt_stack(spark, d):
 @register(
     "psf_weights",
     """WITH f AS (SELECT p_partkey AS frame_id, 10 + p_size::DOUBLE AS snr, 2 + (p_partkey % 7)::DOUBLE / 4 AS fwhm, (p_partkey % 5)::DOUBLE / 10 AS ecc FROM part), r AS (SELECT * FROM f WHERE frame_id = 1)
-SELECT f.frame_id, round(pow(f.snr / r.snr, 2) * pow(r.fwhm / f.fwhm, 2) * (1 - f.ecc * f.ecc) / (1 - r.ecc * r.ecc), 9) AS weight FROM f, r""",
+SELECT f.frame_id, round(ln(pow(f.snr / r.snr, 2) * pow(r.fwhm / f.fwhm, 2) * (1 - f.ecc * f.ecc) / (1 - r.ecc * r.ecc)), 9) + 0.0::DOUBLE AS log_weight FROM f, r""",
 )
 def psf_weights(spark, d):
+    # Logarithms: weights themselves may lie exactly between two rounded values.
     p = table(spark, d, "part")
     frames = p.select(F.col("p_partkey").alias("frame_id"), (10 + F.col("p_size")).cast("double").alias("snr"), (2 + (F.col("p_partkey") % 7) / 4).alias("fwhm"), ((F.col("p_partkey") % 5) / 10).alias("eccentricity"))
-    return I.balanced_psf_weight(frames, frames.filter("frame_id = 1")).select("frame_id", F.round("weight", 9).alias("weight"))
+    return I.balanced_psf_weight(frames, frames.filter("frame_id = 1")).select("frame_id", (F.round(F.ln("weight"), 9) + 0.0).alias("log_weight"))
 
 
 # --- calibration: masters derived from positions
