@@ -529,12 +529,12 @@ def triangle_matches(spark, d):
     return m.join(ids(s, "s", "source_id"), ["source_id", "s"]).join(ids(r, "r", "reference_id"), ["reference_id", "r"]).select("source_id", "reference_id", "si", "sj", "sk", "ri", "rj", "rk")
 
 
-MATCH_SQL = "mt AS (SELECT (s_nationkey % 4)::INT AS pair, (s_suppkey * 31 % 500)::DOUBLE AS sx, (s_suppkey * 57 % 400)::DOUBLE AS sy, s_suppkey FROM supplier), mm AS (SELECT pair, sx, sy, 0.98 * sx - 0.05 * sy + 12 + (s_suppkey % 3 - 1) * 0.1 AS rx, 0.05 * sx + 0.98 * sy - 7 + (s_suppkey % 5 - 2) * 0.1 AS ry FROM mt)"
+MATCH_SQL = "mt AS (SELECT (p_size % 4)::INT AS pair, (p_partkey * 31 % 500)::DOUBLE AS sx, (p_partkey * 57 % 400)::DOUBLE AS sy, p_partkey FROM part), mm AS (SELECT pair, sx, sy, 0.98 * sx - 0.05 * sy + 12 + (p_partkey % 3 - 1) * 0.1 AS rx, 0.05 * sx + 0.98 * sy - 7 + (p_partkey % 5 - 2) * 0.1 AS ry FROM mt)"
 
 
 def match_table(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("s_suppkey")
-    m = table(spark, d, "supplier").select((F.col("s_nationkey") % 4).cast("int").alias("pair"), (k * 31 % 500).cast("double").alias("sx"), (k * 57 % 400).cast("double").alias("sy"), "s_suppkey")
+    k = F.col("p_partkey")
+    m = table(spark, d, "part").select((F.col("p_size") % 4).cast("int").alias("pair"), (k * 31 % 500).cast("double").alias("sx"), (k * 57 % 400).cast("double").alias("sy"), "p_partkey")
     rx = 0.98 * F.col("sx") - 0.05 * F.col("sy") + 12 + (k % 3 - 1) * 0.1
     ry = 0.05 * F.col("sx") + 0.98 * F.col("sy") - 7 + (k % 5 - 2) * 0.1
     return m.select("pair", "sx", "sy", rx.alias("rx"), ry.alias("ry"))
