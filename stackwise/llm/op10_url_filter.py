@@ -8,7 +8,8 @@ labels does not differ from the pooled rest of their parent (two-proportion z be
 as well.  A template is rejected if its smoothed purity ``(bad + PRIOR * base) / (labelled + PRIOR)`` reaches ``REJECT``.
 
 The tree is built from counts only: one aggregation by (host, path prefix) for each level, so a hot host is summed up
-before its counts move, and no url is ever gathered with others of its host.
+before its counts move, and no url is ever gathered with others of its host.  It goes as deep as the paths do.  A path
+takes part until it ends or is alone in its branch, where nothing can change any more, so one long url costs no rounds.
 
 Defined results: a null url, or one without ``://``, has empty host and path, no rule, and the verdict of the empty
 template.  A null page_id or a repeated row is judged like any other.  Labels are pairs (page_id, bad); unlabelled
@@ -30,6 +31,7 @@ RULES = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
+#: Levels that the SQL writes out.  The operator has no such limit; the two agree where no path has more segments.
 DEPTH = 4
 MAX_CHILDREN, MIN_SHARE = 8, 0.05
 MERGE_Z = 1.96
@@ -57,26 +59,28 @@ def rule_of(host, path, rules=RULES):
 
 
 def _segments(path):
-    """The first ``DEPTH`` segments; digits are variable at once, a suffix like ``.html`` stays."""
-    parts = F.slice(F.filter(F.split(path, "/"), lambda x: x != ""), 1, DEPTH)
+    """All segments; digits are variable at once, a suffix like ``.html`` stays."""
+    parts = F.filter(F.split(path, "/"), lambda x: x != "")
     return F.transform(parts, lambda x: F.regexp_replace(x, "[0-9]+", "*"))
 
 
 def _generalise(paths: DataFrame, level: int) -> DataFrame:
     """Replace the segment of one level by ``*`` where it is variable or its branch is like its siblings.
 
-    ``paths``: distinct ``(host, segments, n, labelled, bad)``; the prefix above ``level`` is already a template.
+    ``paths``: distinct ``(host, raw, segments, n, labelled, bad)`` with more than ``level`` segments; the prefix above
+    ``level`` is already a template.  ``settled`` in the result: the path has no further level, or no other path shares
+    its branch.
     """
     here = paths.withColumn("parent", F.expr(f"slice(segments, 1, {level})")).withColumn(
         "value", F.expr(f"get(segments, {level})")
     )
     counts = (
-        here.filter(F.col("value").isNotNull())
-        .groupBy("host", "parent", "value")
-        .agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
+        here.groupBy("host", "parent", "value")
+        .agg(F.count(F.lit(1)).alias("paths"), F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
     )
     totals = counts.groupBy(F.col("host").alias("h"), F.col("parent").alias("p")).agg(
         F.count(F.lit(1)).alias("children"),
+        F.sum("paths").alias("all_paths"),
         F.sum("n").alias("all_n"),
         F.sum("labelled").alias("all_labelled"),
         F.sum("bad").alias("all_bad"),
@@ -97,13 +101,12 @@ def _generalise(paths: DataFrame, level: int) -> DataFrame:
         F.when((F.col("children") > 1) & (rare | F.coalesce(alike, F.lit(False))), F.lit("*"))
         .otherwise(F.col("value"))
         .alias("_to"),
+        (F.col("all_paths") == 1).alias("_alone"),
     )
-    out = here.join(wild, (F.col("host") == F.col("_h")) & (F.col("parent") == F.col("_p")) & (F.col("value") == F.col("_v")), "left")
-    changed = F.when(
-        F.col("_to").isNotNull(),
-        F.concat(F.col("parent"), F.array("_to"), F.expr(f"slice(segments, {level + 2}, {DEPTH})")),
-    ).otherwise(F.col("segments"))
-    return out.select("host", "raw", changed.alias("segments"), "n", "labelled", "bad")
+    out = here.join(wild, (F.col("host") == F.col("_h")) & (F.col("parent") == F.col("_p")) & (F.col("value") == F.col("_v")))
+    changed = F.concat(F.col("parent"), F.array("_to"), F.expr(f"slice(segments, {level + 2}, size(segments))"))
+    settled = F.col("_alone") | (F.size("segments") <= level + 1)
+    return out.select("host", "raw", changed.alias("segments"), "n", "labelled", "bad", settled.alias("settled"))
 
 
 def template_verdicts(urls: DataFrame) -> DataFrame:
@@ -113,9 +116,13 @@ def template_verdicts(urls: DataFrame) -> DataFrame:
     paths = urls.groupBy("host", "raw").agg(
         F.count(F.lit(1)).alias("n"), F.sum(label).alias("labelled"), F.sum(F.coalesce("bad", F.lit(0))).alias("bad")
     )
-    paths = paths.select("host", "raw", F.col("raw").alias("segments"), "n", "labelled", "bad")
-    for level in range(DEPTH):
-        paths = scratch.table(_generalise(paths, level))
+    settled = (F.size("raw") == 0).alias("settled")
+    paths = scratch.table(paths.select("host", "raw", F.col("raw").alias("segments"), "n", "labelled", "bad", settled))
+    done, level = paths.filter("settled"), 0
+    while not (paths := paths.filter("NOT settled")).isEmpty():
+        paths = scratch.table(_generalise(paths.drop("settled"), level))
+        done, level = done.unionByName(paths.filter("settled")), level + 1
+    paths = scratch.table(done.drop("settled"))
     base = paths.agg(F.try_divide(F.sum("bad"), F.sum("labelled")).alias("base"))
     purity = (F.col("bad") + PRIOR * F.col("base")) / (F.col("labelled") + PRIOR)
     leaves = (

@@ -92,6 +92,21 @@ def test_bad_templates_are_rejected(spark):
     assert got[35] == ("block", "/shop/*") and got[135] == ("allow", "/news/*")
 
 
+def test_branches_below_the_fourth_segment(spark):
+    """Paths that part at segment 5, and at 7 where the labels agree before; a path of 300 segments costs no rounds."""
+    branches = {"a/b/c/d/spam": 1, "a/b/c/d/news": 0, "e/f/g/h/i/j/spam": 1, "e/f/g/h/i/j/news": 0}
+    pages, labels = [(9_000, "http://h.xyz/" + "a/" * 300)], []
+    for k, (branch, bad) in enumerate(branches.items()):
+        pages += [(1_000 * k + i, f"http://h.xyz/{branch}/{i}") for i in range(40)]
+        labels += [(1_000 * k + i, bad) for i in range(30)]
+    out = urls.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, bad int"))
+    got = {r["page_id"]: (r["verdict"], r["template"]) for r in out.collect()}
+    for k, (branch, bad) in enumerate(branches.items()):
+        assert all(got[1_000 * k + i][0] == ("block" if bad else "allow") for i in range(40))
+        assert got[1_000 * k][1].endswith(branch[-5:] + "/*") and got[1_000 * k][1].count("/") == branch.count("/") + 2
+    assert got[9_000][1].endswith("/a" * 298) and got[9_000][1].count("/") == 300
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
