@@ -39,10 +39,12 @@ class Tokenizer:
     """Ids of a byte-level vocabulary file.
 
     Where the ranks of the merges are the order of the ids, the faster of the two public encoders gives the same ids
-    (tests hold one against the other); otherwise the file's own library is used.
+    (tests hold one against the other); otherwise the file's own library is used.  It is also used for each text that
+    the faster one refuses: its regex engine gives up on runs of about a million blanks.
     """
 
     def __init__(self, path: str):
+        self.path = path
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         vocab = spec["model"]["vocab"]
@@ -61,14 +63,17 @@ class Tokenizer:
                 mergeable_ranks=ranks,
                 special_tokens=special,
             )
-        else:
-            import tokenizers
-
-            self.slow = tokenizers.Tokenizer.from_file(path)
 
     def ids(self, text: str) -> np.ndarray:
         if self.fast is not None:
-            return self.fast.encode_to_numpy(text, allowed_special="all")
+            try:
+                return self.fast.encode_to_numpy(text, allowed_special="all")
+            except ValueError:  # the regex engine's stack is full
+                pass
+        if self.slow is None:
+            import tokenizers
+
+            self.slow = tokenizers.Tokenizer.from_file(self.path)
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
 

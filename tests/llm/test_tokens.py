@@ -120,6 +120,18 @@ def test_packing_nasty(nasty, empty):
     assert packing.pack(empty, PATH).count() == 0
 
 
+def test_packing_long_blanks(spark, library):
+    """Runs of blanks that the fast encoder refuses, between words, alone and around a special token."""
+    texts = ["a" + " " * 2_000_000 + "b", "\n" * 1_000_000, " " * 1_000_000 + "<|endoftext|>c", "a  b"]
+    tokens = packing.Tokenizer(PATH)
+    ids = {i: np.array([*library.encode(t, add_special_tokens=False).ids, 0]) for i, t in enumerate(texts)}
+    for i, t in enumerate(texts):
+        assert tokens.ids(t).tolist() == ids[i][:-1].tolist()
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PATH).collect()
+    check_packed(rows, ids)
+    assert {r["doc_id"]: r["doc_tokens"] for r in rows} == {i: len(x) for i, x in ids.items()}
+
+
 def check_shards(rows, shards=40):
     size, slots = {}, {}
     for r in rows:
