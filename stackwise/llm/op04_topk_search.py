@@ -1,21 +1,25 @@
 """Exact top-k search over binary codes by incremental multi-index hashing, in DataFrame operations.
 
-A vector's code has one bit per dimension: whether it is above zero.  Codes are cut into ``SEGMENTS`` substrings and
-posted under each.  Round ``r`` probes all substrings that differ from the query's in exactly ``r`` bits.  A code at
-distance ``SEGMENTS * (r + 1) - 1`` or less agrees with the query up to ``r`` bits in some segment, so after round ``r``
-all such codes were met: a query whose kth verified distance is covered by that is done, the others go on.
+A vector's code has one bit per dimension: whether it is above zero.  Codes are words of ``BITS`` bits, as many as the
+longest vector of the table needs: a long if one does, else an array of longs.  Each word is cut into ``SEGMENTS``
+substrings, and a code is posted under all of its ``s``.  Round ``r`` probes all substrings that differ from the query's
+in exactly ``r`` bits.  A code at distance ``s * (r + 1) - 1`` or less agrees with the query up to ``r`` bits in some
+segment, so after round ``r`` all such codes were met: a query whose kth verified distance is covered by that is done,
+the others go on.
 
 Equal codes are indexed once, with their ``k`` smallest ids, so a vector that repeats without end is one posting.  A
 pair is taken in the first segment and round where it is met, and only if it is not beyond the kth distance so far.
 
 Order: distance, then id; each row is its own neighbour at distance 0.  Defined results: rows with null id or null
-vector do not take part.  NaN, null and missing components count as not above zero; components beyond the 64th are not
-part of the code.  Repeated ids are separate rows.  With fewer than ``k`` rows all are returned.
+vector do not take part.  NaN, null and missing components count as not above zero.  Repeated ids are separate rows.
+With fewer than ``k`` rows all are returned.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from math import comb
+from operator import add
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -27,20 +31,38 @@ BITS, SEGMENTS, K, EVERY = 64, 4, 10, 50
 WIDTH = BITS // SEGMENTS
 
 
-def sign_code(vector: Column) -> Column:
+def sign_code(vector: Column, words: int = 1) -> Column:
+    """The code in ``words`` words; a vector that needs more is an error."""
+    code = _word_code(vector, 0)
+    if words > 1:
+        code = F.when(vector.isNotNull(), F.array(*[_word_code(vector, w) for w in range(words)]))
+    return F.when(F.size(vector) > BITS * words, F.raise_error(F.lit(f"vector of more than {BITS * words} components"))).otherwise(code)
+
+
+def words_for(vectors: DataFrame, column: str) -> int:
+    """Words that the longest vector needs."""
+    return max(1, -(-(vectors.agg(F.max(F.size(column))).first()[0] or 0) // BITS))
+
+
+def _word_code(vector: Column, word: int) -> Column:
     bits = F.transform(
-        F.slice(vector, 1, BITS),
+        F.slice(vector, word * BITS + 1, BITS),
         lambda x, i: F.when((x > 0) & ~F.isnan(x), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")),
     )
     return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(F.coalesce(b, F.lit(0).cast("long"))))
 
 
-def _segment(code: Column, j: int) -> Column:
-    return F.shiftrightunsigned(code, j * WIDTH).bitwiseAND(F.lit((1 << WIDTH) - 1)).cast("int")
+def _words(code: Column, words: int) -> list[Column]:
+    return [code] if words == 1 else [code[w] for w in range(words)]
+
+
+def _segments(words: list[Column]) -> list[Column]:
+    low = F.lit((1 << WIDTH) - 1)
+    return [F.shiftrightunsigned(x, j * WIDTH).bitwiseAND(low).cast("int") for x in words for j in range(SEGMENTS)]
 
 
-def _postings(codes: DataFrame, name: str) -> DataFrame:
-    parts = F.array(*[F.struct(F.lit(j).alias("j"), _segment(F.col(name), j).alias("v")) for j in range(SEGMENTS)])
+def _postings(codes: DataFrame, name: str, words: int) -> DataFrame:
+    parts = F.array(*[F.struct(F.lit(j).alias("j"), v.alias("v")) for j, v in enumerate(_segments(_words(F.col(name), words)))])
     return codes.select("*", F.explode(parts).alias("_s")).select(*codes.columns, "_s.j", "_s.v")
 
 
@@ -54,9 +76,10 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k).drop("n")
 
 
-def topk(base: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
-    """``query_id, neighbor_id, distance, rank`` for ``queries`` against ``base``, both ``(id, code)``."""
+def topk(base: DataFrame, queries: DataFrame, k: int = K, words: int = 1) -> DataFrame:
+    """``query_id, neighbor_id, distance, rank`` for ``queries`` against ``base``, both ``(id, code)`` of ``words`` words."""
     spark = base.sparkSession
+    segments = words * SEGMENTS
     scratch = Scratch(spark, "topk")
     base = base.filter("id IS NOT NULL AND code IS NOT NULL")
     small = W.partitionBy("code").orderBy("id")
@@ -66,13 +89,13 @@ def topk(base: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         .groupBy("code")
         .agg(F.array_sort(F.collect_list("id")).alias("ids"))
     )
-    posted = scratch.table(_postings(index.select("code", F.col("ids")[0].alias("first_id"), F.size("ids").alias("held")), "code"))
+    posted = scratch.table(_postings(index.select("code", F.col("ids")[0].alias("first_id"), F.size("ids").alias("held")), "code", words))
     wanted = scratch.table(queries.filter("id IS NOT NULL AND code IS NOT NULL").select("id", F.col("code").alias("q")))
-    active = scratch.table(wanted.select("q").distinct().withColumn("bound", F.lit(BITS)))
+    active = scratch.table(wanted.select("q").distinct().withColumn("bound", F.lit(BITS * words)))
     best, done = None, []
     for radius in range(WIDTH + 1):
         masks = F.array(*[F.lit(x) for x in _masks(spark, radius)]) if comb(WIDTH, radius) <= 2000 else None
-        probes = _postings(active, "q")
+        probes = _postings(active, "q", words)
         if masks is None:  # beyond 2000 masks the list comes from a table of all substrings
             table = spark.range(1 << WIDTH).filter(F.expr(f"bit_count(id) = {radius}")).select(F.col("id").cast("int").alias("mask"))
             probes = probes.join(F.broadcast(table))  # 2**WIDTH rows at most
@@ -80,14 +103,10 @@ def topk(base: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
             probes = probes.withColumn("mask", F.explode(masks))
         probes = probes.select("q", "bound", "j", F.col("v").bitwiseXOR(F.col("mask")).alias("v"))
         side = posted.select("code", "first_id", "held", F.col("j").alias("pj"), F.col("v").alias("pv"))
-        apart = [F.bit_count(_segment(F.col("q").bitwiseXOR(F.col("code")), j)) for j in range(SEGMENTS)]
-        first = F.lit(False)
-        for j in range(SEGMENTS):
-            earlier = F.lit(True)
-            for i in range(SEGMENTS):
-                earlier = earlier & ((apart[i] > radius) if i < j else (apart[i] >= radius))
-            first = first | ((F.col("j") == j) & earlier)
-        distance = F.bit_count(F.col("q").bitwiseXOR(F.col("code")))
+        unlike = [a.bitwiseXOR(b) for a, b in zip(_words(F.col("q"), words), _words(F.col("code"), words), strict=True)]
+        apart = [F.bit_count(x) for x in _segments(unlike)]
+        first = (F.least(*apart) == radius) & (F.col("j") == F.coalesce(*[F.when(x == radius, j) for j, x in enumerate(apart)]))
+        distance = reduce(add, [F.bit_count(x) for x in unlike])
         # Exploded probes are larger than any estimate of them: a sort-merge join, which neither side must fit for.
         met = probes.hint("merge").join(
             side, (F.col("j") == F.col("pj")) & (F.col("v") == F.col("pv")) & first & (distance <= F.col("bound"))
@@ -96,8 +115,8 @@ def topk(base: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         upto = W.partitionBy("q").orderBy("distance", "first_id", "code").rowsBetween(W.unboundedPreceding, 0)
         reach = best.withColumn("rows", F.sum("held").over(upto)).filter(F.col("rows") >= k)
         kth = reach.groupBy("q").agg(F.min("distance").alias("kth"))
-        state = scratch.table(active.select("q").join(kth, "q", "left").select("q", F.coalesce("kth", F.lit(BITS)).alias("bound")))
-        covered = (F.col("bound") <= SEGMENTS * (radius + 1) - 1) | F.lit(radius == WIDTH)
+        state = scratch.table(active.select("q").join(kth, "q", "left").select("q", F.coalesce("kth", F.lit(BITS * words)).alias("bound")))
+        covered = (F.col("bound") <= segments * (radius + 1) - 1) | F.lit(radius == WIDTH)
         done.append(best.join(state.filter(covered), "q", "left_semi"))
         active = scratch.table(state.filter(~covered))
         best = scratch.table(best.join(active, "q", "left_semi"))
@@ -114,8 +133,9 @@ def topk(base: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
 
 def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read_table(spark, sf_dir, "embeddings")
-    coded = vectors.select(F.col("vec_id").alias("id"), sign_code(F.col("embedding")).alias("code"))
-    return topk(coded, coded.filter(F.col("id") % EVERY == 0))
+    words = words_for(vectors, "embedding")
+    coded = vectors.select(F.col("vec_id").alias("id"), sign_code(F.col("embedding"), words).alias("code"))
+    return topk(coded, coded.filter(F.col("id") % EVERY == 0), words=words)
 
 
 ORACLE = f"""

@@ -1,5 +1,7 @@
 """Search, mixing, URL filtering and the pipeline."""
 
+import random
+
 import pytest
 from helpers import DATA, rows
 
@@ -31,6 +33,25 @@ def test_search_nulls(spark):
     assert search.topk(none, none).count() == 0
 
 
+def test_search_beyond_64_components(spark, tmp_path):
+    """Vectors of 130 components that differ from the 65th on only, one that is far from all, a short one and a null."""
+    rng, vectors = random.Random(4), {}
+    centres = [[rng.choice((-1.0, 1.0)) for _ in range(66)] for _ in range(3)]
+    for i in range(90):
+        tail = list(centres[i % 3])
+        for k in rng.sample(range(66), i % 7):
+            tail[k] = -tail[k]
+        vectors[i] = [1.0] * 64 + tail
+    vectors[100], vectors[7], vectors[8] = [rng.choice((-1.0, 1.0)) for _ in range(130)], [1.0] * 70, None
+    spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    codes = {i: sum((x > 0) << k for k, x in enumerate(v)) for i, v in vectors.items() if v is not None}
+    got = search.op4_topk_search(spark, str(tmp_path)).collect()
+    assert {r["query_id"] for r in got} == {0, 50, 100}
+    for q in (0, 50, 100):
+        want = sorted(((c ^ codes[q]).bit_count(), i) for i, c in codes.items())[: search.K]
+        assert [(r["distance"], r["neighbor_id"]) for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == want
+
+
 def test_mixing_equals_sql(spark, duck, monkeypatch):
     want = rows(duck.sql(mixing.ORACLE).df())
     assert rows(mixing.op9_mixing(spark, DATA)) == want
