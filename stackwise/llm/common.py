@@ -7,6 +7,7 @@ see.  They cut lineage without tying data to an executor: a lost executor only c
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -27,13 +28,16 @@ CHUNK_BYTES = 1 << 18
 class Scratch:
     """Tables of one operator call in the shared folder.
 
-    The folder comes from the session's ``spark.checkpoint.dir``.  Only where that is unset (a local test) a folder
-    of this machine is used.
+    The folder comes from the session's ``spark.checkpoint.dir``.  Only where that is unset and Spark is local, as in
+    tests, a folder of this machine is used; on a cluster an unset folder is an error.  A table is deleted when the
+    operator has consumed it; what a returned frame still reads is deleted when the driver's JVM ends.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="stackwise-")
         self.spark = spark
         self.root = f"{base.rstrip('/')}/stackwise-{label}-{uuid.uuid4().hex}"
@@ -44,10 +48,17 @@ class Scratch:
         self._n += 1
         path = f"{self.root}/{self._n:03d}"
         df.write.parquet(path)
+        if self._n == 1:
+            root, system = self._hadoop(self.root)
+            system.deleteOnExit(root)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
 
+    def _hadoop(self, path: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def release(self) -> None:
         """Let Spark remove the shuffle files of finished jobs now: they'd else stay until the driver's next collection."""
         gc.collect()
@@ -56,8 +67,13 @@ class Scratch:
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that no later plan reads."""
         for df in tables:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            path, system = self._hadoop(df._scratch_path)
+            system.delete(path, True)
+
+    def end(self) -> None:
+        """Delete all tables of this scratch."""
+        root, system = self._hadoop(self.root)
+        system.delete(root, True)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -6,28 +6,29 @@
    three quarters of their sketches and at least ``SHARED`` of it but for a six-sigma event.  A node therefore only
    posts its rarest values, as many as must contain a shared one (prefix filtering): passages that many documents
    have are the most frequent values and are not posted by documents that hold much else.
-3. *Overlaps.*  Lists of up to ``SHORT`` nodes pair all that is still apart.  In a longer list one pivot, the node whose
-   values are the most frequent, meets the others on the full sets.  A node that is not linked with the pivot and has
-   ``a`` of its shingles can only be linked with a node of ``n`` shingles if they also share one that the pivot has not,
-   unless ``7 a >= 3 (own + n)``.  So the few pairs of the second kind are taken at once, and the list is replaced by
-   lists of the shingles that the pivot has not: a star of copies or a passage in very many documents falls apart
-   after one pivot, without pairing all with all.  Of lists with the same nodes one is kept, and lists whose nodes
-   are all connected are done.  Once a round no longer halves the pairs that are left, or they are at most ``REST`` for
-   each node, they are compared on the full sets, block against block: only links that connect something leave the
-   kernel.
-4. *Filter and verify.*  The union sketch of a pair (the smallest values of both sketches) estimates its Jaccard; six
-   sigma below the threshold are let through.  The rest is verified on the full sets.
-5. *Components* by alternating large-star and small-star joins over the verified links.
+3. *Overlaps.*  Only components are wanted, so a list first meets its pivot, the node whose values are the most
+   frequent: each other node is paired with the pivot that it shares most posted values with, one pair a node.  Then
+   lists of up to ``SHORT`` nodes pair what is still apart.
+4. *Long lists* whose nodes are still in several components are refined: their nodes post shingles of their full
+   sets, the rarest first, with the position.  A pair that first meets at positions ``i`` and ``j`` can share at most
+   ``n - i`` and ``m - j`` shingles, and a link needs 3/7 of ``n + m``: so a node only meets nodes of a few sizes, and in
+   the list of a shingle that nearly all copies have, only those that have hardly anything else.  These are the ones
+   that pivots connect, in rounds for as long as a round connects much.  What is then left to compare are pairs of
+   different components whose positions and sizes allow a link, found by a join on shingle and size class.
+5. *Filter and verify.*  The union sketch of a pair (the smallest values of both sketches) estimates its Jaccard; six
+   sigma below the threshold are let through.  The rest is verified on the full sets.  All pairs of 3 and 4 take both.
+6. *Components* by alternating large-star and small-star joins over the verified links.
 
 Defined results: words are ``[^\\x20\\x09-\\x0D]+`` after A-Z became a-z.  With one to four words the whole sequence is
 the one shingle.  Null, empty and blank texts have the empty set and are linked with nothing.  A row with null id is
-returned with its set size, null component and ``kept`` true.  Repeated rows fall together.  An empty table gives an
-empty result.  Only the id and the text are read; other columns do not matter.
+returned with its set size, null component and ``kept`` true.  Rows that repeat id and text fall together; rows that
+repeat an id with another text are documents of their own, with their own sets, links and component.  An empty table
+gives an empty result.  Only the id and the text are read; other columns do not matter.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,14 +44,10 @@ PERCENT = 75
 SKETCH = 64
 #: Part of a sketch that linked sets share at least: 0.75 less six sigma of 64 draws.
 SHARED = 0.42
-SHORT, ROUNDS = 8, 6
-#: Pairs for each node that are compared without further rounds (about a millisecond of work), and shingles in one
-#: block of that comparison.
-REST, BLOCK = 1000, 1 << 18
-
-
-#: The pivot of lists that come from no pivot.
-NO_PIVOT = -(1 << 63)
+#: Nodes of a list that are compared without refining it.
+SHORT = 8
+#: A round of pivots is followed by another if it connects more than this part of the nodes that are left.
+WORTHWHILE = 0.02
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, hasher: PolyHash) -> Iterator[np.ndarray]:
@@ -87,29 +84,27 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, k: int = SKETCH) -> DataFrame:
-    """``doc_id, n_shingles, a, b, sketch``: ``(a, b, n_shingles)`` names the set, 128 bits and its size."""
+def sketches(docs: DataFrame, k: int = SKETCH) -> DataFrame:
+    """``doc_id, h, n_shingles, a, b, sketch`` of ``docs`` (doc_id, h, text): ``(a, b, n_shingles)`` names the set, 128 bits and its size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = PolyHash()
         for batch in batches:
             n, a, b, small = [], [], [], []
-            for s in shingle_sets(*utf8(batch.column(1)), hasher):
+            for s in shingle_sets(*utf8(batch.column(2)), hasher):
                 u = s.view(np.uint64)
                 n.append(len(s))
                 a.append(int(mix(u + np.uint64(1)).sum(dtype=np.uint64).view(np.int64)))
                 b.append(int(np.bitwise_xor.reduce(mix(u ^ np.uint64(0x5851F42D4C957F2D)), initial=np.uint64(0)).view(np.int64)))
                 small.append(s[:k])
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), _lists(small)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "a", "b", "sketch"])
+            columns = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), _lists(small)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "n_shingles", "a", "b", "sketch"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, "doc_id long, n_shingles long, a long, b long, sketch array<long>"
-    )
+    return docs.mapInArrow(run, "doc_id long, h long, n_shingles long, a long, b long, sketch array<long>")
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
-    """``node, full`` of ``docs`` (doc_id, text)."""
+    """``node, full`` of ``docs`` (node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = PolyHash()
@@ -132,23 +127,25 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     Large-star links each node's larger neighbours to its smallest one, small-star the others; both only rewrite
     edges, and the rounds grow with the logarithm of the number of nodes.
     """
-    edges = scratch.table(edges.select(F.greatest("u", "w").alias("u"), F.least("u", "w").alias("w")).filter("u <> w").distinct())
-    mark = None
-    while True:
+    def written(df: DataFrame) -> tuple[DataFrame, dict]:
+        seen = Observation()
+        df = df.filter("u <> w").distinct().observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "w").cast("decimal(38,0)")).alias("sum"))
+        return scratch.table(df), seen.get
+
+    edges, mark = written(edges.select(F.greatest("u", "w").alias("u"), F.least("u", "w").alias("w")))
+    while mark["n"]:
         both = edges.unionByName(edges.select(F.col("w").alias("u"), F.col("u").alias("w")))
         low = both.groupBy(F.col("u").alias("x")).agg(F.min("w").alias("m")).withColumn("m", F.least("x", "m"))
         large = both.filter("w > u").join(low, F.col("u") == F.col("x")).select(F.col("w").alias("u"), F.col("m").alias("w")).distinct()
         low = large.groupBy(F.col("u").alias("x")).agg(F.min("w").alias("m"))
         small = large.join(low, F.col("u") == F.col("x"))
         small = small.select(F.col("w").alias("u"), F.col("m").alias("w")).unionByName(low.select(F.col("x").alias("u"), F.col("m").alias("w")))
-        seen = Observation()
-        new = small.filter("u <> w").distinct().observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "w").cast("decimal(38,0)")).alias("sum"))
-        new = scratch.table(new)
+        new, now = written(small)
         scratch.drop(edges)
         edges = new
-        if seen.get == mark:
+        if now == mark:
             break
-        mark = seen.get
+        mark = now
     return edges.select(F.col("u").alias("node"), F.col("w").alias("component")).unionByName(
         edges.select(F.col("w").alias("node"), F.col("w").alias("component")).distinct()
     )
@@ -162,204 +159,185 @@ def _passes(left, right, n_left, n_right):
     return (100 * F.least(n_left, n_right) >= PERCENT * F.greatest(n_left, n_right)) & (shared >= F.floor(SHARED * F.size(union)))
 
 
-def _filtered(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (u, w) that the size of their sets and their union sketch let through."""
-    u = nodes.select(F.col("node").alias("u"), F.col("sketch").alias("su"), F.col("n_shingles").alias("nu"))
-    w = nodes.select(F.col("node").alias("w"), F.col("sketch").alias("sw"), F.col("n_shingles").alias("nw"))
-    met = pairs.join(u, "u").join(w, "w")
-    return met.filter(_passes(F.col("su"), F.col("sw"), F.col("nu"), F.col("nw"))).select("u", "w")
+def _links(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """The distinct ``pairs`` (u, w) whose union sketch lets them through and whose full sets reach the threshold."""
+    side = lambda k: nodes.select(F.col("node").alias(k), F.col("sketch").alias(f"s{k}"), F.col("n_shingles").alias(f"n{k}"))
+    met = pairs.join(side("u"), "u").join(side("w"), "w")
+    likely = scratch.table(met.filter(_passes(F.col("su"), F.col("sw"), F.col("nu"), F.col("nw"))).select("u", "w", "nu", "nw"))
+    full = lambda k: sets.select(F.col("node").alias(k), F.col("full").alias(f"f{k}"))
+    shared = F.size(F.array_intersect("fu", "fw"))
+    linked = (100 + PERCENT) * shared >= PERCENT * (F.col("nu") + F.col("nw"))
+    out = scratch.table(likely.join(full("u"), "u").join(full("w"), "w").filter(linked).select("u", "w"))
+    scratch.drop(likely)
+    return out
 
 
-def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``u, w, nu, nw, shared`` on the full sets of the pairs."""
-    u = sets.select(F.col("node").alias("u"), F.col("full").alias("fu"))
-    w = sets.select(F.col("node").alias("w"), F.col("full").alias("fw"))
-    return pairs.join(u, "u").join(w, "w").select(
-        "u", "w", F.size("fu").cast("long").alias("nu"), F.size("fw").cast("long").alias("nw"), F.size(F.array_intersect("fu", "fw")).cast("long").alias("shared")
-    )
+def _relabelled(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """``node, label`` after more links: components of the labels, then the labels of the nodes."""
+    if links.isEmpty():
+        return labels
+    side = lambda k: labels.select(F.col("node").alias(k), F.col("label").alias(f"l{k}"))
+    joined = connected_components(links.join(side("u"), "u").join(side("w"), "w").select(F.col("lu").alias("u"), F.col("lw").alias("w")), scratch)
+    joined = joined.withColumnRenamed("node", "x")
+    new = scratch.table(labels.join(joined, F.col("label") == F.col("x"), "left").select("node", F.coalesce("component", "label").alias("label")))
+    scratch.drop(labels, links)
+    return new
+
 
+def _ranked(values: DataFrame, scratch: Scratch) -> DataFrame:
+    """``v, node, n, count, i`` of ``values`` (v, node, n): values that several nodes have, and their place among the node's.
 
-LINKED = f"100 * shared >= {PERCENT} * (nu + nw - shared)"
+    The rarest come first; values that no other node has come before all of these.
+    """
+    common = scratch.table(values.groupBy("v").count().filter("count > 1"))
+    order = W.partitionBy("node").orderBy("count", "v")
+    alone = F.col("n") - F.count(F.lit(1)).over(W.partitionBy("node"))
+    return values.join(common, "v").withColumn("i", alone + F.row_number().over(order) - 1)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose full sets reach the threshold."""
-    return _overlaps(pairs, sets).filter(LINKED).select("u", "w")
+def _open(lists: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
+    """``lists`` with the ``label`` of each node, and the ``size`` of its list; lists of one component are left out."""
+    members = lists.join(labels, "node")
+    shape = members.groupBy("v").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+    return scratch.table(members.join(shape.select("v", "size"), "v"))
 
 
-def _rest(members: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """Links (u, w) between nodes of the groups (o, node, label, n_shingles) that are still apart, block against block.
+def _star_pairs(members: DataFrame, turn: int) -> DataFrame:
+    """Each node with the pivot that it shares most lists with: ``u, w``, one pair a node, no matter how long the lists are.
 
-    A group is all nodes in lists of one pivot, so each set is held once for it.  A block holds ``BLOCK`` shingles,
-    however many nodes these are.  Of the links in one pair of blocks, those are returned that connect its components.
+    The pivot of a list is the node with the most frequent values, in later turns one by hash: any of the largest component then.
     """
-    order = W.partitionBy("o").orderBy("node")
-    numbered = members.withColumn("block", F.floor(F.sum("n_shingles").over(order) / BLOCK)).drop("n_shingles")
-    blocks = numbered.join(sets, "node").groupBy("o", "block").agg(F.collect_list(F.struct("node", "label", "full")).alias("held"))
-    blocks = scratch.table(blocks)
-    left = blocks.select("o", F.col("block").alias("i"), F.col("held").alias("x"))
-    right = blocks.select(F.col("o").alias("o2"), F.col("block").alias("j"), F.col("held").alias("y"))
-    pairs = left.join(right, (F.col("o") == F.col("o2")) & (F.col("i") <= F.col("j"))).select("x", "y")
+    score = F.col("weight") if turn == 0 else F.xxhash64("node", F.lit(turn)).cast("double")
+    pivot = members.groupBy("v").agg(F.max(F.struct(score.alias("score"), "node", "label")).alias("best"))
+    pivot = pivot.select("v", F.col("best.node").alias("pivot"), F.col("best.label").alias("to"))
+    overlaps = members.join(pivot, "v").filter("label <> to").groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("overlap"))
+    best = overlaps.groupBy("node").agg(F.max(F.struct("overlap", "pivot")).alias("best")).select("node", "best.pivot")
+    return best.select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("w")).distinct()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for x, y in zip(batch.column(0), batch.column(1), strict=True):
-                u, w = _block_links(x.values, y.values)
-                if len(u):
-                    yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(w, pa.int64())], ["u", "w"])
-
-    return pairs.mapInArrow(run, "u long, w long").distinct()
-
-
-def _block_links(x: pa.StructArray, y: pa.StructArray) -> tuple[list[int], list[int]]:
-    """Links between the nodes of two blocks that connect different components, from an inverted list of the second."""
-    (xn, xl, xs), (yn, yl, ys) = ((a.field(0).to_numpy(), a.field(1).to_numpy(), a.field(2)) for a in (x, y))
-    size = ys.value_lengths().to_numpy()
-    values, owner = ys.flatten().to_numpy(), np.repeat(np.arange(len(yn)), size)
-    order = np.argsort(values, kind="stable")
-    values, owner = values[order], owner[order]
-    parent: dict[int, int] = {}
-
-    def find(k: int) -> int:
-        while parent.setdefault(k, k) != k:
-            parent[k] = parent[parent[k]]
-            k = parent[k]
-        return k
-
-    u, w = [], []
-    for i in range(len(xn)):
-        own = xs[i].values.to_numpy()
-        first, last = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
-        n = last - first
-        at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
-        shared = np.bincount(owner[at], minlength=len(yn))
-        linked = (100 * shared >= PERCENT * (size + len(own) - shared)) & (yl != xl[i])
-        for j in np.flatnonzero(linked).tolist():
-            p, q = find(int(xl[i])), find(int(yl[j]))
-            if p != q:
-                parent[p] = q
-                u.append(int(xn[i]))
-                w.append(int(yn[j]))
-    return u, w
 
-
-def _relabelled(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
-    """``node, label`` after more links: components of the labels, then the labels of the nodes."""
-    if links.isEmpty():
-        return labels
-    side = lambda k: labels.select(F.col("node").alias(k), F.col("label").alias(f"l{k}"))
-    joined = connected_components(links.join(side("u"), "u").join(side("w"), "w").select(F.col("lu").alias("u"), F.col("lw").alias("w")), scratch)
-    joined = joined.withColumnRenamed("node", "x")
-    return scratch.table(labels.join(joined, F.col("label") == F.col("x"), "left").select("node", F.coalesce("component", "label").alias("label")))
+def _short_pairs(members: DataFrame) -> DataFrame:
+    """All pairs of different components in lists of up to ``SHORT`` nodes."""
+    short = members.filter(F.col("size") <= SHORT)
+    other = short.select(F.col("v").alias("v2"), F.col("node").alias("w"), F.col("label").alias("l2"))
+    met = short.join(other, (F.col("v") == F.col("v2")) & (F.col("node") < F.col("w")) & (F.col("label") != F.col("l2")))
+    return met.select(F.col("node").alias("u"), "w").distinct()
 
 
 def _size_class(n):
-    """Sizes within about half a percent of each other."""
-    return F.floor(200 * F.ln(n)).cast("int")
+    """Sizes within about three percent of each other."""
+    return F.floor(33 * F.ln(n)).cast("int")
+
+
+def _refined(long_: DataFrame, nodes: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """``v, node, n, i, most, weight``: the lists of shingles of the full sets of all nodes in ``long_``.
+
+    ``i`` is the shingle's place in the node's order and ``most`` the size of the largest set with which the node can be
+    linked if this is the first shingle that they share: ``7 (n - i) >= 3 (n + most)``.  Shingles that are too late for
+    any partner are not posted.
+    """
+    hot = sets.join(long_.select("node").distinct(), "node", "left_semi")
+    values = scratch.table(hot.select("node", F.size("full").cast("long").alias("n"), F.explode("full").alias("v")))
+    ranked = _ranked(values, scratch).withColumn("most", F.floor((4 * F.col("n") - 7 * F.col("i")) / 3))
+    weight = F.sum("count").over(W.partitionBy("node")) / F.col("n")
+    ranked = ranked.withColumn("weight", weight).filter("4 * most >= 3 * n")
+    out = scratch.table(ranked.select("v", "node", "n", "i", "most", "weight"))
+    scratch.drop(values)
+    return out
+
+
+def _position_pairs(members: DataFrame) -> DataFrame:
+    """Pairs of different components in refined lists that positions and sizes allow to be linked.
+
+    The larger set looks for the smaller one.  Most members of a long list are in one component; they don't meet each
+    other at all: nodes outside that component meet all, nodes inside only those outside.
+    """
+    small = members.filter("most >= n").select("v", _size_class(F.col("n")).alias("c"), F.col("node").alias("w"), F.col("label").alias("lw"), F.col("n").alias("nw"), F.col("most").alias("mw"))
+    kinds = small.groupBy("v", "c", "lw").count().groupBy("v", "c").agg(F.max(F.struct("count", "lw")).alias("best"), F.count(F.lit(1)).alias("kinds"))
+    kinds = kinds.select("v", "c", F.col("best.lw").alias("main"), "kinds")
+    upto = F.least("n", "most")
+    large = members.withColumn("c", F.explode(F.sequence(_size_class(F.ceil(0.75 * F.col("n"))), _size_class(upto))))
+    large = large.select("v", "c", "node", "label", "n", upto.alias("upto")).join(kinds, ["v", "c"]).filter("kinds > 1 OR label <> main")
+    fits = "label <> lw AND nw <= upto AND 4 * nw >= 3 * n AND n <= mw AND (n > nw OR node < w)"
+    outside = large.filter("label <> main").join(small, ["v", "c"]).filter(fits)
+    inside = large.filter("label = main").join(small.join(kinds, ["v", "c"]).filter("lw <> main").drop("main", "kinds"), ["v", "c"]).filter(fits)
+    pairs = outside.select("node", "w").unionByName(inside.select("node", "w"))
+    return pairs.select(F.least("node", "w").alias("u"), F.greatest("node", "w").alias("w")).distinct()
+
+
+def _components(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
+    """``node, label`` of all nodes that are linked or could be; ``nodes``: node, n_shingles, sketch; ``texts`` gives (node, text)."""
+    values = nodes.select("node", F.size("sketch").cast("long").alias("n"), F.explode("sketch").alias("v"))
+    ranked = _ranked(values, scratch)
+    weight = (F.sum("count").over(W.partitionBy("node")) / F.col("n")).alias("weight")
+    posted = F.col("i") <= F.col("n") - F.greatest(F.lit(1), F.floor(SHARED * F.col("n")))
+    posts = scratch.table(ranked.select("v", "node", weight, posted.alias("posted")).filter("posted").drop("posted"))
+    labels = scratch.table(posts.select("node").distinct().select("node", F.col("node").alias("label")))
+    lists = _open(posts, labels, scratch)
+    scratch.drop(posts)
+    sets = scratch.table(full_sets(texts(lists.select("node").distinct())))
+    links = _links(_star_pairs(lists, 0), nodes, sets, scratch)
+    labels = _relabelled(labels, links, scratch)
+    again = _open(lists.drop("label", "size"), labels, scratch)
+    scratch.drop(lists)
+    links = _links(_short_pairs(again), nodes, sets, scratch)
+    labels = _relabelled(labels, links, scratch)
+    long_ = again.filter(F.col("size") > SHORT).drop("label", "size")
+    long_ = _open(long_, labels, scratch)
+    scratch.drop(again)
+    if long_.isEmpty():
+        return labels
+    lists, turn = _refined(long_, nodes, sets, scratch), 0
+    scratch.drop(long_)
+    scratch.release()
+    while True:
+        members = _open(lists, labels, scratch)
+        links = _links(_star_pairs(members, turn), nodes, sets, scratch)
+        found, left = links.count(), members.agg(F.count_distinct("node")).first()[0]
+        labels = _relabelled(labels, links, scratch)
+        scratch.drop(members)
+        turn += 1
+        if found <= WORTHWHILE * left:
+            break
+    members = _open(lists, labels, scratch)
+    labels = _relabelled(labels, _links(_position_pairs(members), nodes, sets, scratch), scratch)
+    scratch.drop(members, lists, sets)
+    return labels
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``doc_id, n_shingles, component_id, kept``."""
+    """One row per document: ``doc_id, n_shingles, component_id, kept, h`` (``h`` tells texts of one id apart)."""
     scratch = Scratch(docs.sparkSession, "near")
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketched = scratch.table(sketches(docs, "doc_id", "text"))
-    sets_of = sketched.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    names = scratch.table(sets_of.groupBy("a", "b", "n_shingles").agg(F.min("doc_id").alias("node")))
-    nodes = scratch.table(
-        sets_of.join(names.select("node", F.col("a").alias("a2"), F.col("b").alias("b2")), (F.col("doc_id") == F.col("node")) & (F.col("a") == F.col("a2")) & (F.col("b") == F.col("b2")))
-        .select("node", "n_shingles", "sketch")
-        .dropDuplicates(["node"])
-    )
-    posted = nodes.select("node", F.size("sketch").alias("m"), F.explode("sketch").alias("v"))
-    common = posted.groupBy("v").count().filter("count > 1")
-    rarest = W.partitionBy("node").orderBy("count", "v")
-    prefix = F.col("m") - F.greatest(F.lit(1), F.floor(SHARED * F.col("m"))) + 1
-    ranked = posted.join(common, "v").withColumn("n", F.row_number().over(rarest))
-    # Values of one node only are not in the join: they are the rarest and count as posted.
-    own = F.col("m") - F.count(F.lit(1)).over(W.partitionBy("node"))
-    ranked = ranked.withColumn("own", own).filter(F.col("n") + F.col("own") <= prefix)
-    lists = scratch.table(ranked.select("v", "node"))
-    wanted = lists.select("node").distinct()
-    sets = scratch.table(full_sets(docs.join(wanted, F.col("doc_id") == F.col("node"), "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"])))
-
-    weight = posted.join(common, "v").groupBy("node").agg(F.sum("count").alias("weight"))
-    info = scratch.table(lists.select("node").distinct().join(weight, "node").join(nodes.select("node", "n_shingles"), "node"))
-    known, before = info.count(), 0
-    labels = info.select("node", F.col("node").alias("label"))
-    key = ["o", "u"]
-    open_ = lists.select(F.lit(NO_PIVOT).alias("o"), F.col("v").alias("u"), "node")
-    for turn in range(ROUNDS + 1):
-        members = open_.join(labels, "node").join(info, "node")
-        shape = members.groupBy(*key).agg(
-            F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high"),
-            F.max(F.struct(F.col("weight") / F.col("n_shingles"), -F.col("node"), "node", "label")).alias("best"),
-            F.bit_xor(F.xxhash64("node")).alias("e"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("f"),
-        )
-        # Lists with the same nodes say the same: one of them is enough.
-        same = shape.filter("low <> high").groupBy("o", "size", "e", "f").agg(F.min(F.struct("u", "best")).alias("one"))
-        shape = same.select("o", F.col("one.u").alias("u"), "size", F.col("one.best").alias("best")).select(*key, "size", F.col("best.node").alias("pivot"), F.col("best.label").alias("pivot_label"))
-        members = scratch.table(members.join(shape, key).select(*key, "node", "label", "n_shingles", "size", "pivot", "pivot_label"))
-        # What comparing all would cost: in each list, or, once lists belong to pivots, in the nodes of each pivot.
-        groups = members.filter(F.col("o") != NO_PIVOT).select("o", "node", "label", "n_shingles").distinct()
-        squares = groups.groupBy("o").count().select(F.col("count") * F.col("count")) if turn else members.select("size")
-        cost = squares.toDF("cost").agg(F.sum("cost")).first()[0]
-        if cost is None and members.isEmpty():
-            break
-        finish = turn == ROUNDS or (turn > 0 and ((cost or 0) <= REST * known or cost > before / 2))
-        before = cost
-        short, long_ = members.filter(F.col("size") <= SHORT), members.filter(F.col("size") > SHORT)
-        if turn == 0:  # one link each first: most of what is in a short list is connected by then
-            pairs = short.filter("label <> pivot_label").select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("w"))
-            again = short.select(*key, "node")
-        else:
-            short = short.filter(F.col("o") == NO_PIVOT) if finish else short
-            x = short.select(*[F.col(c).alias(f"x{c}") for c in key], F.col("node").alias("xn"), F.col("label").alias("xl"))
-            pairs = short.join(x, (F.col("o") == F.col("xo")) & (F.col("u") == F.col("xu")) & (F.col("node") < F.col("xn")) & (F.col("label") != F.col("xl")))
-            pairs = pairs.select(F.col("node").alias("u"), F.col("xn").alias("w"))
-            again = None
-        if finish:
-            found = _verified(scratch.table(_filtered(pairs.distinct(), nodes)), sets).unionByName(_rest(groups, sets, scratch))
-            labels = _relabelled(labels, scratch.table(found), scratch)
-            break
-        pairs = scratch.table(_filtered(pairs.distinct(), nodes))
-        star = long_.filter("label <> pivot_label").select(F.col("pivot").alias("u"), F.col("node").alias("w")).distinct()
-        star = scratch.table(_overlaps(star, sets))
-        apart = star.filter(f"NOT ({LINKED})")
-        # Pairs that the pivot's own shingles could link: both of them hold nearly all that a link needs.
-        held = long_.select("pivot", F.col("node").alias("z"), F.col("n_shingles").alias("nz")).distinct()
-        least, most = F.ceil(0.75 * F.col("nw")), F.floor((7 * F.col("shared") - 3 * F.col("nw")) / 3)
-        close = apart.filter(least <= most).withColumn("size", F.explode(F.sequence(_size_class(least), _size_class(most))))
-        close = close.join(
-            held.withColumn("zsize", _size_class(F.col("nz"))),
-            (F.col("u") == F.col("pivot")) & (F.col("size") == F.col("zsize")) & (F.col("z") != F.col("w")) & (F.col("z") != F.col("u")) & F.col("nz").between(least, most),
-        )
-        close = close.select(F.least("w", "z").alias("u"), F.greatest("w", "z").alias("w")).distinct()
-        found = _verified(pairs.unionByName(_filtered(close, nodes)).distinct(), sets).unionByName(star.filter(LINKED).select("u", "w"))
-        labels = _relabelled(labels, scratch.table(found), scratch)
-        pivots = apart.select(F.col("u").alias("o")).distinct()
-        left = held.select(F.col("pivot").alias("o"), F.col("z").alias("node")).join(pivots, "o", "left_semi").filter("o <> node")
-        own = sets.select("node", F.col("full").alias("own"))
-        theirs = sets.select(F.col("node").alias("o"), F.col("full").alias("theirs"))
-        rest = left.join(own, "node").join(theirs, "o").select("o", "node", F.explode(F.array_except("own", "theirs")).alias("u"))
-        rest = scratch.table(rest)
-        twice = rest.groupBy(*key).count().filter("count > 1").select(*key)
-        open_ = rest.join(twice, key).select(*key, "node")
-        open_ = open_ if again is None else open_.unionByName(again)
-        scratch.release()
-    component = names.join(labels.select(F.col("node").alias("x"), "label"), F.col("node") == F.col("x"), "left").select(
-        F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("n_shingles").alias("n2"), F.coalesce("label", "node").alias("component")
-    )
-    same = (F.col("a") == F.col("a2")) & (F.col("b") == F.col("b2")) & (F.col("n_shingles") == F.col("n2"))
-    out = sketched.select("doc_id", "n_shingles", "a", "b").join(scratch.table(component), same & F.col("doc_id").isNotNull(), "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    sketched = scratch.table(sketches(docs))
+    set_of = ["a", "b", "n_shingles"]
+    held = sketched.filter("n_shingles > 0 AND doc_id IS NOT NULL")
+    named = held.groupBy(*set_of).agg(F.min(F.struct("doc_id", "h")).alias("one"), F.first("sketch").alias("sketch"))
+    # Written once, so that the numbers stay what they are.
+    nodes = scratch.table(named.select(F.monotonically_increasing_id().alias("node"), *set_of, F.col("one.doc_id").alias("least"), "one.h", "sketch"))
+    names = nodes.select("node", F.col("least").alias("doc_id"), "h")
+
+    def texts(wanted: DataFrame) -> DataFrame:
+        rows = docs.join(names.join(wanted, "node", "left_semi"), ["doc_id", "h"])
+        return rows.dropDuplicates(["doc_id", "h"]).select("node", "text")
+
+    labels = _components(nodes.select("node", "n_shingles", "sketch"), texts, scratch)
+    labelled = nodes.select("node", *set_of, "least").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = scratch.table(labelled.drop("node"))
+    least = labelled.groupBy("label").agg(F.min("least").alias("component"))
+    component = scratch.table(labelled.join(least, "label").select(*set_of, "component"))
+    ids = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    known = sketched.filter(ids).select("doc_id", "h", *set_of).join(component, set_of)
+    known = known.select("doc_id", "n_shingles", F.col("component").alias("component_id"), "h")
+    other = sketched.filter(~ids).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "h")
+    out = known.unionByName(other)
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "h")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each component the document with the smallest id stays."""
-    gone = near_duplicates(docs, id_col, text_col).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs, id_col, text_col).filter("NOT kept").select(F.col("doc_id").alias("_gone"), F.col("h").alias("_h")).distinct()
+    return docs.join(gone, (F.col(id_col).cast("long") == F.col("_gone")) & (F.xxhash64(text_col) == F.col("_h")), "left_anti")
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read_table(spark, sf_dir, "documents"))
+    return near_duplicates(read_table(spark, sf_dir, "documents")).drop("h")

@@ -79,14 +79,49 @@ def test_common_passage_links_nothing(spark):
     check_near(spark.createDataFrame(docs, "doc_id long, text string"), docs)
 
 
-def test_rest_in_blocks(spark, monkeypatch):
-    """The exact comparison in many small blocks, and without it as many rounds as there are, give the same."""
+def test_refined_lists(spark, monkeypatch):
+    """With every list of three refined, positions and sizes lose no link; copies here also gain and lose words."""
     monkeypatch.setattr(near, "SHORT", 2)
-    monkeypatch.setattr(near, "BLOCK", 500)
-    docs = list(enumerate(varied(random.Random(5), 4, 12, 80, 8)))
+    rng = random.Random(5)
+    texts = varied(rng, 4, 14, 80, 8)
+    for t in varied(rng, 2, 20, 100, 6):
+        w = t.split()
+        a, b = rng.randrange(25), rng.randrange(25)
+        texts.append(" ".join(w[a : len(w) - b] + [f"t{rng.randrange(3)}" for _ in range(rng.randrange(12))]))
+    docs = list(enumerate(texts))
+    check_near(spark.createDataFrame(docs, "doc_id long, text string"), docs)
+
+
+def test_few_edits_from_a_small_vocabulary(spark, monkeypatch):
+    """Copies share their edits too, so that no list is left to one node."""
+    monkeypatch.setattr(near, "SHORT", 4)
+    rng, texts = random.Random(6), []
+    base = [f"w{k}" for k in range(90)]
+    for _ in range(200):
+        w = list(base)
+        for _ in range(rng.randrange(1, 7)):
+            w[rng.randrange(12) * 7] = rng.choice("xyz")
+        texts.append(" ".join(w))
+    docs = list(enumerate(texts))
     check_near(spark.createDataFrame(docs, "doc_id long, text string"), docs)
 
 
+def test_long_sets_meet_in_sketches(spark):
+    """Sets much larger than a sketch, with links near the threshold."""
+    docs = list(enumerate(varied(random.Random(7), 6, 15, 700, 45)))
+    check_near(spark.createDataFrame(docs, "doc_id long, text string"), docs)
+
+
+def test_links_of_a_repeated_id(spark):
+    """Rows that repeat an id with another text keep their own sets and links."""
+    a, b = (" ".join(f"{x}{k}" for k in range(40)) for x in "ab")
+    df = spark.createDataFrame([(1, a), (1, b), (2, a + " one"), (3, b + " two"), (0, b + " three")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"]) for r in near.near_duplicates(df).collect())
+    assert got == [(0, 0), (1, 0), (1, 1), (2, 1), (3, 0)]
+    kept = sorted((r["doc_id"], r["text"]) for r in near.near_dedup(df).collect())
+    assert kept == [(0, b + " three"), (1, a)]
+
+
 def test_near_nasty(nasty, empty):
     got = near.near_duplicates(nasty).collect()
     assert len(got) == 12
