@@ -11,6 +11,8 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -80,6 +82,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
@@ -168,6 +178,26 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return start, end, np.searchsorted(offsets, start, "right") - 1
 
 
+#: Keys that can each hold more than one in so many rows: no more than these many.
+HOT_KEYS = 20_000
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: dict[str, str], weight: str, rows: int) -> DataFrame:
+    """Inner join of ``left`` with ``right``, which has one row for each key and in ``weight`` how many rows of ``left`` it meets.
+
+    ``rows`` is the sum of all weights or more.  Keys with more than one in ``HOT_KEYS`` of them are ``HOT_KEYS`` at most:
+    their rows are broadcast, so those of ``left`` stay where they are.  The others shuffle; none of these is hot.  The keys
+    of ``left`` must not be null.
+    """
+    hot = F.col(weight) > rows // HOT_KEYS + 1
+    same = reduce(and_, [left[a] == F.col(b) for a, b in on.items()])
+    met = left.join(F.broadcast(right.filter(hot)), same, "left")
+    first = next(iter(on.values()))
+    cold = met.filter(F.col(first).isNull()).select(*[F.col(f"`{c}`") for c in left.columns])
+    cold = cold.join(right.filter(~hot), reduce(and_, [F.col(a) == F.col(b) for a, b in on.items()]))
+    return met.filter(F.col(first).isNotNull()).unionByName(cold)
+
+
 def checked_broadcast(df: DataFrame, rows: int, limit: int):
     """A broadcast hint only while the row count is proven to be below ``limit``; a shuffle join beyond it."""
     return F.broadcast(df) if rows <= limit else df

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import LOWER, PolyHash, Scratch, chunks, mix, read_table, utf8, word_spans
+from .common import LOWER, PolyHash, Scratch, chunks, free_name, mix, read_table, utf8, word_spans
 
 WORDS = 5
 #: Links have ``100 * intersection >= PERCENT * union``.
@@ -335,8 +335,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each component the document with the smallest id stays."""
-    gone = near_duplicates(docs, id_col, text_col).filter("NOT kept").select(F.col("doc_id").alias("_gone"), F.col("h").alias("_h")).distinct()
-    return docs.join(gone, (F.col(id_col).cast("long") == F.col("_gone")) & (F.xxhash64(text_col) == F.col("_h")), "left_anti")
+    gone, text = free_name(docs, "_gone"), free_name(docs, "_h")
+    out = near_duplicates(docs, id_col, text_col).filter("NOT kept").select(F.col("doc_id").alias(gone), F.col("h").alias(text)).distinct()
+    return docs.join(out, (F.col(id_col).cast("long") == F.col(gone)) & (F.xxhash64(text_col) == F.col(text)), "left_anti")
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

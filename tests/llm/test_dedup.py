@@ -7,6 +7,7 @@ import re
 import numpy as np
 from helpers import DATA, rows
 
+from stackwise.llm import common
 from stackwise.llm import op01_minhash_dedup as near
 from stackwise.llm import op02_exact_dedup as exact
 from stackwise.llm import op07_repeat_removal as repeats
@@ -161,7 +162,14 @@ def test_filter_only_spares_work(spark, monkeypatch):
     docs = read_table(spark, DATA, "documents")
     want = rows(exact.decisions(docs))
     monkeypatch.setattr(exact, "LEAST_BITS", 64)
-    monkeypatch.setattr(exact, "BITS_PER_ROW", 1)
+    monkeypatch.setattr(exact, "BITS_PER_TEXT", 1)
+    assert rows(exact.decisions(docs)) == want
+
+
+def test_no_text_is_hot_or_all_are(spark, monkeypatch):
+    docs = read_table(spark, DATA, "documents")
+    want = rows(exact.decisions(docs))
+    monkeypatch.setattr(common, "HOT_KEYS", 1)
     assert rows(exact.decisions(docs)) == want
 
 
