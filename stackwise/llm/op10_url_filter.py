@@ -4,11 +4,12 @@ A url is split into host and path.  A fixed rule (host suffix and path prefix) d
 one wins.  All other urls are judged by the template of their path: per host, each path segment descends one level.
 Segments of digits are variable at once; so is every other segment value that has under ``MIN_SHARE`` of its branch,
 in a branch with more than ``MAX_CHILDREN`` values.  Variable values become ``*``.  Sibling branches whose rate of bad
-labels does not differ from the pooled rest of their parent (two-proportion z below ``MERGE_Z``) are merged into ``*``
-as well.  A template is rejected if its smoothed purity ``(bad + PRIOR * base) / (labelled + PRIOR)`` reaches ``REJECT``.
+labels does not differ from the pooled rest of their parent (two-proportion z of ``MERGE_Z`` at most; equal rates never
+differ, those of 0 and 1 included) are merged into ``*`` as well.  A template is rejected if its smoothed purity ``(bad + PRIOR * base) / (labelled + PRIOR)`` reaches ``REJECT``.
 
 The tree is built from counts only: one aggregation by (host, path prefix) for each level, so a hot host is summed up
-before its counts move, and no url is ever gathered with others of its host.  It goes as deep as the paths do.  A path
+before its counts move, and no url is ever gathered with others of its host: what a hot branch, template or path gets to
+know is broadcast to its rows (``common.spread_join``).  It goes as deep as the paths do.  A path
 takes part until it ends or is alone in its branch, where nothing can change any more, so one long url costs no rounds.
 
 Defined results: a null url, or one without ``://``, has empty host and path, no rule, and the verdict of the empty
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, read_table
+from .common import Scratch, read_table, spread_join
 
 #: Fixed rules: verdict, host, path.
 RULES = (
@@ -64,11 +65,11 @@ def _segments(path):
     return F.transform(parts, lambda x: F.regexp_replace(x, "[0-9]+", "*"))
 
 
-def _generalise(paths: DataFrame, level: int) -> DataFrame:
+def _generalise(paths: DataFrame, level: int, rows: int) -> DataFrame:
     """Replace the segment of one level by ``*`` where it is variable or its branch is like its siblings.
 
     ``paths``: distinct ``(host, raw, segments, n, labelled, bad)`` with more than ``level`` segments; the prefix above
-    ``level`` is already a template.  ``settled`` in the result: the path has no further level, or no other path shares
+    ``level`` is already a template.  ``rows``: how many paths there are at most.  ``settled`` in the result: the path has no further level, or no other path shares
     its branch.
     """
     here = paths.withColumn("parent", F.expr(f"slice(segments, 1, {level})")).withColumn(
@@ -85,14 +86,13 @@ def _generalise(paths: DataFrame, level: int) -> DataFrame:
         F.sum("labelled").alias("all_labelled"),
         F.sum("bad").alias("all_bad"),
     )
-    joined = counts.join(totals, (F.col("host") == F.col("h")) & (F.col("parent") == F.col("p")))
+    joined = spread_join(counts, totals, {"host": "h", "parent": "p"}, "children", rows)
     rest = F.col("all_labelled") - F.col("labelled")
     share = F.try_divide
     pooled = share(F.col("all_bad"), F.col("all_labelled"))
     spread = F.sqrt(pooled * (1 - pooled) * (share(F.lit(1.0), F.col("labelled")) + share(F.lit(1.0), rest)))
     apart = F.abs(share(F.col("bad"), F.col("labelled")) - share(F.col("all_bad") - F.col("bad"), rest))
-    z = share(apart, spread)
-    alike = (F.col("labelled") >= LEAST_LABELLED) & (rest >= LEAST_LABELLED) & (spread > 0) & (z < MERGE_Z)
+    alike = (F.col("labelled") >= LEAST_LABELLED) & (rest >= LEAST_LABELLED) & (apart <= MERGE_Z * spread)
     rare = (F.col("children") > MAX_CHILDREN) & (F.col("n") < MIN_SHARE * F.col("all_n"))
     wild = joined.select(
         F.col("h").alias("_h"),
@@ -102,15 +102,16 @@ def _generalise(paths: DataFrame, level: int) -> DataFrame:
         .otherwise(F.col("value"))
         .alias("_to"),
         (F.col("all_paths") == 1).alias("_alone"),
+        F.col("paths").alias("_paths"),
     )
-    out = here.join(wild, (F.col("host") == F.col("_h")) & (F.col("parent") == F.col("_p")) & (F.col("value") == F.col("_v")))
+    out = spread_join(here, wild, {"host": "_h", "parent": "_p", "value": "_v"}, "_paths", rows)
     changed = F.concat(F.col("parent"), F.array("_to"), F.expr(f"slice(segments, {level + 2}, size(segments))"))
     settled = F.col("_alone") | (F.size("segments") <= level + 1)
     return out.select("host", "raw", changed.alias("segments"), "n", "labelled", "bad", settled.alias("settled"))
 
 
 def template_verdicts(urls: DataFrame) -> DataFrame:
-    """``(host, raw, template, verdict)`` for each distinct host and segment list of ``urls`` (host, raw, bad)."""
+    """``(host, raw, template, verdict, n)`` for each distinct host and segment list of ``urls`` (host, raw, bad), ``n`` times there."""
     scratch = Scratch(urls.sparkSession, "url")
     label = F.col("bad").isNotNull().cast("long")
     paths = urls.groupBy("host", "raw").agg(
@@ -118,23 +119,22 @@ def template_verdicts(urls: DataFrame) -> DataFrame:
     )
     settled = (F.size("raw") == 0).alias("settled")
     paths = scratch.table(paths.select("host", "raw", F.col("raw").alias("segments"), "n", "labelled", "bad", settled))
+    rows = paths.count()
     done, level = paths.filter("settled"), 0
     while not (paths := paths.filter("NOT settled")).isEmpty():
-        paths = scratch.table(_generalise(paths.drop("settled"), level))
+        paths = scratch.table(_generalise(paths.drop("settled"), level, rows))
         done, level = done.unionByName(paths.filter("settled")), level + 1
     paths = scratch.table(done.drop("settled"))
     base = paths.agg(F.try_divide(F.sum("bad"), F.sum("labelled")).alias("base"))
     purity = (F.col("bad") + PRIOR * F.col("base")) / (F.col("labelled") + PRIOR)
     leaves = (
         paths.groupBy(F.col("host").alias("_host"), F.col("segments").alias("_template"))
-        .agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
+        .agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"), F.count(F.lit(1)).alias("_paths"))
         .join(F.broadcast(base))  # one row
-        .select("_host", "_template", F.when(purity >= REJECT, "block").otherwise("allow").alias("verdict"))
+        .select("_host", "_template", F.when(purity >= REJECT, "block").otherwise("allow").alias("verdict"), "_paths")
     )
-    return paths.join(
-        leaves, (F.col("host") == F.col("_host")) & (F.col("segments") == F.col("_template"))
-    ).select(
-        "host", "raw", F.concat(F.lit("/"), F.array_join("segments", "/")).alias("template"), "verdict"
+    return spread_join(paths, leaves, {"host": "_host", "segments": "_template"}, "_paths", rows).select(
+        "host", "raw", F.concat(F.lit("/"), F.array_join("segments", "/")).alias("template"), "verdict", "n"
     )
 
 
@@ -145,11 +145,10 @@ def judge(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col:
     urls = urls.withColumn("raw", _segments(F.col("path")))
     known = labels.groupBy(F.col("page_id").alias("_id")).agg(F.max("bad").cast("int").alias("bad"))
     marked = urls.join(known, F.col("page_id") == F.col("_id"), "left").select("host", "raw", "bad")
-    found = template_verdicts(marked).select(
-        F.col("host").alias("_h"), F.col("raw").alias("_r"), "template", F.col("verdict").alias("_method")
-    )
+    found = Scratch(pages.sparkSession, "url").table(template_verdicts(marked))
+    found = found.select(F.col("host").alias("_h"), F.col("raw").alias("_r"), "template", F.col("verdict").alias("_method"), F.col("n").alias("_n"))
     rule, ruled = rule_of(F.col("host"), F.col("path"))
-    return urls.join(found, (F.col("host") == F.col("_h")) & (F.col("raw") == F.col("_r")), "left").select(
+    return spread_join(urls, found, {"host": "_h", "raw": "_r"}, "_n", pages.count()).select(
         "page_id", "host", "path", rule.alias("rule"), F.coalesce(ruled, F.col("_method")).alias("verdict"), "template"
     )
 
@@ -181,7 +180,7 @@ def _oracle() -> str:
 , z{k} AS (SELECT *, CASE WHEN labelled >= {LEAST_LABELLED} AND rest >= {LEAST_LABELLED}
     THEN sqrt(pooled * (1 - pooled) * (1.0 / labelled + 1.0 / rest)) END AS spread FROM s{k})
 , w{k} AS (SELECT host, parent, value, CASE WHEN children > 1 AND ((children > {MAX_CHILDREN} AND n < {MIN_SHARE} * all_n)
-    OR coalesce(spread > 0 AND abs(bad / labelled - (all_bad - bad) / rest) / nullif(spread, 0) < {MERGE_Z}, false)) THEN '*' ELSE value END AS goes FROM z{k})
+    OR coalesce(abs(bad / labelled - (all_bad - bad) / rest) <= {MERGE_Z} * spread, false)) THEN '*' ELSE value END AS goes FROM z{k})
 , p{k + 1} AS (SELECT h.host, h.raw, CASE WHEN goes IS NULL THEN segments ELSE list_concat(list_concat(h.parent, [goes]), segments[{k + 2}:]) END AS segments,
     n, labelled, bad FROM h{k} h LEFT JOIN w{k} w ON h.host = w.host AND h.parent = w.parent AND h.value = w.value)"""
     last = f"p{DEPTH}"
