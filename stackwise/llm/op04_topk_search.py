@@ -29,6 +29,8 @@ from .common import Scratch, read_table
 
 BITS, SEGMENTS, K, EVERY = 64, 4, 10, 50
 WIDTH = BITS // SEGMENTS
+#: Probes that one task makes, about, and tasks that make them, at most.
+PROBES, MOST_TASKS = 500_000, 10_000
 
 
 def sign_code(vector: Column, words: int = 1) -> Column:
@@ -66,8 +68,9 @@ def _postings(codes: DataFrame, name: str, words: int) -> DataFrame:
     return codes.select("*", F.explode(parts).alias("_s")).select(*codes.columns, "_s.j", "_s.v")
 
 
-def _masks(spark: SparkSession, radius: int) -> list[int]:
-    return [x for x in range(1 << WIDTH) if x.bit_count() == radius]
+def _masks(radius: int) -> Column:
+    """All substrings of ``radius`` set bits: a constant, evaluated once when the plan is made."""
+    return F.expr(f"filter(sequence(0, {(1 << WIDTH) - 1}), x -> bit_count(x) = {radius})")
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -78,9 +81,8 @@ def _best(found: DataFrame, k: int) -> DataFrame:
 
 def topk(base: DataFrame, queries: DataFrame, k: int = K, words: int = 1) -> DataFrame:
     """``query_id, neighbor_id, distance, rank`` for ``queries`` against ``base``, both ``(id, code)`` of ``words`` words."""
-    spark = base.sparkSession
     segments = words * SEGMENTS
-    scratch = Scratch(spark, "topk")
+    scratch = Scratch(base.sparkSession, "topk")
     base = base.filter("id IS NOT NULL AND code IS NOT NULL")
     small = W.partitionBy("code").orderBy("id")
     index = scratch.table(
@@ -92,15 +94,11 @@ def topk(base: DataFrame, queries: DataFrame, k: int = K, words: int = 1) -> Dat
     posted = scratch.table(_postings(index.select("code", F.col("ids")[0].alias("first_id"), F.size("ids").alias("held")), "code", words))
     wanted = scratch.table(queries.filter("id IS NOT NULL AND code IS NOT NULL").select("id", F.col("code").alias("q")))
     active = scratch.table(wanted.select("q").distinct().withColumn("bound", F.lit(BITS * words)))
-    best, done = None, []
+    best, done, left = None, [], active.count()
     for radius in range(WIDTH + 1):
-        masks = F.array(*[F.lit(x) for x in _masks(spark, radius)]) if comb(WIDTH, radius) <= 2000 else None
-        probes = _postings(active, "q", words)
-        if masks is None:  # beyond 2000 masks the list comes from a table of all substrings
-            table = spark.range(1 << WIDTH).filter(F.expr(f"bit_count(id) = {radius}")).select(F.col("id").cast("int").alias("mask"))
-            probes = probes.join(F.broadcast(table))  # 2**WIDTH rows at most
-        else:
-            probes = probes.withColumn("mask", F.explode(masks))
+        # A query makes up to 12,870 probes for each segment: they are made in tasks of about PROBES each.
+        parts = max(1, min(MOST_TASKS, left * segments * comb(WIDTH, radius) // PROBES))
+        probes = _postings(active.repartition(parts, "q"), "q", words).withColumn("mask", F.explode(_masks(radius)))
         probes = probes.select("q", "bound", "j", F.col("v").bitwiseXOR(F.col("mask")).alias("v"))
         side = posted.select("code", "first_id", "held", F.col("j").alias("pj"), F.col("v").alias("pv"))
         unlike = [a.bitwiseXOR(b) for a, b in zip(_words(F.col("q"), words), _words(F.col("code"), words), strict=True)]
@@ -119,8 +117,8 @@ def topk(base: DataFrame, queries: DataFrame, k: int = K, words: int = 1) -> Dat
         covered = (F.col("bound") <= segments * (radius + 1) - 1) | F.lit(radius == WIDTH)
         done.append(best.join(state.filter(covered), "q", "left_semi"))
         active = scratch.table(state.filter(~covered))
-        best = scratch.table(best.join(active, "q", "left_semi"))
-        if active.isEmpty():
+        best, left = scratch.table(best.join(active, "q", "left_semi")), active.count()
+        if not left:
             break
     all_best = done[0]
     for x in done[1:]:
