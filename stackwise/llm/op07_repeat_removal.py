@@ -6,8 +6,9 @@
 2. *Equal segments* (the same bytes around the same anchor, a 128-bit name) are repeated as a whole.
 3. *Column-wise construction* for the segments that only share their anchor.  The distinct segments of a bucket are
    documents, aligned at their anchors.  One symbol of each document is inserted per round, from the last column to the
-   first.  A round sorts the documents by (anchor, symbol, order so far), which is their part of the collection's
-   suffix order, and updates the common prefix of neighbours: one more than the least common prefix between the two in
+   first.  Taken in the suffix order so far, a round's symbols are the column's part of the collection's
+   Burrows-Wheeler transform; sorting it stably within the anchors gives the next suffix order (the transform's
+   last-to-first mapping), and updates the common prefix of neighbours: one more than the least common prefix between the two in
    the order of the round before.  Neighbours with 200 common bytes hold a repeated window.  The columns lie in a
    sequential external file, written once and read one column per round; a round keeps only order and prefixes.
    The full transform (one suffix for every byte of the corpus, as many rounds as the longest document) would read
@@ -105,21 +106,21 @@ def segments(data: np.ndarray, at: np.ndarray, gram: PolyHash, whole: PolyHash):
 
 
 def anchored(docs: DataFrame) -> DataFrame:
-    """``uid, lo, hi, p, f, g`` for the segments of ``docs`` (uid, text)."""
+    """``u, v, lo, hi, p, f, g`` for the segments of ``docs`` (u, v, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gram, whole = PolyHash(1), PolyHash(2)
         for batch in batches:
-            data, offsets = utf8(batch.column(1))
-            uids = batch.column(0)
+            data, offsets = utf8(batch.column(2))
             for a, b in chunks(offsets):
                 base = offsets[a]
                 d, lo, hi, p, f, g = segments(data[base : offsets[b]], offsets[a : b + 1] - base, gram, whole)
                 if len(d):
-                    columns = [uids.take(pa.array(d + a)), *(pa.array(x.astype(np.int32)) for x in (lo, hi, p)), pa.array(f), pa.array(g)]
-                    yield pa.RecordBatch.from_arrays(columns, ["uid", "lo", "hi", "p", "f", "g"])
+                    at = pa.array(d + a)
+                    columns = [batch.column(0).take(at), batch.column(1).take(at), *(pa.array(x.astype(np.int32)) for x in (lo, hi, p)), pa.array(f), pa.array(g)]
+                    yield pa.RecordBatch.from_arrays(columns, ["u", "v", "lo", "hi", "p", "f", "g"])
 
-    return docs.mapInArrow(run, "uid long, lo int, hi int, p int, f long, g long")
+    return docs.mapInArrow(run, "u long, v long, lo int, hi int, p int, f long, g long")
 
 
 def aligned_repeats(group: np.ndarray, left: np.ndarray, right: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -151,7 +152,7 @@ def aligned_repeats(group: np.ndarray, left: np.ndarray, right: np.ndarray, data
             column[:, a:b] = block.T
         differ = np.full(m, after, np.int64)  # first column in which a document differs from its neighbour above
         for j in range(after - 1, -before - 1, -1):
-            symbol = column[j + before][order].astype(np.int64)
+            symbol = column[j + before][order].astype(np.int64)  # the transform: what stands before each suffix, in their order
             # Before its first and after its last column a document has a symbol that is like no other.
             present = (right[order] > j) & (left[order] >= -j)
             symbol[~present] = -1
@@ -242,9 +243,9 @@ def _windows(cut: DataFrame) -> DataFrame:
 
 
 def _cut(wanted: DataFrame, docs: DataFrame) -> DataFrame:
-    """``f, g, left, right, bytes`` for ``wanted`` (uid, f, g, lo, hi, p) from the texts of ``docs`` (uid, text)."""
-    lists = wanted.groupBy(F.col("uid").alias("u")).agg(F.collect_list(F.struct("f", "g", "lo", "hi", "p")).alias("parts"))
-    met = docs.join(lists, F.col("uid") == F.col("u")).select("text", "parts")
+    """``f, g, left, right, bytes`` for ``wanted`` (u, v, f, g, lo, hi, p) from the texts of ``docs`` (u, v, text)."""
+    lists = wanted.groupBy("u", "v").agg(F.collect_list(F.struct("f", "g", "lo", "hi", "p")).alias("parts"))
+    met = docs.join(lists, ["u", "v"]).select("text", "parts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -268,21 +269,21 @@ def _cut(wanted: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def repeated_ranges(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """``uid, lo, hi``: byte ranges of ``docs`` (uid, text) that repeated strings cover; ranges may overlap."""
+    """``u, v, lo, hi``: byte ranges of ``docs`` (u, v, text) that repeated strings cover; ranges may overlap."""
     found = scratch.table(anchored(docs))
     shape = found.groupBy(F.col("f").alias("f1")).agg(F.count(F.lit(1)).alias("n"), F.min("g").alias("least"), F.max("g").alias("most")).filter("n > 1")
     shape = scratch.table(shape.select("f1", (F.col("least") == F.col("most")).alias("uniform")))
     repeated = scratch.table(found.join(shape, F.col("f") == F.col("f1")).drop("f1"))
     scratch.drop(found)
     scratch.release()
-    whole = repeated.filter("uniform").select("uid", "lo", "hi")
+    whole = repeated.filter("uniform").select("u", "v", "lo", "hi")
     mixed = repeated.filter("NOT uniform").drop("uniform")
     named = scratch.table(
-        mixed.groupBy("f", "g").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("uid", "lo", "hi", "p")).alias("one"))
+        mixed.groupBy("f", "g").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("u", "v", "lo", "hi", "p")).alias("one"))
     )
     count = scratch.table(named.groupBy(F.col("f").alias("f1")).agg(F.count(F.lit(1)).alias("kinds")))
     many = count.filter(F.col("kinds") > MOST_ALIGNED)
-    wanted = named.select("one.uid", "f", "g", "one.lo", "one.hi", "one.p")
+    wanted = named.select("one.u", "one.v", "f", "g", "one.lo", "one.hi", "one.p")
     cut = scratch.table(_cut(wanted, docs).dropDuplicates(["f", "g"]))
     total = cut.count()
     buckets = max(1, -(-total // BUCKET))
@@ -304,8 +305,8 @@ def repeated_ranges(docs: DataFrame, scratch: Scratch) -> DataFrame:
     tagged = scratch.table(tagged)
     spans = ranges.select(F.col("f").alias("f2"), F.col("g").alias("g2"), "a", "b")
     part = tagged.filter("n = 1").join(spans, (F.col("f") == F.col("f2")) & (F.col("g") == F.col("g2")))
-    part = part.select("uid", (F.col("lo") + F.col("a")).alias("lo"), (F.col("lo") + F.col("b")).alias("hi"))
-    out = scratch.table(whole.unionByName(tagged.filter("n > 1").select("uid", "lo", "hi")).unionByName(part))
+    part = part.select("u", "v", (F.col("lo") + F.col("a")).alias("lo"), (F.col("lo") + F.col("b")).alias("hi"))
+    out = scratch.table(whole.unionByName(tagged.filter("n > 1").select("u", "v", "lo", "hi")).unionByName(part))
     scratch.drop(repeated, named, cut, tagged)
     scratch.release()
     return out
@@ -315,10 +316,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` (and ``kept``, the remaining bytes) for each row."""
     scratch = Scratch(docs.sparkSession, "repeats")
     text = text_or_empty(text_col)
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), text).alias("uid"), text.alias("text"))
-    ranges = repeated_ranges(docs.select("uid", "text"), scratch)
-    lists = ranges.groupBy(F.col("uid").alias("u")).agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    met = docs.join(lists, F.col("uid") == F.col("u"), "left").select("doc_id", "text", "ranges")
+    # Rows are named by 128 bits of id and text; rows that repeat both are one text that occurs more than once.
+    names = [F.xxhash64(F.col(id_col), text).alias("u"), F.xxhash64(F.lit(1), text, F.col(id_col)).alias("v")]
+    docs = docs.select(F.col(id_col).alias("doc_id"), *names, text.alias("text"))
+    ranges = repeated_ranges(docs.select("u", "v", "text"), scratch)
+    lists = ranges.groupBy("u", "v").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    met = docs.join(lists, ["u", "v"], "left").select("doc_id", "text", "ranges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
