@@ -189,12 +189,17 @@ def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col:
     return OrdinalModel.fit([np.frombuffer(r, np.int32) for r in got["row"].to_pylist()], got["grade"].to_numpy().astype(np.int64))
 
 
-def score(docs: DataFrame, model: OrdinalModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``expected_grade``, ``p_top`` and ``keep``; columns of these names are replaced."""
-    added = {"expected_grade": "double", "p_top": "double", "keep": "boolean"}
+#: Columns that ``score`` adds: expected grade, probability of the top grade, and whether that reaches ``KEEP_AT``.
+ADDED = ("expected_grade", "p_top", "keep")
+
+
+def score(docs: DataFrame, model: OrdinalModel | None, id_col: str = "doc_id", text_col: str = "text", added: tuple[str, str, str] = ADDED) -> DataFrame:
+    """``docs`` with the three columns ``added``; columns of these names are replaced."""
+    kinds = dict(zip(added, ("double", "double", "boolean"), strict=True))
     docs = docs.drop(*added)
     if model is None:
-        return docs.withColumns({"expected_grade": F.lit(None).cast("double"), "p_top": F.lit(None).cast("double"), "keep": F.lit(True)})
+        none = F.lit(None).cast("double")
+        return docs.withColumns(dict(zip(added, (none, none, F.lit(True)), strict=True)))
     held = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))
     at, names = docs.columns.index(text_col), [*docs.columns, *added]
 
@@ -205,7 +210,7 @@ def score(docs: DataFrame, model: OrdinalModel | None, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(expected), pa.array(top), pa.array(top >= KEEP_AT)], names)
 
     schema = T.StructType(list(docs.schema.fields))
-    for name, kind in added.items():
+    for name, kind in kinds.items():
         schema = schema.add(name, kind)
     return docs.mapInArrow(run, schema)
 

@@ -12,7 +12,7 @@ bucket holds the end of the prefix, and only the documents of this one bucket ar
 Defined results: tokens of a document are its words (runs of other than 0x20 and 0x09 to 0x0D) plus one for its end, so
 null and empty texts count one token.  Null language or source is the branch ``unknown``.  Unlisted weights are
 ``OTHER_WEIGHT``.  Null ids take part under the name ``null``; repeated rows are separate documents.  An empty table
-gives an empty result.  A document that would pass the budget's end is left out, and the prefix ends there.
+gives an empty result.  Columns of the input keep their values whatever their names; only one named like the epoch column is replaced.  A document that would pass the budget's end is left out, and the prefix ends there.
 """
 
 from __future__ import annotations
@@ -92,10 +92,11 @@ def _key(seed: int, id_col: str) -> Column:
     return F.sha2(F.concat_ws(":", F.lit(str(seed)), (F.col("_full") + 1).cast("string"), name), 256)
 
 
-def _placed(docs: DataFrame) -> DataFrame:
-    """``docs`` with its leaf: ``_domain, _lang, _source``."""
+def _placed(docs: DataFrame, id_col: str) -> DataFrame:
+    """``_row, _id, _text`` of ``docs`` with its leaf: ``_domain, _lang, _source``."""
     source = F.coalesce(F.col("source"), F.lit("unknown"))
-    return docs.withColumns({"_domain": domain_of(source), "_lang": F.coalesce(F.col("lang"), F.lit("unknown")), "_source": source})
+    leaf = [domain_of(source).alias("_domain"), F.coalesce(F.col("lang"), F.lit("unknown")).alias("_lang"), source.alias("_source")]
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"), F.col("text").alias("_text"), *leaf)
 
 
 def leaf_cuts(docs: DataFrame, share: float, max_epochs: int, seed: int, id_col: str, scratch: Scratch) -> tuple[DataFrame, int]:
@@ -104,10 +105,10 @@ def leaf_cuts(docs: DataFrame, share: float, max_epochs: int, seed: int, id_col:
     A document is in the epochs 1 to ``_full`` of its leaf, and in one more if its key there is at most ``_cut``.
     """
     base = scratch.table(
-        _placed(docs).select(
-            F.col(id_col).alias("doc_id"),
+        _placed(docs, id_col).select(
+            F.col("_id").alias("doc_id"),
             *[F.col(f"_{level}").alias(level) for level in LEVELS],
-            token_count().alias("tokens"),
+            token_count("_text").alias("tokens"),
         )
     )
     leaves = base.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows"))
@@ -136,29 +137,38 @@ def leaf_cuts(docs: DataFrame, share: float, max_epochs: int, seed: int, id_col:
     return scratch.table(cuts), n_leaves
 
 
-def select_epochs(
-    docs: DataFrame, share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: int = SEED, id_col: str = "doc_id"
-) -> DataFrame:
-    """The selected rows of ``docs``, all columns as they were, with ``epoch``: one row for each epoch it is in.
+def _chosen(docs: DataFrame, share: float, max_epochs: int, seed: int, id_col: str) -> DataFrame:
+    """The selected rows of ``docs`` as ``_placed`` has them, with ``_epoch``: one row for each epoch it is in.
 
     Texts don't shuffle: a row's fate follows from its leaf and its own key.
     """
     cuts, n_leaves = leaf_cuts(docs, share, max_epochs, seed, id_col, Scratch(docs.sparkSession, "mix"))
     names = [f"_{level}" for level in LEVELS]
-    rows = _placed(docs).join(checked_broadcast(cuts, n_leaves, SMALL_ROWS), names)
+    rows = _placed(docs, id_col).join(checked_broadcast(cuts, n_leaves, SMALL_ROWS), names)
     whole = F.when(F.col("_full") > 0, F.sequence(F.lit(1), F.col("_full").cast("int"))).otherwise(F.array().cast("array<int>"))
-    more = F.when(_key(seed, id_col) <= F.col("_cut"), F.array((F.col("_full") + 1).cast("int"))).otherwise(F.array().cast("array<int>"))
-    return rows.withColumn("epoch", F.explode(F.concat(whole, more))).select(*docs.columns, "epoch")
+    more = F.when(_key(seed, "_id") <= F.col("_cut"), F.array((F.col("_full") + 1).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return rows.withColumn("_epoch", F.explode(F.concat(whole, more)))
+
+
+def select_epochs(
+    docs: DataFrame, share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: int = SEED, id_col: str = "doc_id", epoch_col: str | None = "epoch"
+) -> DataFrame:
+    """The selected rows of ``docs``, all columns as they were, and the epoch in ``epoch_col`` (none if that is None).
+
+    A column of ``docs`` that has the name ``epoch_col`` is replaced.
+    """
+    out = _chosen(docs, share, max_epochs, seed, id_col)
+    kept = [F.col(f"_row.`{c}`") for c in docs.columns if c != epoch_col]
+    return out.select(*kept, *([F.col("_epoch").alias(epoch_col)] if epoch_col else []))
 
 
-def mix(docs: DataFrame, **parameters) -> DataFrame:
+def mix(docs: DataFrame, share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: int = SEED, id_col: str = "doc_id") -> DataFrame:
     """One row per selected document and epoch: ``doc_id, domain, lang, source, tokens, epoch``."""
-    chosen = _placed(select_epochs(docs, **parameters))
-    return chosen.select(
-        F.col(parameters.get("id_col", "doc_id")).alias("doc_id"),
+    return _chosen(docs, share, max_epochs, seed, id_col).select(
+        F.col("_id").alias("doc_id"),
         *[F.col(f"_{level}").alias(level) for level in LEVELS],
-        token_count().alias("tokens"),
-        "epoch",
+        token_count("_text").alias("tokens"),
+        F.col("_epoch").alias("epoch"),
     )
 
 
