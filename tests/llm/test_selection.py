@@ -5,6 +5,7 @@ import random
 import pytest
 from helpers import DATA, rows
 
+from stackwise.llm import common
 from stackwise.llm import op04_topk_search as search
 from stackwise.llm import op09_mixing as mixing
 from stackwise.llm import op10_url_filter as urls
@@ -84,6 +85,16 @@ def test_mixing_nasty(nasty, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mixing_keeps_columns_of_any_name(spark):
+    clashing = "doc_id long, text string, lang string, source string, epoch string, _domain string, _full long"
+    df = spark.createDataFrame([(i, "a b c", "en", f"src{i % 2}", "old", "mine", -i) for i in range(20)], clashing)
+    out = mixing.select_epochs(df, share=0.5, max_epochs=1, epoch_col=None)
+    assert out.columns == df.columns and 0 < out.count() < 20
+    assert all(r["epoch"] == "old" and r["_domain"] == "mine" and r["_full"] == -r["doc_id"] for r in out.collect())
+    replaced = mixing.select_epochs(df, share=0.5, max_epochs=1)
+    assert sorted(replaced.columns) == sorted(df.columns) and {r["epoch"] for r in replaced.collect()} == {1}
+
+
 def test_urls_equal_sql(spark, duck):
     assert rows(urls.op10_url_filter(spark, DATA)) == rows(duck.sql(urls.ORACLE).df())
 
@@ -113,6 +124,22 @@ def test_bad_templates_are_rejected(spark):
     assert got[35] == ("block", "/shop/*") and got[135] == ("allow", "/news/*")
 
 
+def test_branches_of_equal_rate_merge(spark):
+    """Branches that are all bad, and those that are all good, are alike; one that differs from its siblings stays."""
+    pages, labels = [], []
+    for k, (branch, bad) in enumerate({"shop/a/z": 1, "shop/b/z": 1, "news/a/z": 0, "news/b/z": 0, "news/c/z": 0}.items()):
+        pages += [(1_000 * k + i, f"http://h.xyz/{branch}") for i in range(30)]
+        labels += [(1_000 * k + i, bad) for i in range(20)]
+    out = urls.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, bad int"))
+    got = {(r["template"], r["verdict"]) for r in out.collect()}
+    assert got == {("/shop/*/z", "block"), ("/news/*/z", "allow")}
+
+
+def test_no_branch_is_hot_or_all_are(spark, duck, monkeypatch):
+    monkeypatch.setattr(common, "HOT_KEYS", 1)
+    assert rows(urls.op10_url_filter(spark, DATA)) == rows(duck.sql(urls.ORACLE).df())
+
+
 def test_branches_below_the_fourth_segment(spark):
     """Paths that part at segment 5, and at 7 where the labels agree before; a path of 300 segments costs no rounds."""
     branches = {"a/b/c/d/spam": 1, "a/b/c/d/news": 0, "e/f/g/h/i/j/spam": 1, "e/f/g/h/i/j/news": 0}
@@ -128,6 +155,53 @@ def test_branches_below_the_fourth_segment(spark):
     assert got[9_000][1].endswith("/a" * 298) and got[9_000][1].count("/") == 300
 
 
+def run_pipeline(spark, docs, labels, folder):
+    """All stages on small tables; the rows that each stage returns, by its name."""
+    import corpus_pipeline
+
+    labels.write.parquet(f"{folder}/labels.parquet")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(folder))
+        out.write.parquet(f"{folder}/{name}")
+        if name != "packing":
+            assert out.columns == docs.columns, name
+            docs = spark.read.parquet(f"{folder}/{name}")
+            kept[name] = docs.collect()
+        else:
+            kept[name] = spark.read.parquet(f"{folder}/{name}").collect()
+    return kept
+
+
+def test_pipeline_brute_force(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows, ties and clashing columns, each stage against its definition."""
+    import re
+
+    shape = "doc_id long, text string, lang string, source string, n_chars long, keep boolean, epoch int, component_id long, position long"
+    base = " ".join(f"w{k}" for k in range(60))
+    texts = {1: base, 2: base, 3: base + " more", 4: "", 5: None, 6: "  ", 7: "x" * 20_000, 8: base.replace(" ", "\n"), 10: "one two", 11: " ".join(f"v{k}" for k in range(30))}
+    docs = [(i, t, "en" if i % 2 else None, "src0" if i % 3 else None, None, False, -1, -2, -3) for i, t in texts.items()]
+    docs += [(10, "one two", "en", "src1", None, False, -1, -2, -3)] * 2 + [(None, "no id at all here", None, None, None, False, -1, -2, -3)]
+    df = spark.createDataFrame(docs, shape)
+    kept = run_pipeline(spark, df, spark.createDataFrame([], "doc_id long, quality int, toxic int"), tmp_path)
+    assert len(kept["quality"]) == len(docs)  # no labels: nothing goes
+    same = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    first = {}
+    for r in sorted(docs, key=lambda r: (r[0] is None, r[0])):
+        first.setdefault(same(r[1]), r[0])
+    assert sorted(map(str, first.values())) == sorted(str(r["doc_id"]) for r in kept["exact_dedup"])
+    assert {r["doc_id"] for r in kept["near_dedup"]} == set(first.values()) - {3}
+    mixed = {r["doc_id"] for r in kept["mixing"]}
+    assert mixed <= {r["doc_id"] for r in kept["near_dedup"]} and len(mixed) == len(kept["mixing"])
+    assert all((r["keep"], r["epoch"], r["component_id"], r["position"]) == (False, -1, -2, -3) for r in kept["mixing"])
+    assert {r["doc_id"] for r in kept["packing"]} == mixed
+
+
+def test_pipeline_of_an_empty_table(spark, empty, tmp_path):
+    kept = run_pipeline(spark, empty, spark.createDataFrame([], "doc_id long, quality int, toxic int"), tmp_path)
+    assert all(not x for x in kept.values()) and len(kept) == 5
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
