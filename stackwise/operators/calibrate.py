@@ -77,7 +77,7 @@ def normalize_flat(flat: DataFrame, minimum_valid_samples: int = 1, minimum_medi
     support = flat_support(flat, keys)
     failure = F.when(F.col("accepted") < minimum_valid_samples, "insufficient_samples").when(F.col("median") <= minimum_median, "median_too_small")
     support = support.select(*keys, F.col("median").alias("_median"), failure.alias("failure"))
-    joined = flat.join(F.broadcast(support), list(keys))  # one row per flat
+    joined = flat.join(support, list(keys))
     good = finite(F.col("value")) & (F.col("value") > 0) & F.col("failure").isNull()
     seen = F.coalesce("flags", F.lit(0)).cast("int")
     return _outcome(joined, seen, good, F.col("value") / F.col("_median"), [*flat.columns, "failure"])

@@ -117,12 +117,15 @@ def scatter(samples: DataFrame, transforms: dict[int, Projective], parameters: D
         shapes, heavy = held.value
         for batch in batches:
             stack, frame, plane, y, x, value = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(6))
-            for f in np.unique(frame):
-                at = np.flatnonzero(frame == f)
-                w = heavy.get(int(f), 1.0)
+            order = np.argsort(frame, kind="stable")
+            for at in np.split(order, np.flatnonzero(np.diff(frame[order])) + 1) if len(order) else ():
+                f = int(frame[at[0]])
+                if f not in shapes:
+                    raise ValueError(f"no transform for frame {f}")
+                w = heavy.get(f, 1.0)
                 for a in range(0, len(at), 8192):
                     own = at[a : a + 8192]
-                    k, oy, ox, part = deposits(corners(x[own].astype(float), y[own].astype(float), shapes[int(f)], p), p)
+                    k, oy, ox, part = deposits(corners(x[own].astype(float), y[own].astype(float), shapes[f], p), p)
                     own = own[k]
                     yield pa.RecordBatch.from_arrays(
                         [*(pa.array(c.astype(np.int32)) for c in (stack[own], plane[own], oy, ox)), pa.array(value[own] * w * part), pa.array(w * part)],
@@ -141,7 +144,7 @@ def finish(sums: DataFrame, parameters: Drizzle) -> DataFrame:
     """``value = flux / weight`` on the whole output grid; positions without weight are NaN and MISSING."""
     grid = output_grid(sums.sparkSession, parameters.width, parameters.height)
     planes = sums.select("stack_id", "plane").distinct()
-    every = grid.join(F.broadcast(planes))  # one row per plane
+    every = grid.crossJoin(planes)  # the whole grid for each plane
     out = every.join(sums, ["stack_id", "plane", "y", "x"], "left")
     got = F.coalesce(F.col("weight") > 0, F.lit(False))
     return out.select(

@@ -1,14 +1,13 @@
 """Per-position integration of aligned frames: strict, weighted and robust estimators with full evidence.
 
-One shuffle on the position key gathers its samples (as many as there are frames, never more).  Direct estimators are
-Column expressions over the sorted samples.  Iterative ones run in Arrow batches on the gathered arrays.  Every result
-row says how many samples were accepted, masked, non-finite, rejected low and rejected high; they add up to the input.
+One shuffle on the position key gathers its samples (as many as there are frames, never more).  The estimators run in
+Arrow batches on the gathered, sorted arrays, over many positions at a time.  Every result row says how many samples were accepted, masked, non-finite, rejected low and rejected high; they add up to the input.
 The final value is always the strict mean of the original samples that were kept, except for the median.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stackwise.functions.numerics import largest_magnitude, neumaier_sum, sorted_median, strict_mean
+from stackwise.functions.numerics import strict_mean
 from stackwise.schema import PIXEL, count_of, eligible, masked, non_finite, or_flags, require, unsupported_flags
 
 from . import kernels
@@ -81,7 +80,7 @@ class GeneralizedEsd:
 
 
 def crop(samples: DataFrame, y0: int, x0: int, height: int, width: int) -> DataFrame:
-    """A region, as a filter that reaches the scan."""
+    """A region, as a filter: it reaches the scan of a table of samples (not the decoding of image files)."""
     require(height > 0 and width > 0, "a region needs a positive size")
     return samples.filter(F.col("y").between(y0, y0 + height - 1) & F.col("x").between(x0, x0 + width - 1))
 
@@ -97,14 +96,12 @@ def gather(samples: DataFrame, keys: tuple[str, ...] = PIXEL, by_frame: bool = F
     )
 
 
-def _finish(gathered: DataFrame, keys: tuple[str, ...], value: Column, low: Column, high: Column) -> DataFrame:
-    n = F.size("samples")
-    accepted = (n - low - high).cast("long")
+def _finish(gathered: DataFrame, keys: tuple[str, ...], n: Column, value: Column, low: Column, high: Column) -> DataFrame:
     return gathered.select(
         *keys,
         F.when(n == 0, F.lit(NAN)).otherwise(value).alias("value"),
         F.when(n == 0, unsupported_flags(F.col("seen_flags"), F.col("non_finite") > 0)).otherwise(F.lit(0).cast("short")).alias("flags"),
-        accepted.alias("accepted"),
+        (n - low - high).cast("long").alias("accepted"),
         "masked",
         "non_finite",
         low.cast("long").alias("low_rejected"),
@@ -112,85 +109,67 @@ def _finish(gathered: DataFrame, keys: tuple[str, ...], value: Column, low: Colu
     )
 
 
+def _estimated(gathered: DataFrame, keys: tuple[str, ...], estimate: Callable[..., tuple], fields: tuple[str, ...] = ("value",)) -> DataFrame:
+    """Positions with the result of ``estimate(matrix of each field, counts)``: values and the numbers rejected low and high.
+
+    Only the named fields of the samples leave the JVM, and one number for each position comes back.
+    """
+    evidence = ["masked", "non_finite", "seen_flags"]
+    sent = gathered.select(*keys, *evidence, *[F.col(f"samples.{f}").alias(f"_{f}") for f in fields])
+    added = ["_n", "_value", "_low", "_high"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [batch.column(f"_{f}") for f in fields]
+            offsets = held[0].offsets.to_numpy()
+            n = np.diff(offsets)
+            value, low, high = estimate(*[kernels.padded(x.values.to_numpy(zero_copy_only=False), offsets)[0] for x in held], n)
+            columns = [*(batch.column(c) for c in (*keys, *evidence)), pa.array(n.astype(np.int32)), pa.array(value)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))], [*keys, *evidence, *added])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sent.schema if f.name in (*keys, *evidence))
+    out = sent.mapInArrow(run, schema + ", _n int, _value double, _low int, _high int")
+    return _finish(out, keys, *[F.col(c) for c in added])
+
+
 def integrate_mean(samples: DataFrame, keys: tuple[str, ...] = PIXEL) -> DataFrame:
     """Strict unweighted mean in canonical frame order."""
-    values = F.transform("samples", lambda s: s["value"])
-    return _finish(gather(samples, keys, by_frame=True), keys, strict_mean(values), F.lit(0), F.lit(0))
+    return _estimated(gather(samples, keys, by_frame=True), keys, kernels.mean)
 
 
 def integrate_median(samples: DataFrame, keys: tuple[str, ...] = PIXEL) -> DataFrame:
     """Exact median."""
-    values = F.transform("samples", lambda s: s["value"])
-    return _finish(gather(samples, keys), keys, sorted_median(values), F.lit(0), F.lit(0))
+    return _estimated(gather(samples, keys), keys, kernels.median)
 
 
 def integrate_weighted_mean(samples: DataFrame, weights: DataFrame, keys: tuple[str, ...] = PIXEL) -> DataFrame:
     """Mean with one positive weight per frame; ``weights``: (frame_id, weight).
 
-    Numerator and denominator leave out the same samples.  Frames without a weight are an error of the caller: their
-    samples do not join.
+    Numerator and denominator leave out the same samples.  A frame without a weight is an error.
     """
-    joined = samples.join(weights.select("frame_id", "weight"), "frame_id")
+    held = weights.select(F.col("frame_id").alias("_frame"), F.col("weight").cast("double").alias("weight"))
+    joined = samples.join(held, F.col("frame_id") == F.col("_frame"), "left")
+    missing = F.raise_error(F.concat(F.lit("no weight for frame "), F.col("frame_id").cast("string"))).cast("double")
+    joined = joined.withColumn("weight", F.when(F.col("_frame").isNull(), missing).otherwise(F.col("weight")))
     gathered = joined.groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.when(eligible(), F.struct("frame_id", "value", "weight")))).alias("samples"),
         count_of(masked()).alias("masked"),
         count_of(non_finite()).alias("non_finite"),
         or_flags().alias("seen_flags"),
     )
-    values = F.transform("samples", lambda s: s["value"])
-    heavy = F.array_max(F.transform("samples", lambda s: s["weight"]))
-    scale = largest_magnitude(values)
-    n = F.size("samples")
-    top = neumaier_sum(F.transform("samples", lambda s: s["weight"] / heavy / n * (s["value"] / scale)))
-    bottom = neumaier_sum(F.transform("samples", lambda s: s["weight"] / heavy / n))
-    ratio = F.least(F.greatest(F.try_divide(top, bottom), F.array_min(values) / scale), F.array_max(values) / scale)
-    value = F.when(scale == 0, F.lit(0.0)).otherwise(ratio * scale + 0.0)
-    return _finish(gathered, keys, value, F.lit(0), F.lit(0))
+    return _estimated(gathered, keys, kernels.weighted_mean, ("value", "weight"))
 
 
 def integrate_percentile(samples: DataFrame, clip: PercentileClip, keys: tuple[str, ...] = PIXEL) -> DataFrame:
     """Mean without the lowest ``floor(n * low)`` and highest ``floor(n * high)`` samples."""
-    gathered = gather(samples, keys)
-    n = F.size("samples")
-    low, high = F.floor(n * F.lit(float(clip.low))).cast("int"), F.floor(n * F.lit(float(clip.high))).cast("int")
-    enough = n - low - high >= F.least(F.lit(clip.minimum_retained), n)
-    gathered = gathered.withColumns({"_low": F.when(enough, low).otherwise(0), "_high": F.when(enough, high).otherwise(0)})
-    kept = F.slice(F.transform("samples", lambda s: s["value"]), F.col("_low") + 1, n - F.col("_low") - F.col("_high"))
-    return _finish(gathered, keys, strict_mean(kept), F.col("_low"), F.col("_high"))
+    low, high, floor = float(clip.low), float(clip.high), clip.minimum_retained
+    return _estimated(gather(samples, keys), keys, lambda matrix, n: kernels.percentile_clip(matrix, n, low, high, floor))
 
 
 def integrate_linear_fit(samples: DataFrame, clip: LinearFitClip, keys: tuple[str, ...] = PIXEL) -> DataFrame:
-    """Mean of the samples near one least-squares line through the sorted samples over their ranks.
-
-    The rank coordinate is symmetric around 0, so slope and intercept are independent sums.
-    """
-    gathered = gather(samples, keys).withColumn("values", F.transform("samples", lambda s: s["value"]))
-    n = F.size("values")
-    scale = largest_magnitude(F.col("values"))
-    pairs = F.transform("values", lambda v, i: F.struct((v / scale).alias("v"), ((2 * i + 1 - n) / n.cast("double")).alias("r")))
-    gathered = gathered.withColumn("_scale", scale).withColumn("_pairs", F.when((n >= 3) & (F.col("_scale") > 0), pairs))
-    gathered = gathered.withColumns(
-        {
-            "_mean": neumaier_sum(F.transform("_pairs", lambda p: p["v"] / n)),
-            "_slope": neumaier_sum(F.transform("_pairs", lambda p: p["v"] * p["r"] / n)) / neumaier_sum(F.transform("_pairs", lambda p: p["r"] * p["r"] / n)),
-        }
-    )
-
-    def residual(p: Column) -> Column:
-        return p["v"] - (F.col("_mean") + F.col("_slope") * p["r"])
-
-    sigma = F.sqrt(F.greatest(neumaier_sum(F.transform("_pairs", lambda p: residual(p) * residual(p) / n)), F.lit(0.0)))
-    gathered = gathered.withColumn("_sigma", F.when(sigma <= kernels.EPSILON, 0.0).otherwise(sigma))
-    side = F.transform(
-        "_pairs",
-        lambda p: F.when(residual(p) < -clip.low_sigma * F.col("_sigma"), -1).when(residual(p) > clip.high_sigma * F.col("_sigma"), 1).otherwise(0),
-    )
-    keep_all = F.transform("values", lambda v: F.lit(0))
-    gathered = gathered.withColumn("_side", F.when(F.col("_sigma") > 0, side).otherwise(keep_all))
-    kept = F.size(F.filter("_side", lambda s: s == 0))
-    gathered = gathered.withColumn("_side", F.when(kept >= F.least(F.lit(clip.minimum_retained), n), F.col("_side")).otherwise(keep_all))
-    values = F.transform(F.filter(F.arrays_zip("values", "_side"), lambda z: z["_side"] == 0), lambda z: z["values"])
-    return _finish(gathered, keys, strict_mean(values), F.size(F.filter("_side", lambda s: s == -1)), F.size(F.filter("_side", lambda s: s == 1)))
+    """Mean of the samples near one least-squares line through the sorted samples over their ranks."""
+    low, high, floor = float(clip.low_sigma), float(clip.high_sigma), clip.minimum_retained
+    return _estimated(gather(samples, keys), keys, lambda matrix, n: kernels.linear_fit_clip(matrix, n, low, high, floor))
 
 
 def sides(matrix: np.ndarray, n: np.ndarray, clip: SigmaClip | GeneralizedEsd) -> np.ndarray:
@@ -227,7 +206,7 @@ def classify(samples: DataFrame, clip: SigmaClip | GeneralizedEsd, keys: tuple[s
 def integrate_clipped(samples: DataFrame, clip: SigmaClip | GeneralizedEsd, keys: tuple[str, ...] = PIXEL) -> DataFrame:
     """Iterative sigma clipping, its winsorized form, or the generalized ESD test."""
     found = classify(samples, clip, keys)
-    return _finish(found, keys, F.col("mean"), F.size(F.filter("side", lambda s: s == -1)), F.size(F.filter("side", lambda s: s == 1)))
+    return _finish(found, keys, F.size("samples"), F.col("mean"), F.size(F.filter("side", lambda s: s == -1)), F.size(F.filter("side", lambda s: s == 1)))
 
 
 DISPOSITIONS = ("accepted", "masked", "non_finite", "rejected_low", "rejected_high")

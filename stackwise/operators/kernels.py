@@ -56,6 +56,73 @@ def strict_means(values: np.ndarray, held: np.ndarray) -> np.ndarray:
     return np.where(n > 0, mean * scale + 0.0, np.nan)
 
 
+def mean(values: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    none = np.zeros(len(n), np.int64)
+    return strict_means(values, np.arange(values.shape[1])[None, :] < n[:, None]), none, none
+
+
+def median(values: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Middle of each sorted row; of two middle ones their mean, without overflow."""
+    none, row = np.zeros(len(n), np.int64), np.arange(len(n))
+    if not values.shape[1]:
+        return np.full(len(n), np.nan), none, none
+    high = values[row, np.maximum(n // 2, 0) - (n == 0)]
+    low = values[row, np.maximum(n // 2 - 1, 0)]
+    with np.errstate(over="ignore"):
+        even = np.where((low < 0) == (high < 0), low + (high - low) * 0.5, low * 0.5 + high * 0.5)
+    return np.where(n % 2 == 1, high, even) + 0.0, none, none
+
+
+def weighted_mean(values: np.ndarray, weights: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scaled by the largest magnitude and the largest weight, kept within the extremes."""
+    none = np.zeros(len(n), np.int64)
+    held = np.arange(values.shape[1])[None, :] < n[:, None]
+    scale = np.max(np.abs(np.where(held, values, 0.0)), axis=1, initial=0.0)
+    heavy = np.max(np.where(held, weights, 0.0), axis=1, initial=0.0)
+    safe = np.where(scale == 0, 1.0, scale)[:, None]
+    part = np.where(held, weights, 0.0) / np.where(heavy == 0, 1.0, heavy)[:, None] / np.maximum(n, 1)[:, None]
+    bottom = compensated(part)
+    ratio = compensated(part * (np.where(held, values, 0.0) / safe)) / np.where(bottom == 0, 1.0, bottom)
+    unit = values / safe
+    low = np.min(np.where(held, unit, np.inf), axis=1, initial=np.inf)
+    high = np.max(np.where(held, unit, -np.inf), axis=1, initial=-np.inf)
+    out = np.where(scale == 0, 0.0, np.minimum(np.maximum(ratio, low), high) * scale + 0.0)
+    return np.where(n > 0, out, np.nan), none, none
+
+
+def percentile_clip(values: np.ndarray, n: np.ndarray, low: float, high: float, floor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Without shares of the lowest and highest samples; a row that would keep under ``floor`` keeps all."""
+    under, over = np.floor(n * low).astype(np.int64), np.floor(n * high).astype(np.int64)
+    enough = n - under - over >= np.minimum(floor, n)
+    under, over = np.where(enough, under, 0), np.where(enough, over, 0)
+    place = np.arange(values.shape[1])[None, :]
+    return strict_means(values, (place >= under[:, None]) & (place < (n - over)[:, None])), under, over
+
+
+def linear_fit_clip(values: np.ndarray, n: np.ndarray, low: float, high: float, floor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Without the samples that lie far from one line through the sorted samples over their ranks.
+
+    The rank coordinate is symmetric around 0, so slope and intercept are independent sums.
+    """
+    place = np.arange(values.shape[1])[None, :]
+    held, count = place < n[:, None], np.maximum(n, 1)[:, None]
+    scale = np.max(np.abs(np.where(held, values, 0.0)), axis=1, initial=0.0)
+    unit = np.where(held, values, 0.0) / np.where(scale == 0, 1.0, scale)[:, None]
+    rank = np.where(held, (2 * place + 1 - n[:, None]) / count, 0.0)
+    width = compensated(rank * rank / count)
+    slope = compensated(unit * rank / count) / np.where(width == 0, 1.0, width)
+    line = compensated(unit / count)[:, None] + slope[:, None] * rank
+    apart = np.where(held, unit - line, 0.0)
+    sigma = np.sqrt(np.maximum(compensated(apart * apart / count), 0.0))
+    sigma = np.where((sigma <= EPSILON) | (n < 3) | (scale == 0), 0.0, sigma)
+    some = (sigma > 0)[:, None] & held
+    under, over = some & (apart < (-low * sigma)[:, None]), some & (apart > (high * sigma)[:, None])
+    kept = held & ~under & ~over
+    enough = (kept.sum(axis=1) >= np.minimum(floor, n))[:, None]
+    under, over, kept = under & enough, over & enough, np.where(enough, kept, held)
+    return strict_means(values, kept), under.sum(axis=1), over.sum(axis=1)
+
+
 def sigma_clip(values: np.ndarray, n: np.ndarray, low_sigma: float, high_sigma: float, passes: int, floor: int, winsorised: bool) -> np.ndarray:
     """Which samples are kept: an interval of each sorted row that shrinks until nothing changes.
 

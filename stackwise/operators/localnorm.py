@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,16 +28,16 @@ class Grid:
         require(2 <= self.maximum_samples <= 1414, "more than 1414 samples give over a million pairs")
 
 
-@F.pandas_udf(T.StringType())
+@F.pandas_udf(T.LongType())
 def coordinate_priority(y: pd.Series, x: pd.Series) -> pd.Series:
-    """A well-mixed 64-bit hash of a position, as 16 hex digits: unsigned order is the order of strings."""
+    """A well-mixed 64-bit hash of a position, less 2**63: the order of the longs is that of the unsigned hashes."""
     v = x.to_numpy().astype(np.uint64)
     w = y.to_numpy().astype(np.uint64)
     v = v ^ ((w << np.uint64(32)) | (w >> np.uint64(32))) ^ np.uint64(0x9E3779B97F4A7C15)
     v = (v ^ (v >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     v = (v ^ (v >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     v = v ^ (v >> np.uint64(31))
-    return pd.Series([f"{k:016x}" for k in v.tolist()])
+    return pd.Series((v ^ np.uint64(1 << 63)).view(np.int64))
 
 
 def pair_frames(source: DataFrame, reference: DataFrame, protected: DataFrame | None = None) -> DataFrame:
@@ -76,24 +77,52 @@ def sample_grid(pairs: DataFrame, parameters: Grid | None = None) -> DataFrame:
     return good.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= p.maximum_samples).select(*KEYS, "row", "column", "y", "x", F.col("value").alias("source"), "reference")
 
 
+def _median(values: np.ndarray) -> float:
+    """The exact median; of two middle values their mean."""
+    half = len(values) // 2
+    if len(values) % 2:
+        return float(np.partition(values, half)[half])
+    low, high = np.partition(values, (half - 1, half))[half - 1 : half + 1]
+    return float(0.5 * low + 0.5 * high)
+
+
 def theil_sen(samples: DataFrame, minimum_samples: int = 3, minimum_scale: float = 1e-6, keys: tuple[str, ...] = (*KEYS, "row", "column")) -> DataFrame:
     """Median of pairwise slopes, median intercept and median absolute residual of each cell, or the reason of failure.
 
-    Pairs stay inside a cell, whose samples are bounded, and medians are exact aggregations.
+    A cell is one Arrow group: ``sample_grid`` bounds its samples, and its pairs stay in memory.
     """
     keys = list(keys)
-    a = samples.select(*keys, F.col("source").alias("s1"), F.col("reference").alias("r1"), F.col("y").alias("y1"), F.col("x").alias("x1"))
-    b = samples.select(*keys, F.col("source").alias("s2"), F.col("reference").alias("r2"), F.col("y").alias("y2"), F.col("x").alias("x2"))
-    slopes = a.join(b, keys).filter("(y1 < y2 OR (y1 = y2 AND x1 < x2)) AND s1 <> s2")
-    slopes = slopes.groupBy(*keys).agg(F.median((F.col("r2") - F.col("r1")) / (F.col("s2") - F.col("s1"))).alias("scale"), F.count(F.lit(1)).alias("slopes"))
-    counts = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("samples"))
-    offset = samples.join(slopes.select(*keys, "scale"), keys).groupBy(*keys).agg(F.median(F.col("reference") - F.col("scale") * F.col("source")).alias("offset"))
-    fit = counts.join(slopes, keys, "left").join(offset, keys, "left")
-    rest = samples.join(fit.select(*keys, "scale", "offset"), keys).groupBy(*keys).agg(F.median(F.abs(F.col("reference") - (F.col("scale") * F.col("source") + F.col("offset")))).alias("residual"))
-    fit = fit.join(rest, keys, "left")
-    failure = F.when(F.col("samples") < minimum_samples, "too_few_samples").when(F.col("scale").isNull(), "degenerate_source").when(F.abs("scale") < minimum_scale, "scale_below_minimum")
-    fit = fit.withColumn("failure", failure)
-    return fit.select(*keys, "samples", "slopes", *[F.when(F.col("failure").isNull(), F.col(c)).alias(c) for c in ("scale", "offset", "residual")], "failure")
+    kinds = {f.name: f.dataType.simpleString() for f in samples.schema}
+
+    def run(table: pa.Table) -> pa.Table:
+        s, r = (table[c].combine_chunks().to_numpy(zero_copy_only=False).astype(np.float64) for c in ("source", "reference"))
+        order = np.lexsort((table["x"].to_numpy(), table["y"].to_numpy()))
+        s, r = s[order], r[order]
+        i, j = np.triu_indices(len(s), 1)
+        rise = s[j] != s[i]
+        i, j = i[rise], j[rise]
+        scale = offset = residual = failure = None
+        if len(i):
+            scale = _median((r[j] - r[i]) / (s[j] - s[i]))
+            offset = _median(r - scale * s)
+            residual = _median(np.abs(r - (scale * s + offset)))
+        if len(s) < minimum_samples:
+            failure = "too_few_samples"
+        elif scale is None:
+            failure = "degenerate_source"
+        elif abs(scale) < minimum_scale:
+            failure = "scale_below_minimum"
+        if failure:
+            scale = offset = residual = None
+        names = [*keys, "samples", "slopes", "scale", "offset", "residual", "failure"]
+        found = [len(s), len(i) or None, scale, offset, residual, failure]
+        types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.string()]
+        return pa.table([*(table[k].slice(0, 1) for k in keys), *(pa.array([v], t) for v, t in zip(found, types, strict=True))], names=names)
+
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+    return samples.select(*keys, "y", "x", "source", "reference").groupBy(*keys).applyInArrow(
+        run, schema + ", samples long, slopes long, scale double, `offset` double, residual double, failure string"
+    )
 
 
 @dataclass(frozen=True)

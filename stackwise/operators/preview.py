@@ -87,7 +87,7 @@ def level(value: Column) -> Column:
 
 def render_grayscale(preview: DataFrame, transforms: DataFrame, kind: str = "midtones", keys: tuple[str, ...] = IMAGE) -> DataFrame:
     """``r, g, b, a`` of each position; missing ones are transparent."""
-    joined = preview.join(F.broadcast(transforms.select(*keys, "black", "white", "midtone")), list(keys))  # one row per image
+    joined = preview.join(transforms.select(*keys, "black", "white", "midtone"), list(keys))
     there = F.col("value").isNotNull()
     g = F.when(there, level(transfer((F.col("value") - F.col("black")) / (F.col("white") - F.col("black")), kind, F.col("midtone")))).otherwise(0)
     return joined.select(*keys, "y", "x", g.alias("r"), g.alias("g"), g.alias("b"), F.when(there, 255).otherwise(0).alias("a"))
@@ -100,7 +100,7 @@ DEFECT_COLOURS = {0: (0, 0, 0, 0), 4: (255, 64, 64, 255), 8: (64, 128, 255, 255)
 
 def render_false_color(preview: DataFrame, transforms: DataFrame, keys: tuple[str, ...] = IMAGE) -> DataFrame:
     """Linear interpolation between palette anchors; 0 is transparent."""
-    joined = preview.join(F.broadcast(transforms.select(*keys, "black", "white")), list(keys))
+    joined = preview.join(transforms.select(*keys, "black", "white"), list(keys))
     t = transfer((F.col("value") - F.col("black")) / (F.col("white") - F.col("black")), "linear") * (len(PALETTE) - 1)
     at = F.least(F.floor(t), F.lit(len(PALETTE) - 2)).cast("int")
     shown = F.col("value").isNotNull() & (F.col("value") != 0)

@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,51 +30,93 @@ class Background:
         require(self.maximum_iterations >= 1 and self.minimum_samples >= 1, "iterations and samples must be positive")
 
 
-def estimate_background(samples: DataFrame, parameters: Background | None = None, keys: tuple[str, ...] = IMAGE) -> DataFrame:
-    """Location, MAD and noise of each image by iterated median and MAD clipping.
+#: Usable samples of an image up to which it is one Arrow group (256 MB of values); larger ones are clipped in joins.
+GROUPED_SAMPLES = 1 << 25
+
+
+def _median(values: np.ndarray, ordered: bool = False) -> float:
+    """The exact median; of two middle values their mean."""
+    half = len(values) // 2
+    if not ordered:
+        values = np.partition(values, (max(half - 1, 0), half))
+    return float(values[half]) if len(values) % 2 else float(0.5 * values[half - 1] + 0.5 * values[half])
+
+
+def clipped_background(values: np.ndarray, parameters: Background) -> tuple[float, float, int, int, bool]:
+    """Location, MAD, samples held, passes and whether they came to rest, for the values of one image."""
+    v, lo, hi, held, converged, passes = np.sort(values), 0, len(values), len(values), False, 0
+    while passes < parameters.maximum_iterations and not converged:
+        location = _median(v[lo:hi], ordered=True)
+        mad = _median(np.abs(v[lo:hi] - location))
+        radius = parameters.clipping_sigma * (mad * MAD_SCALE)
+        low = max(lo, int(np.searchsorted(v, location - radius, "left")))
+        high = min(hi, int(np.searchsorted(v, location + radius, "right")))
+        passes += 1
+        converged = mad == 0 or high - low == hi - lo
+        if not converged:
+            lo, hi = low, high
+        held = hi - lo
+    location = _median(v[lo:hi], ordered=True)
+    return location, _median(np.abs(v[lo:hi] - location)), held, passes, converged
+
 
-    Each pass is two exact medians per image, over all images at once; its outcome, one row per image, is cut off
-    from its plan.  Passes are bounded, and end when all images are done.
+def _grouped_background(good: DataFrame, p: Background, keys: list[str]) -> DataFrame:
+    """``keys, location, mad, held, iterations, converged``, one Arrow group for each image."""
+
+    def run(table: pa.Table) -> pa.Table:
+        found = clipped_background(table["value"].combine_chunks().to_numpy(zero_copy_only=False), p)
+        return pa.table([*(table[k].slice(0, 1) for k in keys), *(pa.array([x]) for x in found)], names=[*keys, "location", "mad", "held", "iterations", "converged"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in good.schema if f.name in keys)
+    return good.groupBy(*keys).applyInArrow(run, schema + ", location double, mad double, held long, iterations long, converged boolean")
+
+
+def _joined_background(good: DataFrame, p: Background, keys: list[str]) -> DataFrame:
+    """The same in two exact medians per image and pass, over all images at once; no image meets in one task.
+
+    The outcome of a pass, one row per image, is cut off from its plan.
     """
-    p = parameters or Background()
-    base = samples.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("total_samples"), count_of(eligible()).alias("initial_usable_samples"),
-        count_of(masked()).alias("masked_samples"), count_of(non_finite()).alias("non_finite_samples"),
+    state = good.groupBy(*keys).agg(F.count(F.lit(1)).alias("held")).select(
+        *keys, F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"), "held", F.lit(False).alias("converged"), F.lit(0).alias("iterations")
     )
-    good = samples.filter(eligible()).select(*keys, "value")
-    state = base.select(*keys, F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"), F.lit(False).alias("done"),
-                        F.lit(0).alias("iterations"), F.col("initial_usable_samples").alias("held"), F.lit(False).alias("converged"))
 
     def estimates(state: DataFrame) -> DataFrame:
-        inside = good.join(state.select(*keys, "lo", "hi"), list(keys)).filter("value >= lo AND value <= hi")
+        inside = good.join(state.select(*keys, "lo", "hi"), keys).filter("value >= lo AND value <= hi")
         located = inside.groupBy(*keys).agg(F.median("value").alias("location"), F.count(F.lit(1)).alias("n"))
-        apart = inside.join(located.select(*keys, "location"), list(keys)).groupBy(*keys).agg(F.median(F.abs(F.col("value") - F.col("location"))).alias("mad"))
-        return located.join(apart, list(keys))
+        apart = inside.join(located.select(*keys, "location"), keys).groupBy(*keys).agg(F.median(F.abs(F.col("value") - F.col("location"))).alias("mad"))
+        return located.join(apart, keys)
 
     for _ in range(p.maximum_iterations):
-        found = estimates(state)
+        edges = state.join(estimates(state), keys)
         radius = p.clipping_sigma * (F.col("mad") * MAD_SCALE)
-        edges = state.join(found, list(keys), "left")
         edges = edges.withColumns({"_lo": F.greatest("lo", F.col("location") - radius), "_hi": F.least("hi", F.col("location") + radius)})
-        left = good.join(edges.select(*keys, "_lo", "_hi", "lo", "hi"), list(keys)).filter("value >= lo AND value <= hi AND value >= _lo AND value <= _hi")
-        left = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_left"))
-        joined = edges.join(left, list(keys), "left")
-        stop = (F.col("mad") == 0) | (F.coalesce("_left", F.lit(0)) == F.col("n"))
-        going = ~F.col("done")
-        state = joined.select(
-            *keys,
-            F.when(going & ~stop, F.col("_lo")).otherwise(F.col("lo")).alias("lo"),
-            F.when(going & ~stop, F.col("_hi")).otherwise(F.col("hi")).alias("hi"),
-            (F.col("done") | stop).alias("done"),
-            (F.col("iterations") + going.cast("int")).alias("iterations"),
-            F.when(going, F.when(stop, F.col("n")).otherwise(F.coalesce("_left", F.lit(0)))).otherwise(F.col("held")).alias("held"),
-            (F.col("converged") | (going & stop)).alias("converged"),
-        )
-        state = cut(state)
-        if state.filter("NOT done").isEmpty():
+        left = good.join(edges.select(*keys, "_lo", "_hi"), keys).filter("value >= _lo AND value <= _hi")
+        joined = edges.join(left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_left")), keys)
+        stop = F.col("converged") | (F.col("mad") == 0) | (F.col("_left") == F.col("n"))
+        state = cut(joined.select(
+            *keys, F.when(stop, F.col("lo")).otherwise(F.col("_lo")).alias("lo"), F.when(stop, F.col("hi")).otherwise(F.col("_hi")).alias("hi"),
+            F.when(stop, F.col("n")).otherwise(F.col("_left")).alias("held"), stop.alias("converged"), (F.col("iterations") + (~F.col("converged")).cast("int")).alias("iterations"),
+        ))
+        if state.filter("NOT converged").isEmpty():
             break
-    final = estimates(state)
-    out = base.join(state, list(keys)).join(final, list(keys), "left")
+    return state.join(estimates(state).select(*keys, "location", "mad"), keys).select(*keys, "location", "mad", "held", F.col("iterations").cast("long").alias("iterations"), "converged")
+
+
+def estimate_background(samples: DataFrame, parameters: Background | None = None, keys: tuple[str, ...] = IMAGE) -> DataFrame:
+    """Location, MAD and noise of each image by iterated median and MAD clipping.
+
+    An image is one Arrow group; if any has more than ``GROUPED_SAMPLES`` usable samples, all are clipped in joins, with
+    the same result.  An image without usable samples has no passes.
+    """
+    p, keys = parameters or Background(), list(keys)
+    base = samples.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("total_samples"), count_of(eligible()).alias("initial_usable_samples"),
+        count_of(masked()).alias("masked_samples"), count_of(non_finite()).alias("non_finite_samples"),
+    )
+    good = samples.filter(eligible()).select(*keys, "value")
+    most = base.agg(F.max("initial_usable_samples")).first()[0] or 0
+    found = (_grouped_background if most <= GROUPED_SAMPLES else _joined_background)(good, p, keys)
+    out = base.join(found, keys, "left").withColumns({"held": F.coalesce("held", F.lit(0)), "iterations": F.coalesce("iterations", F.lit(0)), "converged": F.coalesce("converged", F.lit(False))})
     enough = F.col("held") >= p.minimum_samples
     return out.select(
         *keys,

@@ -71,7 +71,7 @@ def resample_by_taps(source: DataFrame, source_width: int, source_height: int, w
         count_of(bad).alias("bad"), F.count(F.lit(1)).alias("met"), or_flags().alias("seen"), count_of(clear(F.col("flags")) & ~finite(F.col("value"))).alias("nan"),
     )
     needed = points.groupBy("y", "x").agg(F.count(F.lit(1)).alias("needed"))
-    every = grid.select("y", "x").join(F.broadcast(images))  # one row per frame and plane
+    every = grid.select("y", "x").crossJoin(images)  # the whole grid for each image
     out = every.join(met, ["stack_id", "frame_id", "plane", "y", "x"], "left").join(needed, ["y", "x"], "left")
     good = (F.col("bad") == 0) & (F.col("met") == F.col("needed")) & (F.abs("bottom") >= LEAST_WEIGHT)
     good = F.coalesce(good, F.lit(False))
@@ -92,6 +92,8 @@ def source_window(width: int, height: int, transform: Affine | Projective, y0: i
 
 
 IMAGE = ("stack_id", "frame_id", "plane")
+#: Bands of all frames up to which a plan is broadcast.
+SMALL_PLAN = 100_000
 RESAMPLED = "stack_id int, frame_id long, plane int, y int, x int, value double, flags smallint"
 
 
@@ -150,28 +152,48 @@ def _band(rows: pa.Table, y0: int, count: int, width: int, transform: Affine | P
     return out, seen
 
 
-def resample(source: DataFrame, source_width: int, source_height: int, width: int, height: int, transform: Affine | Projective, band_rows: int = 256) -> DataFrame:
-    """Frames (stack_id, frame_id, plane) resampled to the reference grid; positions without full clean support are NaN.
-
-    All taps that weigh must be inside and clean.  A bad tap passes its flags on with MISSING; a position off the source
-    is MISSING alone.
-    """
-    require(width > 0 and height > 0 and band_rows > 0, "the output needs a positive size")
+def _bands(width: int, height: int, transform: Affine | Projective, band_rows: int) -> list[tuple[int, int, int]]:
+    """``(first row, top, bottom)`` of each band of the output; top and bottom bound the source rows that it needs."""
     bands = []
     for y0 in range(0, height, band_rows):
         window = source_window(width, height, transform, y0, min(band_rows, height - y0))
         bands.append((y0, *((window[0], window[2]) if window else (0, -1))))
-    known = F.array(*[F.struct(F.lit(b).alias("band"), F.lit(t).alias("top"), F.lit(e).alias("bottom")) for b, t, e in bands])
-    needed = F.filter(known, lambda b: F.col("y").between(b["top"], b["bottom"]))
+    return bands
+
+
+def resample(source: DataFrame, source_width: int, source_height: int, width: int, height: int, transform: Affine | Projective | dict[int, Affine | Projective], band_rows: int = 256) -> DataFrame:
+    """Frames (stack_id, frame_id, plane) resampled to the reference grid; positions without full clean support are NaN.
+
+    ``transform`` is one for all frames, or one for each ``frame_id``: the frames of a plan take one scan and one shuffle
+    together, and frames that the plan does not name are left out.  All taps that weigh must be inside and clean.  A bad
+    tap passes its flags on with MISSING; a position off the source is MISSING alone.
+    """
+    require(width > 0 and height > 0 and band_rows > 0, "the output needs a positive size")
     names = [*IMAGE, "y", "x", "value", "flags"]
-    sent = source.select(*names[:-1], F.coalesce("flags", F.lit(0)).cast("short").alias("flags"), F.explode(F.transform(needed, lambda b: b["band"])).alias("band"))
+    sent = source.select(*names[:-1], F.coalesce("flags", F.lit(0)).cast("short").alias("flags"))
     # One marker per band and image: a band that needs no source row still has positions.
-    marks = source.select(*IMAGE).distinct().select(*IMAGE, F.lit(-1).alias("y"), F.lit(0).alias("x"), F.lit(0.0).alias("value"), F.lit(0).cast("short").alias("flags"), F.explode(F.array(*[F.lit(b[0]) for b in bands])).alias("band"))
+    marks = source.select(*IMAGE).distinct()
+    blank = [F.lit(-1).alias("y"), F.lit(0).alias("x"), F.lit(0.0).alias("value"), F.lit(0).cast("short").alias("flags")]
+    if isinstance(transform, dict):
+        rows = [(f, *band) for f, t in transform.items() for band in _bands(width, height, t, band_rows)]
+        bands = source.sparkSession.createDataFrame(rows, "_frame long, band int, top int, bottom int")
+        if len(rows) <= SMALL_PLAN:
+            bands = F.broadcast(bands)
+        own = F.col("frame_id") == F.col("_frame")
+        sent = sent.join(bands, own & F.col("y").between(F.col("top"), F.col("bottom"))).select(*names, "band")
+        marks = marks.join(bands, own).select(*IMAGE, *blank, "band")
+    else:
+        bands = _bands(width, height, transform, band_rows)
+        known = F.array(*[F.struct(F.lit(b).alias("band"), F.lit(t).alias("top"), F.lit(e).alias("bottom")) for b, t, e in bands])
+        needed = F.filter(known, lambda b: F.col("y").between(b["top"], b["bottom"]))
+        sent = sent.select(*names, F.explode(F.transform(needed, lambda b: b["band"])).alias("band"))
+        marks = marks.select(*IMAGE, *blank, F.explode(F.array(*[F.lit(b[0]) for b in bands])).alias("band"))
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         stack, frame, plane, y0 = (k.as_py() for k in key)
         count = min(band_rows, height - y0)
-        value, flags = _band(rows, y0, count, width, transform, source_width, source_height)
+        shape = transform[frame] if isinstance(transform, dict) else transform
+        value, flags = _band(rows, y0, count, width, shape, source_width, source_height)
         n = count * width
         columns = [np.full(n, stack, np.int32), np.full(n, frame, np.int64), np.full(n, plane, np.int32), np.repeat(np.arange(y0, y0 + count, dtype=np.int32), width), np.tile(np.arange(width, dtype=np.int32), count), value, flags]
         return pa.table([pa.array(c) for c in columns], names=names)

@@ -26,6 +26,25 @@ def sorted_frames(frames: DataFrame, field_: str, descending: bool = False, miss
     return frames.withColumn("position", (F.row_number().over(W.orderBy(*sort_order(field_, descending, missing_first))) - 1).cast("long"))
 
 
+#: Metrics that count; all others are scalars.
+COUNTS = ("detected_stars", "usable_stars")
+
+
+def comparison_passes(metric: str, comparator: str, threshold: float | int) -> Column:
+    """Whether the metric is strictly ``less`` or ``greater`` than the threshold.
+
+    A count only compares with a whole threshold that is not negative, a scalar only with a finite one; a pair of
+    different kinds, and a missing metric, never pass.
+    """
+    require(comparator in ("less", "greater"), "comparator must be less or greater")
+    whole = isinstance(threshold, int) and not isinstance(threshold, bool) and threshold >= 0
+    if whole != (metric in COUNTS) or not abs(threshold) < float("inf"):
+        return F.lit(False)
+    bound = F.lit(threshold).cast("long") if whole else F.lit(float(threshold))
+    c = F.col(metric)
+    return F.coalesce(c < bound if comparator == "less" else c > bound, F.lit(False))
+
+
 @dataclass(frozen=True)
 class Rule:
     """Reject a frame whose ``metric`` is below or above ``threshold``; ``missing`` says what a missing one means."""
@@ -63,7 +82,10 @@ def selection_digest(evaluated: DataFrame) -> DataFrame:
 
 @dataclass
 class ReviewBook:
-    """Decisions on the driver, one small entry per frame that was decided: preview, apply, undo, seal."""
+    """Decisions on the driver, one small entry per frame that was decided: preview, apply, undo, seal.
+
+    The last ``undo_limit`` changes can be undone; older ones are final, as the parameter says.
+    """
 
     decisions: dict[int, str] = field(default_factory=dict)
     history: list[dict[int, str | None]] = field(default_factory=list)
@@ -101,3 +123,45 @@ class ReviewBook:
 
     def frame(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(sorted(self.decisions.items()), "frame_id long, decision string")
+
+
+@dataclass
+class FrameStepper:
+    """Steps through the frames of a comparison; a step is requested, and visible once its frame was committed."""
+
+    frames: tuple[int, ...]
+    mode: str = "loop_forward"
+    current: int = 0
+    pending: int | None = None
+    playing: bool = False
+    direction: int = 1
+
+    def __post_init__(self) -> None:
+        require(len(self.frames) > 0 and len(set(self.frames)) == len(self.frames), "frames must be there and distinct")
+        require(self.mode in ("loop_forward", "loop_backward", "bounce"), "unknown mode")
+
+    def _free(self) -> None:
+        require(self.pending is None, "a step is pending")
+        require(len(self.frames) > 1, "one frame alone has no steps")
+
+    def request_step(self, direction: int) -> int:
+        """The frame one step ahead (1) or back (-1), around the ends."""
+        require(direction in (1, -1), "direction must be 1 or -1")
+        self._free()
+        self.pending = (self.current + direction) % len(self.frames)
+        return self.frames[self.pending]
+
+    def request_playback_step(self) -> int:
+        """The next frame of the mode; ``bounce`` turns at the ends."""
+        require(self.playing, "playback is paused")
+        if self.mode != "bounce":
+            return self.request_step(1 if self.mode == "loop_forward" else -1)
+        self._free()
+        if not 0 <= self.current + self.direction < len(self.frames):
+            self.direction = -self.direction
+        return self.request_step(self.direction)
+
+    def commit(self, frame: int) -> None:
+        require(self.pending is not None, "no step is pending")
+        require(self.frames[self.pending] == frame, "another frame is pending")
+        self.current, self.pending = self.pending, None

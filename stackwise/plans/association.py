@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from stackwise.schema import require
 
 HARD = ("camera", "width", "height", "x_binning", "y_binning")
+#: What every master must share with its target besides.
+FITTING = (*HARD, "gain", "offset")
 POLICIES = ("require_matched_dark", "require_bias", "prefer_matched_dark_then_bias")
 
 
@@ -36,13 +38,18 @@ def temperature_delta(target: str, candidate: str) -> Column:
     return F.when(t(target, "sensor_temperature").isNotNull(), measured).otherwise(F.abs(t(target, "set_temperature") - t(candidate, "set_temperature")))
 
 
-def candidates(targets: DataFrame, masters: DataFrame, exact: tuple[str, ...] = HARD) -> DataFrame:
-    """Targets next to all masters with the same exact key; columns are prefixed ``t_`` and ``m_``."""
+def candidates(targets: DataFrame, masters: DataFrame, exact: tuple[str, ...] = HARD, same: tuple[str, ...] = ()) -> DataFrame:
+    """Targets next to all masters with the same key; columns are prefixed ``t_`` and ``m_``.
+
+    Columns in ``same`` may also be missing on both sides.  All of the key is an equi-join.
+    """
     t = targets.select(*[F.col(c).alias(f"t_{c}") for c in targets.columns])
     m = masters.select(*[F.col(c).alias(f"m_{c}") for c in masters.columns])
     on = F.lit(True)
     for c in exact:
         on = on & (F.col(f"t_{c}") == F.col(f"m_{c}"))
+    for c in same:
+        on = on & F.col(f"t_{c}").eqNullSafe(F.col(f"m_{c}"))
     return t.join(m, on)
 
 
@@ -80,8 +87,10 @@ def associate_pedestals(flats: DataFrame, masters: DataFrame, parameters: Tolera
     An ambiguous dark does not fall back to a bias.
     """
     p = parameters or Tolerances()
-    good = pedestal_candidates(flats, masters, p).filter(F.size("mismatches") == 0)
-    dark = select_unique(good.filter("m_frame_type = 'DARK'"), "t_group_id", "m_group_id", ["d_exposure", "d_temperature"]).select(F.col("t_group_id").alias("g1"), F.col("best").alias("dark"), F.col("ties").alias("darks"))
+    good = candidates(flats, masters, FITTING, ("bayer",))
+    good = good.withColumns({"d_exposure": F.abs(F.col("t_exposure") - F.col("m_exposure")), "d_temperature": temperature_delta("t", "m")})
+    good = good.filter(F.col("d_temperature") <= p.temperature)
+    dark = select_unique(good.filter("m_frame_type = 'DARK'").filter(F.col("d_exposure") <= p.exposure), "t_group_id", "m_group_id", ["d_exposure", "d_temperature"]).select(F.col("t_group_id").alias("g1"), F.col("best").alias("dark"), F.col("ties").alias("darks"))
     bias = select_unique(good.filter("m_frame_type = 'BIAS'"), "t_group_id", "m_group_id", ["d_temperature"]).select(F.col("t_group_id").alias("g2"), F.col("best").alias("bias"), F.col("ties").alias("biases"))
     joined = flats.select(F.col("group_id").alias("flat_id")).join(dark, F.col("flat_id") == F.col("g1"), "left").join(bias, F.col("flat_id") == F.col("g2"), "left")
     from_dark = F.when(F.col("darks") == 1, "matched_dark").when(F.col("darks") > 1, "ambiguous_dark")
@@ -104,9 +113,11 @@ def light_candidates(lights: DataFrame, masters: DataFrame, p: Tolerances) -> Da
 def associate_lights(lights: DataFrame, masters: DataFrame, parameters: Tolerances | None = None) -> DataFrame:
     """``light_id, dark_status, dark_id, flat_status, flat_id``: the nearest dark if unique, the flat if there is one."""
     p = parameters or Tolerances()
-    good = light_candidates(lights, masters, p).filter(F.size("mismatches") == 0)
-    dark = select_unique(good.filter("m_frame_type = 'DARK'"), "t_group_id", "m_group_id", ["d_temperature"]).select(F.col("t_group_id").alias("g1"), F.col("best").alias("dark"), F.col("ties").alias("darks"))
-    flat = good.filter("m_frame_type = 'FLAT'").groupBy(F.col("t_group_id").alias("g2")).agg(F.min("m_group_id").alias("flat"), F.count(F.lit(1)).alias("flats"))
+    darks = candidates(lights, masters.filter("frame_type = 'DARK'"), (*FITTING, "exposure"), ("bayer",))
+    darks = darks.withColumn("d_temperature", temperature_delta("t", "m")).filter(F.col("d_temperature") <= p.temperature)
+    flats = candidates(lights, masters.filter("frame_type = 'FLAT'"), FITTING, ("bayer", "filter"))
+    dark = select_unique(darks, "t_group_id", "m_group_id", ["d_temperature"]).select(F.col("t_group_id").alias("g1"), F.col("best").alias("dark"), F.col("ties").alias("darks"))
+    flat = flats.groupBy(F.col("t_group_id").alias("g2")).agg(F.min("m_group_id").alias("flat"), F.count(F.lit(1)).alias("flats"))
     joined = lights.select(F.col("group_id").alias("light_id")).join(dark, F.col("light_id") == F.col("g1"), "left").join(flat, F.col("light_id") == F.col("g2"), "left")
     status = lambda n: F.when(F.col(n).isNull(), "none").when(F.col(n) == 1, "matched").otherwise("ambiguous")
     return joined.select(

@@ -6,6 +6,7 @@ estimates say how many bytes a job's positions hold at once, so that partitions
 
 from __future__ import annotations
 
+import threading
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,13 +62,9 @@ def correct_lines(lights: DataFrame, reference: DataFrame, parameters: defects.L
 
 
 def execute_registration(samples: DataFrame, plan: dict, source_width: int, source_height: int) -> DataFrame:
-    """All frames of a sealed plan on the reference grid."""
-    out = None
-    for frame in plan["frames"]:  # a plan has one entry per frame of a stack
-        transform = Projective.of([frame["matrix"][k : k + 3] for k in (0, 3, 6)])
-        one = resample.resample(samples.filter(F.col("frame_id") == frame["frame_id"]), source_width, source_height, plan["width"], plan["height"], transform)
-        out = one if out is None else out.unionByName(one)
-    return out
+    """All frames of a sealed plan on the reference grid, in one scan and one shuffle."""
+    shapes = {f["frame_id"]: Projective.of([f["matrix"][k : k + 3] for k in (0, 3, 6)]) for f in plan["frames"]}
+    return resample.resample(samples, source_width, source_height, plan["width"], plan["height"], shapes)
 
 
 def registered_stack(registered: DataFrame, estimator: str, crop: tuple[int, int, int, int] | None = None, **parameters) -> dict[str, DataFrame]:
@@ -166,3 +163,30 @@ def verify_same(before: DataFrame, after: DataFrame, keys: tuple[str, ...] = PIX
     return before.exceptAll(after).isEmpty() and after.exceptAll(before).isEmpty()
 
 
+
+
+class MemoryBudget:
+    """Admission of driver-side work: reservations of bytes that together never exceed the limit, from any thread."""
+
+    def __init__(self, limit: int):
+        require(limit > 0, "a budget needs a positive limit")
+        self.limit, self.used, self.peak = limit, 0, 0
+        self._lock = threading.Lock()
+
+    @property
+    def available(self) -> int:
+        return self.limit - self.used
+
+    @contextmanager
+    def try_reserve(self, size: int):
+        """Hold ``size`` bytes inside the block; an error at once if they are not there."""
+        require(size > 0, "a reservation needs a positive size")
+        with self._lock:
+            require(size <= self.limit - self.used, f"{size} bytes do not fit: {self.limit - self.used} of {self.limit} are free")
+            self.used += size
+            self.peak = max(self.peak, self.used)
+        try:
+            yield size
+        finally:
+            with self._lock:
+                self.used -= size

@@ -8,15 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackwise.functions.geometry import Affine
+from stackwise.functions.geometry import Affine, Projective
 from stackwise.functions.numerics import neumaier_sum
 from stackwise.functions.student import esd_critical_value
 from stackwise.operators import calibrate, defects, drizzle, localnorm, preview, quality, registration, resample, review, statistics
 from stackwise.operators import integrate as I
-from stackwise.plans import association
+from stackwise.plans import association, pipelines
 from stackwise.sources import fits, manifest
 from stackwise.sources.adapters import EMBEDDING_SQL, LINEITEM_SQL, embedding_samples, lineitem_samples, table
 from stackwise.streaming import running
@@ -291,6 +292,25 @@ def calibrate_dark_flat(spark, d):
     return _calibrated(calibrate.calibrate_dark_flat(embedding_samples(spark, d), dark_master(spark), flat_master(spark), 0.01, small_masters=True))
 
 
+@register(
+    "execute_light_plan",
+    f"""{BASE}, {DARK_SQL}, {FLAT_SQL}, p AS (SELECT e.*, (frame_id % 3)::INT AS g FROM e WHERE frame_id % 3 <> 2)
+SELECT frame_id, 'L' || g AS group_id, p.y, p.x, CASE WHEN (p.flags | d.flags) = 0 AND isfinite(p.value) AND abs(f.value) > 0.01 THEN (p.value - (d.value + g)) / f.value + 0.0::DOUBLE END AS value,
+ (CASE WHEN (p.flags | d.flags) <> 0 THEN p.flags | d.flags WHEN isfinite(p.value) AND abs(f.value) > 0.01 THEN 0 ELSE 32 END)::SMALLINT AS flags FROM p JOIN dark d USING (y, x) JOIN flat f ON f.y = p.y AND f.x = p.x""",
+)
+def execute_light_plan(spark, d):
+    """Three groups of lights, each with its own dark, one of them without a flat: it is left out."""
+    e = embedding_samples(spark, d)
+    groups = range(3)
+    masters = flat_master(spark).withColumn("group_id", F.lit("F"))
+    for g in groups:
+        masters = masters.unionByName(dark_master(spark).withColumn("value", F.col("value") + g).withColumn("group_id", F.lit(f"D{g}")))
+    frames = e.select("frame_id").distinct().withColumn("group_id", F.concat(F.lit("L"), (F.col("frame_id") % 3).cast("string")))
+    plan = spark.createDataFrame([(f"L{g}", f"D{g}", "F" if g < 2 else None, g < 2) for g in groups], "light_id string, dark_id string, flat_id string, ready boolean")
+    out = pipelines.execute_light_plan(e, frames, plan, masters, 0.01)
+    return out.select("frame_id", "group_id", "y", "x", F.col("value") + 0.0, "flags").toDF("frame_id", "group_id", "y", "x", "value", "flags").withColumn("value", no_nan("value"))
+
+
 @register(
     "subtract_pedestal",
     f"""{BASE}, {DARK_SQL} SELECT stack_id, frame_id, e.y, e.x, CASE WHEN (e.flags | d.flags) = 0 AND isfinite(e.value) THEN e.value - d.value + 0.0::DOUBLE END AS value,
@@ -603,6 +623,38 @@ def lanczos_shift(spark, d):
     return out.select("frame_id", "y", "x", no_nan("value", 6).alias("value"))
 
 
+#: From a position of the output to its place in the source; no place is a whole number.
+BENT = ((1.0, 0.02, 0.31), (-0.03, 1.0, 0.17), (0.004, 0.003, 1.0))
+
+
+@register(
+    "lanczos_projective",
+    f"""{BASE}, o AS (SELECT y::INT AS y, x::INT AS x, (x + 0.02 * y + 0.31) / (0.004 * x + 0.003 * y + 1) AS u, (-0.03 * x + y + 0.17) / (0.004 * x + 0.003 * y + 1) AS v FROM range(8) a(y), range(8) b(x))
+, t AS (SELECT o.y, o.x, k.k::INT AS sx, j.j::INT AS sy, ({LANCZOS_SQL.replace('@', '(u - k.k)')}) * ({LANCZOS_SQL.replace('@', '(v - j.j)')}) AS w FROM o, range(8) k(k), range(8) j(j)
+ WHERE k.k BETWEEN floor(u) - 2 AND floor(u) + 3 AND j.j BETWEEN floor(v) - 2 AND floor(v) + 3 AND floor(u) BETWEEN 2 AND 4 AND floor(v) BETWEEN 2 AND 4)
+, r AS (SELECT frame_id, t.y, t.x, CASE WHEN bool_and({GOOD}) THEN round(sum(w * CASE WHEN {GOOD} THEN value ELSE 0 END) / sum(w), 6) END AS value FROM t JOIN e ON e.y = sy AND e.x = sx GROUP BY 1, 2, 3)
+SELECT e.frame_id, e.y, e.x, r.value FROM e LEFT JOIN r ON r.frame_id = e.frame_id AND r.y = e.y AND r.x = e.x""",
+)
+def lanczos_projective(spark, d):
+    shape = Projective.of(np.linalg.inv(np.array(BENT)))
+    out = resample.resample(embedding_samples(spark, d), 8, 8, 8, 8, shape)
+    return out.select("frame_id", "y", "x", no_nan("value", 6).alias("value"))
+
+
+@register(
+    "registered_plan",
+    f"""{BASE}, g AS (SELECT frame_id, y, x, {GOOD} AS ok, value, flags FROM e), m AS (SELECT frame_id, y, x, frame_id % 3 AS dx FROM e)
+SELECT m.frame_id, m.y, m.x, CASE WHEN ok THEN value END AS value, (CASE WHEN g.frame_id IS NULL THEN 1 WHEN ok THEN 0 ELSE flags | 1 | CASE WHEN flags = 0 THEN 32 ELSE 0 END END)::SMALLINT AS flags
+FROM m LEFT JOIN g ON g.frame_id = m.frame_id AND g.y = m.y AND g.x = m.x - dx""",
+)
+def registered_plan(spark, d):
+    """A plan that moves each frame by its own whole number of columns, executed in one scan."""
+    e = embedding_samples(spark, d)
+    ids = [r[0] for r in e.select("frame_id").distinct().collect()]  # a plan has one entry for each frame
+    plan = {"width": 8, "height": 8, "frames": [{"frame_id": f, "matrix": [1, 0, f % 3, 0, 1, 0, 0, 0, 1]} for f in ids]}
+    return pipelines.execute_registration(e, plan, 8, 8).select("frame_id", "y", "x", no_nan("value").alias("value"), "flags")
+
+
 @register("common_footprint", "SELECT y::INT AS y, x::INT AS x, ((x >= 2 AND y >= 1)::INT + (x <= 16)::INT)::INT AS covered, x >= 2 AND y >= 1 AND x <= 16 AS common FROM range(12) a(y), range(20) b(x)")
 def common_footprint(spark, d):
     return resample.common_footprint(spark, 20, 12, [(20, 12, Affine(1, 0, 2, 0, 1, 1)), (20, 12, Affine(1, 0, -3, 0, 1, 0))])
@@ -645,6 +697,22 @@ def drizzle_shift(spark, d):
     return out.filter("contributions > 0").select("stack_id", "y", "x", F.round("value", 6).alias("value"), F.round("weight", 6).alias("weight"))
 
 
+@register(
+    "drizzle_mosaic",
+    f"""{BASE}, g AS (SELECT stack_id, CASE WHEN (y + x) % 2 = 1 THEN 1 ELSE 2 * (y % 2) END AS plane, y, x, value FROM e WHERE {GOOD}), t AS (SELECT stack_id, plane, o.y, o.x, value,
+ greatest(0, least(g.x + 0.4 + 0.25, o.x + 0.5) - greatest(g.x + 0.4 - 0.25, o.x - 0.5)) * greatest(0, least(g.y + 0.25, o.y + 0.5) - greatest(g.y - 0.25, o.y - 0.5)) / 0.25 AS w
+ FROM g JOIN (SELECT y, x FROM range(8) a(y), range(8) b(x)) o ON abs(o.x - g.x) <= 1 AND o.y = g.y)
+SELECT stack_id, plane::INT AS plane, y::INT AS y, x::INT AS x, round(sum(value * w) / sum(w), 6) AS value, round(sum(w), 6) AS weight FROM t WHERE w > 1e-9 GROUP BY 1, 2, 3, 4""",
+)
+def drizzle_mosaic(spark, d):
+    """Each colour of a mosaic drizzled to its own plane."""
+    e = embedding_samples(spark, d)
+    ids = [r[0] for r in e.select("frame_id").distinct().collect()]  # a plan has one transform for each frame
+    moved = {f: Affine(1, 0, 0.4, 0, 1, 0).homography() for f in ids}
+    out = pipelines.drizzle_output(e, moved, DRIZZLE, "RGGB")
+    return out.filter("contributions > 0").select("stack_id", "plane", "y", "x", F.round("value", 6).alias("value"), F.round("weight", 6).alias("weight"))
+
+
 # --- local normalisation
 
 GRID = localnorm.Grid(4, 4, 100)
@@ -885,12 +953,13 @@ def classify_frames(spark, d):
     "correct_linear_defects",
     f"""{BASE}, g AS (SELECT * FROM e WHERE {GOOD} AND y <> 4), n AS (SELECT a.frame_id, a.y, a.x, median(b.value) AS med, count(b.value) AS n FROM e a JOIN g b ON a.frame_id = b.frame_id AND a.x = b.x AND a.y <> b.y AND abs(a.y - b.y) <= 3 WHERE a.y = 4 GROUP BY 1, 2, 3)
 SELECT e.frame_id, e.y, e.x, CASE WHEN (flags & ~12) <> 0 THEN 'blocked' WHEN coalesce(n, 0) >= 4 THEN 'corrected' ELSE 'unsupported' END AS outcome, CASE WHEN (flags & ~12) <> 0 THEN CASE WHEN isnan(value) THEN NULL ELSE value END WHEN coalesce(n, 0) >= 4 THEN med END AS value
-FROM e LEFT JOIN n ON n.frame_id = e.frame_id AND n.y = e.y AND n.x = e.x WHERE e.y = 4""",
+FROM e LEFT JOIN n ON n.frame_id = e.frame_id AND n.y = e.y AND n.x = e.x WHERE e.y = 4
+UNION ALL SELECT frame_id, y, x, 'kept' AS outcome, CASE WHEN NOT isnan(value) THEN value END AS value FROM e WHERE y <> 4""",
 )
 def correct_linear_defects(spark, d):
     row = _grid(spark).filter("y = 4").withColumn("defect", F.lit(4).cast("short"))
     out = defects.correct_linear_defects(embedding_samples(spark, d), row, LINES, 4)
-    return out.filter("y = 4").select("frame_id", "y", "x", "outcome", no_nan("value").alias("value"))
+    return out.select("frame_id", "y", "x", "outcome", no_nan("value").alias("value"))
 
 
 @register(
@@ -916,6 +985,48 @@ def render_grayscale(spark, d):
     return preview.render_grayscale(e, preview.display_transform(e)).select("frame_id", "y", "x", "g", "a")
 
 
+@register(
+    "render_rgb",
+    f"""{BASE}, w AS (SELECT stack_id, y, x, max(CASE WHEN frame_id % 3 = 0 AND {GOOD} THEN value END) AS c0, max(CASE WHEN frame_id % 3 = 1 AND {GOOD} THEN value END) AS c1, max(CASE WHEN frame_id % 3 = 2 AND {GOOD} THEN value END) AS c2 FROM e GROUP BY 1, 2, 3)
+, v AS (SELECT *, c0 IS NOT NULL AND c1 IS NOT NULL AND c2 IS NOT NULL AS ok FROM w), u AS (SELECT stack_id, y, x, ok, p, ([c0, c1, c2][p] + 2000) / 4000 AS v FROM v, range(1, 4) r(p))
+, l AS (SELECT *, CASE WHEN ok THEN floor(least(greatest(CASE WHEN v <= 0 OR v >= 1 THEN v ELSE (0.3::DOUBLE - 1) * v / ((2 * 0.3::DOUBLE - 1) * v - 0.3::DOUBLE) END, 0), 1) * 255 + 0.5)::INT ELSE 0 END AS s FROM u)
+SELECT stack_id, y, x, max(s) FILTER (p = 1) AS r, max(s) FILTER (p = 2) AS g, max(s) FILTER (p = 3) AS b, CASE WHEN any_value(ok) THEN 255 ELSE 0 END AS a FROM l GROUP BY 1, 2, 3""",
+)
+def render_rgb(spark, d):
+    """The largest usable values of every third frame as one colour each."""
+    e = embedding_samples(spark, d).withColumn("value", F.when(F.col("flags") == 0, no_nan("value"))).withColumn("plane", (F.col("frame_id") % 3).cast("int"))
+    out = preview.render_rgb(e.withColumn("frame_id", F.lit(0).cast("long")), -2000.0, 2000.0, 0.3)
+    return out.select("stack_id", "y", "x", "r", "g", "b", "a")
+
+
+@register(
+    "render_defects",
+    f"""{BASE}, b AS (SELECT frame_id, y, x, ((y * 8 + x + frame_id) % 4 * 4)::INT AS k FROM e)
+SELECT frame_id, y, x, [0, 255, 64, 255][k // 4 + 1] AS r, [0, 64, 128, 64][k // 4 + 1] AS g, [0, 64, 255, 255][k // 4 + 1] AS b, CASE WHEN k = 0 THEN 0 ELSE 255 END AS a FROM b""",
+)
+def render_defects(spark, d):
+    e = embedding_samples(spark, d).withColumn("value", ((F.col("y") * 8 + F.col("x") + F.col("frame_id")) % 4 * 4).cast("int"))
+    return preview.render_defects(e).select("frame_id", "y", "x", "r", "g", "b", "a")
+
+
+@register(
+    "file_checksums",
+    """WITH b AS (SELECT c_custkey, rpad(hex(c_name), (ceil(length(hex(c_name)) / 8) * 8)::INT, '0') AS h FROM customer)
+, w AS (SELECT c_custkey, ('0x' || substr(h, (1 + 8 * i)::INT, 8))::BIGINT AS v FROM b, range(64) r(i) WHERE 8 * i < length(h)), s AS (SELECT c_custkey, sum(v)::BIGINT AS v FROM w GROUP BY 1)
+SELECT c_custkey, ((v & 4294967295) + (v >> 32))::BIGINT AS total FROM s""",
+)
+def file_checksums(spark, d):
+    """The sum of the ones' complement over the bytes of each name."""
+    return fits.checksums(table(spark, d, "customer").select("c_custkey", F.encode("c_name", "utf-8").alias("content")), "c_custkey").withColumnRenamed("checksum", "total")
+
+
+@register("file_verification", f"{BASE} SELECT DISTINCT frame_id, 'valid' AS datasum, 'valid' AS checksum FROM e")
+def file_verification(spark, d):
+    """Every frame as a file whose checksums are verified."""
+    files = fits.encode_images(embedding_samples(spark, d))
+    return fits.verified(files.select("frame_id", "content"), "frame_id")
+
+
 @register(
     "compensated_sums",
     "SELECT c_mktsegment, round(sum(c_acctbal), 2) AS total FROM customer GROUP BY 1",

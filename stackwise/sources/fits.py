@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import struct
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -236,6 +237,28 @@ def verify_checksums(data: bytes) -> dict[str, str]:
     return out
 
 
+def checksums(files: DataFrame, key: str) -> DataFrame:
+    """``key, checksum`` of ``files`` (key, content): the ones' complement sum of each content."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            totals = [checksum(x) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(totals, pa.int64())], [key, "checksum"])
+
+    return files.select(key, "content").mapInArrow(run, f"`{key}` {files.schema[key].dataType.simpleString()}, checksum long")
+
+
+def verified(files: DataFrame, key: str) -> DataFrame:
+    """``key, datasum, checksum``: the status of both checksums of each file (key, content)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [verify_checksums(x) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([f[k] for f in found], pa.string()) for k in ("DATASUM", "CHECKSUM"))], [key, "datasum", "checksum"])
+
+    return files.select(key, "content").mapInArrow(run, f"`{key}` {files.schema[key].dataType.simpleString()}, datasum string, checksum string")
+
+
 def padded_size(shape: Layout) -> int:
     return -(-shape.samples * shape.itemsize // BLOCK) * BLOCK
 
@@ -365,18 +388,20 @@ def publish(spark: SparkSession, products: dict[str, bytes], directory: str) ->
     jvm = spark._jvm
     root = jvm.org.apache.hadoop.fs.Path(directory)
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    stage = jvm.org.apache.hadoop.fs.Path(directory + "/.staging")
+    # A folder of this call alone, so that two writers don't meet in it.
+    staging = f"{directory}/.staging-{uuid.uuid4().hex}"
+    stage = jvm.org.apache.hadoop.fs.Path(staging)
     done = []
     for name in products:
         require(not fs.exists(jvm.org.apache.hadoop.fs.Path(f"{directory}/{name}")), f"{name} exists")
     try:
         for name, data in products.items():
-            out = fs.create(jvm.org.apache.hadoop.fs.Path(f"{directory}/.staging/{name}"), False)
+            out = fs.create(jvm.org.apache.hadoop.fs.Path(f"{staging}/{name}"), False)
             out.write(bytearray(data))
             out.close()
         for name in products:
             target = jvm.org.apache.hadoop.fs.Path(f"{directory}/{name}")
-            require(fs.rename(jvm.org.apache.hadoop.fs.Path(f"{directory}/.staging/{name}"), target), f"{name} could not be published")
+            require(fs.rename(jvm.org.apache.hadoop.fs.Path(f"{staging}/{name}"), target), f"{name} could not be published")
             done.append(target)
     except BaseException:
         for target in done:

@@ -4,9 +4,10 @@ import math
 
 import numpy as np
 import pytest
+from helpers import DATA
 
 from stackwise.functions import geometry as G
-from stackwise.operators import defects, drizzle, quality, registration, resample, review
+from stackwise.operators import defects, drizzle, localnorm, quality, registration, resample, review
 from stackwise.plans import digests, pipelines
 from stackwise.schema import INVALID, MISSING, SAMPLES, ParameterError
 from stackwise.sources import fits, manifest
@@ -285,3 +286,99 @@ def test_stream(spark, tmp_path):
     running.run_to_table(running.windowed_mean(stream), str(tmp_path / "out"), str(tmp_path / "check"))
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     assert [(r["event_type"], r["n"], r["mean"]) for r in got] == [("a", 2, 3.0)]
+
+
+def test_background_in_groups_and_in_joins(spark, monkeypatch):
+    from stackwise.sources.adapters import embedding_samples
+
+    samples = embedding_samples(spark, DATA)
+    parameters = quality.Background(1.5, 6, 5)
+    names = sorted(quality.estimate_background(samples, parameters).columns)
+    grouped = sorted(map(str, quality.estimate_background(samples, parameters).select(*names).collect()))
+    monkeypatch.setattr(quality, "GROUPED_SAMPLES", 0)
+    assert sorted(map(str, quality.estimate_background(samples, parameters).select(*names).collect())) == grouped
+
+
+def test_frames_of_a_plan_resample_together(spark):
+    rng = np.random.default_rng(2)
+    both = [rng.normal(10, 1, (24, 24)) for _ in range(2)]
+    samples = frame(spark, both[0]).unionByName(frame(spark, both[1], 1)).unionByName(frame(spark, both[0], 2))
+    shapes = {0: G.Affine(1, 0, 1.5, 0, 1, -0.25), 1: G.Affine(0.9, 0.1, 0.0, -0.1, 0.9, 2.0)}
+    got = {(r["frame_id"], r["y"], r["x"]): (str(r["value"]), r["flags"]) for r in resample.resample(samples, 24, 24, 20, 22, shapes, band_rows=7).collect()}
+    want = {}
+    for f, shape in shapes.items():
+        one = resample.resample(samples.filter(f"frame_id = {f}"), 24, 24, 20, 22, shape).collect()
+        want |= {(f, r["y"], r["x"]): (str(r["value"]), r["flags"]) for r in one}
+    assert got == want and len(got) == 2 * 20 * 22
+
+
+def test_large_cells_theil_sen(spark):
+    """The fit of a cell against all pairs by hand."""
+    rng = np.random.default_rng(3)
+    s = rng.normal(100, 10, 60)
+    r = 1.7 * s - 4 + rng.normal(0, 0.5, 60)
+    rows = [(0, 0, 0, 0, 0, int(k) // 8, int(k) % 8, float(s[k]), float(r[k])) for k in range(60)] + [(0, 1, 0, 0, 0, 0, k, 5.0, float(k)) for k in range(4)] + [(0, 2, 0, 0, 0, 0, 0, 1.0, 2.0)]
+    df = spark.createDataFrame(rows, "stack_id int, frame_id long, plane int, `row` int, `column` int, y int, x int, source double, reference double")
+    got = {x["frame_id"]: x for x in localnorm.theil_sen(df).collect()}
+    i, j = np.triu_indices(60, 1)
+    scale = np.median((r[j] - r[i]) / (s[j] - s[i]))
+    offset = np.median(r - scale * s)
+    assert got[0]["scale"] == pytest.approx(scale, rel=1e-12) and got[0]["offset"] == pytest.approx(offset, rel=1e-12)
+    assert got[0]["residual"] == pytest.approx(np.median(np.abs(r - (scale * s + offset))), rel=1e-9) and got[0]["slopes"] == 60 * 59 // 2
+    assert got[1]["failure"] == "degenerate_source" and got[1]["scale"] is None and got[2]["failure"] == "too_few_samples"
+
+
+def test_typed_comparisons(spark):
+    df = spark.createDataFrame([(0, 5, 1.0), (1, 9, 2.0), (2, None, None)], "frame_id long, usable_stars long, noise double")
+    ids = lambda c: [r[0] for r in df.filter(c).select("frame_id").collect()]
+    assert ids(review.comparison_passes("usable_stars", "less", 9)) == [0] and ids(review.comparison_passes("usable_stars", "greater", 5)) == [1]
+    assert ids(review.comparison_passes("noise", "less", 2.0)) == [0] and ids(review.comparison_passes("noise", "greater", 1.5)) == [1]
+    for metric, threshold in (("usable_stars", 5.0), ("usable_stars", -1), ("noise", 1), ("noise", float("inf")), ("noise", float("nan"))):
+        assert ids(review.comparison_passes(metric, "less", threshold)) == []
+
+
+def test_steps_wrap_and_bounce():
+    s = review.FrameStepper((7, 8, 9))
+    assert s.request_step(-1) == 9
+    with pytest.raises(ParameterError):
+        s.request_step(1)
+    with pytest.raises(ParameterError):
+        s.commit(8)
+    s.commit(9)
+    assert s.request_step(1) == 7
+    b, seen = review.FrameStepper((1, 2, 3), "bounce", playing=True), []
+    for _ in range(6):
+        seen.append(b.request_playback_step())
+        b.commit(seen[-1])
+    assert seen == [2, 3, 2, 1, 2, 3]
+    with pytest.raises(ParameterError):
+        review.FrameStepper((1,)).request_step(1)
+
+
+def test_memory_budget():
+    budget = pipelines.MemoryBudget(100)
+    with budget.try_reserve(60):
+        with pytest.raises(ParameterError), budget.try_reserve(50):
+            pass
+        with budget.try_reserve(40):
+            assert budget.available == 0
+    assert budget.used == 0 and budget.peak == 100
+
+
+def test_bounded_reads_of_files(spark, tmp_path):
+    """The data source against whole-file reads: all samples, a pushed-down region, and no partitions outside of it."""
+    from stackwise.sources import fits_source
+
+    rng = np.random.default_rng(5)
+    for k in range(2):
+        values = rng.normal(0, 1, (2, 30, 17))
+        (tmp_path / f"{k}.fits").write_bytes(fits.encode_f64(values, np.zeros(values.shape, int)))
+    (tmp_path / "notes.txt").write_text("no image")
+    fits_source.register(spark)
+    source = spark.read.format("fits").option("band_samples", 17 * 8).load(str(tmp_path))
+    key = lambda r: (r["path"].removeprefix("file:"), r["plane"], r["y"], r["x"], r["value"], r["flags"])
+    whole = sorted(map(key, fits.read_samples(spark, str(tmp_path)).collect()))
+    assert sorted(map(key, source.collect())) == whole and len(whole) == 2 * 2 * 30 * 17
+    region = source.filter("plane = 1 AND y >= 5 AND y < 9 AND x BETWEEN 3 AND 6")
+    assert sorted(map(key, region.collect())) == [r for r in whole if r[1] == 1 and 5 <= r[2] < 9 and 3 <= r[3] <= 6]
+    assert region.rdd.getNumPartitions() == 2 and source.filter("y > 40").count() == 0
