@@ -34,6 +34,8 @@ STEMS = (4, 5, 6)
 SHAPES, STEPS = 6, 16
 FEATURES = (1 << WORD_BITS) + SHAPES * STEPS
 RIDGE, PASSES = 3e-4, 40
+#: Features that the loss looks at together.
+PART = 1 << 18
 #: A document is kept if its probability of the top grade is at least this.
 KEEP_AT = 0.5
 
@@ -116,6 +118,30 @@ def minimise(loss, x: np.ndarray, passes: int, history: int = 8) -> np.ndarray:
     return x
 
 
+def ordinal_loss(row: np.ndarray, column: np.ndarray, grades: np.ndarray, width: int):
+    """Mean negative log likelihood with ridge penalty, and its gradient, of ``width`` weights, an origin and log steps."""
+    n, above, below = len(grades), grades < GRADES - 1, grades > 0
+    parts = [slice(a, a + PART) for a in range(0, len(row), PART)]  # arrays as long as all features are never made
+
+    def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
+        w, free = x[:width], x[width:]
+        t = np.concatenate((free[:1], free[0] + np.cumsum(np.exp(free[1:]))))
+        score = sum((np.bincount(row[p], w[column[p]], n) for p in parts), np.zeros(n))
+        high = np.where(above, _sigmoid(t[np.minimum(grades, GRADES - 2)] - score), 1.0)
+        low = np.where(below, _sigmoid(t[np.maximum(grades - 1, 0)] - score), 0.0)
+        p = np.maximum(high - low, 1e-12)
+        d_high, d_low = high * (1 - high) / p, low * (1 - low) / p
+        g_t = np.zeros(GRADES - 1)
+        np.add.at(g_t, grades[above], -d_high[above] / n)
+        np.add.at(g_t, grades[below] - 1, d_low[below] / n)
+        g_free = np.concatenate(([g_t.sum()], np.cumsum(g_t[::-1])[::-1][1:] * np.exp(free[1:])))
+        slope = (d_high - d_low) / n
+        g_w = sum((np.bincount(column[p], slope[row[p]], width) for p in parts), RIDGE * w)
+        return -np.log(p).mean() + 0.5 * RIDGE * (w @ w), np.concatenate((g_w, g_free))
+
+    return loss
+
+
 class OrdinalModel:
     """Cumulative-link (proportional odds) regression with ridge penalty, fitted on the full batch."""
 
@@ -133,29 +159,12 @@ class OrdinalModel:
         used, place = np.flatnonzero(seen), np.cumsum(seen, dtype=np.int32) - 1
         column, row = place[column[kept]], row[kept]
         del kept
-        n, w = len(rows), np.zeros(len(used))
+        n = len(rows)
         # Thresholds are an origin and positive steps, so they stay ordered.
         share = np.clip(np.cumsum(np.bincount(grades, minlength=GRADES))[:-1] / n, 1e-3, 1 - 1e-3)
         t = np.log(share / (1 - share))
         free = np.concatenate((t[:1], np.log(np.maximum(np.diff(t), 0.1))))
-        above, below = grades < GRADES - 1, grades > 0
-
-        def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
-            w, free = x[: len(used)], x[len(used) :]
-            t = np.concatenate((free[:1], free[0] + np.cumsum(np.exp(free[1:]))))
-            score = np.bincount(row, w[column], n)
-            high = np.where(above, _sigmoid(t[np.minimum(grades, GRADES - 2)] - score), 1.0)
-            low = np.where(below, _sigmoid(t[np.maximum(grades - 1, 0)] - score), 0.0)
-            p = np.maximum(high - low, 1e-12)
-            d_high, d_low = high * (1 - high) / p, low * (1 - low) / p
-            g_t = np.zeros(GRADES - 1)
-            np.add.at(g_t, grades[above], -d_high[above] / n)
-            np.add.at(g_t, grades[below] - 1, d_low[below] / n)
-            g_free = np.concatenate(([g_t.sum()], np.cumsum(g_t[::-1])[::-1][1:] * np.exp(free[1:])))
-            g_w = np.bincount(column, ((d_high - d_low) / n)[row], len(w)) + RIDGE * w
-            return -np.log(p).mean() + 0.5 * RIDGE * (w @ w), np.concatenate((g_w, g_free))
-
-        x = minimise(loss, np.concatenate((w, free)), PASSES)
+        x = minimise(ordinal_loss(row, column, grades, len(used)), np.concatenate((np.zeros(len(used)), free)), PASSES)
         w, free = x[: len(used)], x[len(used) :]
         weights = np.zeros(FEATURES, np.float32)
         weights[used] = w
