@@ -90,17 +90,20 @@ def splitters(keys: DataFrame, shards: int) -> list[tuple[int, int]]:
     targets = [total * i / shards for i in range(1, shards)]
     tolerance = TOLERANCE * total / shards
     out: list[tuple[int, int]] = []
-    for target, (lo, s_lo, r_lo, hi, s_hi, r_hi) in zip(
-        targets, _search(keys, "h", total, rows, targets, tolerance), strict=True
-    ):
+    inside: dict[int, list[int]] = {}
+    found = _search(keys, "h", total, rows, targets, tolerance)
+    for k, (target, (lo, s_lo, r_lo, hi, s_hi, r_hi)) in enumerate(zip(targets, found, strict=True)):
+        out.append((lo, LOW) if target - s_lo <= s_hi - target else (hi, LOW))
         if min(target - s_lo, s_hi - target) > tolerance and r_hi - r_lo > 1:
-            # All rows between have the hash lo: one text.  Go on over its ids.
-            same = keys.filter(F.col("h") == lo)
-            lo2, a, _, hi2, b, _ = _search(same, "id", s_hi - s_lo, r_hi - r_lo, [target - s_lo], tolerance)[0]
-            nearest = (lo2, a) if target - s_lo - a <= b - (target - s_lo) else (hi2, b)
-            out.append((lo, nearest[0]) if nearest[0] <= HIGH else (hi, LOW))
-        else:
-            out.append((lo, LOW) if target - s_lo <= s_hi - target else (hi, LOW))
+            inside.setdefault(lo, []).append(k)
+    for text, at in inside.items():
+        # All rows between the sides have one hash, one text.  Go on over its ids, for all of its boundaries at once.
+        _, s_lo, r_lo, hi, s_hi, r_hi = found[at[0]]
+        same = keys.filter(F.col("h") == text)
+        wanted = [targets[k] - s_lo for k in at]
+        for k, t, (lo, a, _, up, b, _) in zip(at, wanted, _search(same, "id", s_hi - s_lo, r_hi - r_lo, wanted, tolerance), strict=True):
+            nearest = lo if t - a <= b - t else up
+            out[k] = (text, nearest) if nearest <= HIGH else (hi, LOW)
     return out
 
 
