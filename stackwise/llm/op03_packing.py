@@ -19,6 +19,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Scratch, checked_broadcast, read_table
-from .op06_token_counts import byte_alphabet
+from .op06_token_counts import byte_alphabet, merge_count
 
 WINDOW, END_ID = 1024, 0
 #: Rows in one cell of a length, and cells up to which their offsets are broadcast.
@@ -35,26 +36,45 @@ CELL_ROWS, SMALL_CELLS = 2_000, 100_000
 PASSES = 400
 
 
+def _read(path: str) -> dict:
+    with open(path, encoding="utf-8") as file:
+        return json.load(file)
+
+
+@lru_cache(maxsize=8)
+def joins_are_merges(path: str) -> bool:
+    """Whether merging any two neighbours whose join is a token, the smallest id first, is the same as merging by the list.
+
+    So it is if ids rise along the list and the listed merges make each token out of its own bytes.  For two neighbours
+    without a merge of their own whose join is a token would have to come up in that token's bytes too, as the merges
+    inside them don't depend on what is around, and would stay two there.
+    """
+    spec = _read(path)
+    if spec["model"]["type"] != "BPE" or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["normalizer"]:
+        return False
+    vocab, special = spec["model"]["vocab"], {t["content"] for t in spec["added_tokens"]}
+    merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
+    made = [vocab[a + b] for a, b in merges]
+    ranks = {pair: i for i, pair in enumerate(merges)}
+    return all(x < y for x, y in zip(made, made[1:])) and all(merge_count(list(token), ranks) == 1 for token in vocab if token not in special)
+
+
 class Tokenizer:
     """Ids of a byte-level vocabulary file.
 
-    Where the ranks of the merges are the order of the ids, the faster of the two public encoders gives the same ids
-    (tests hold one against the other); otherwise the file's own library is used.  It is also used for each text that
-    the faster one refuses: its regex engine gives up on runs of about a million blanks.
+    Where joins are merges, which is checked for the whole vocabulary (``fast``), the faster of the two public encoders
+    gives the same ids; otherwise the file's own library is used.  It is also used for each text that the faster one
+    refuses: its regex engine gives up on runs of about a million blanks.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, fast: bool | None = None):
         self.path = path
-        with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
-        vocab = spec["model"]["vocab"]
-        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
-        made = [vocab[a + b] for a, b in merges]
         self.fast = self.slow = None
-        if spec["pre_tokenizer"]["type"] == "ByteLevel" and not spec["normalizer"] and all(x < y for x, y in zip(made, made[1:])):
+        if joins_are_merges(path) if fast is None else fast:
             import tiktoken
 
-            back = {c: b for b, c in byte_alphabet().items()}
+            spec = _read(path)
+            vocab, back = spec["model"]["vocab"], {c: b for b, c in byte_alphabet().items()}
             special = {t["content"]: t["id"] for t in spec["added_tokens"]}
             ranks = {bytes(back[c] for c in token): i for token, i in vocab.items() if token not in special}
             self.fast = tiktoken.Encoding(
@@ -80,8 +100,10 @@ class Tokenizer:
 def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, keep_ids: bool = False) -> DataFrame:
     """``doc_id, start, length, ids_crc32, doc_tokens`` (and ``ids``): each document cut at multiples of the window."""
 
+    fast = joins_are_merges(tokenizer)  # once, on the driver
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Tokenizer(tokenizer)
+        encoder = Tokenizer(tokenizer, fast)
         for batch in batches:
             row, start, length, crc, total, held, texts = [], [], [], [], [], [], batch.column(1)
             for i in range(len(texts)):

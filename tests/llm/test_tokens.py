@@ -45,6 +45,22 @@ def test_odd_texts(library):
         assert tokens.ids(t).tolist() == ids
 
 
+def test_joins_that_are_no_merges_are_found(tmp_path):
+    """A vocabulary where the join of two neighbours is a token that no merge makes of them must not take the fast encoder."""
+    import json
+
+    def written(name, tokens, merges):
+        path = tmp_path / name
+        spec = {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel"}, "added_tokens": [], "model": {"type": "BPE", "vocab": {t: i for i, t in enumerate(tokens)}, "merges": merges}}
+        path.write_text(json.dumps(spec))
+        return str(path)
+
+    assert packing.joins_are_merges(written("good.json", ["a", "b", "c", "ab", "abc"], ["a b", "ab c"]))
+    assert not packing.joins_are_merges(written("bad.json", ["a", "b", "c", "ab", "bc", "abc"], ["a b", "b c", "a bc"]))
+    assert not packing.joins_are_merges(written("order.json", ["a", "b", "abab", "ab"], ["a b", "ab ab"]))
+    assert packing.joins_are_merges(PATH)
+
+
 def test_merging_is_by_rank():
     ranks = {("a", "b"): 1, ("b", "c"): 0, ("a", "bc"): 2}
     assert counts.merge_count(list("abc"), ranks) == 1
@@ -152,6 +168,23 @@ def test_sharding(spark, texts):
     assert max(size.values()) - mean <= most and mean - min(size.get(k, 0) for k in range(40)) <= most
 
 
+def test_boundaries_by_hand(spark):
+    """Shards are runs of the order by hash and id, and each boundary is as near its share as one row or the tolerance allows."""
+    import xxhash
+
+    rng = np.random.default_rng(4)
+    docs = [(i, "one text" if i % 3 == 0 else "x" * int(rng.integers(0, 300)) + str(i)) for i in range(900)]
+    out = {r["doc_id"]: r["shard"] for r in sharding.shard(spark.createDataFrame(docs, "doc_id long, text string"), 10).collect()}
+    hashed = lambda t: int.from_bytes(xxhash.xxh64_digest(t.encode(), seed=42), "big", signed=False)
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    order = sorted(docs, key=lambda r: (signed(hashed(r[1])), r[0]))
+    assert [out[i] for i, _ in order] == sorted(out.values())
+    upto = np.cumsum([len(t.encode()) + 16 for _, t in order])
+    ends = [int(upto[max(k for k, (i, _) in enumerate(order) if out[i] < s)]) for s in range(1, 10)]
+    largest = max(len(t.encode()) + 16 for _, t in docs)
+    assert all(abs(e - upto[-1] * s / 10) <= max(largest, sharding.TOLERANCE * upto[-1] / 10) for s, e in enumerate(ends, 1))
+
+
 def test_sharding_splits_a_huge_group(spark):
     rows = [(i, "same text") for i in range(3000)] + [(5000 + i, f"text {i}") for i in range(3000)]
     out = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 10).collect()
@@ -184,6 +217,19 @@ def test_classifier_held_out(spark):
 
 
 def test_ordinal_gradient():
+    """The gradient against central differences, and the fitted model against a plain gradient descent."""
+    rng = np.random.default_rng(1)
+    row, column, grades = np.repeat(np.arange(60), 4), rng.integers(0, 9, 240), rng.integers(0, 3, 60)
+    loss, x = quality.ordinal_loss(row, column, grades, 9), rng.normal(0, 0.5, 11)
+    numeric = np.array([(loss(x + h)[0] - loss(x - h)[0]) / 2e-6 for h in np.eye(11) * 1e-6])
+    assert np.allclose(loss(x)[1], numeric, atol=1e-7)
+    best, slow = quality.minimise(loss, np.zeros(11), 300), np.zeros(11)
+    for _ in range(20_000):
+        slow -= 0.3 * loss(slow)[1]
+    assert loss(best)[0] == pytest.approx(loss(slow)[0], abs=2e-6) and loss(best)[0] < loss(x)[0]
+
+
+def test_ordinal_grades():
     rng = np.random.default_rng(0)
     rows = [np.sort(rng.choice(20, 5, replace=False)) for _ in range(400)]
     grades = np.array([0 if 3 in r else 1 if 7 in r else 2 for r in rows])
