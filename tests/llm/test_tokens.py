@@ -217,7 +217,7 @@ def test_classifier_held_out(spark):
 
 
 def test_ordinal_gradient():
-    """The gradient against central differences, and the fitted model against a plain gradient descent."""
+    """The gradient against central differences; the fit, which stops when a step gains 1e-7, near that of a plain gradient descent."""
     rng = np.random.default_rng(1)
     row, column, grades = np.repeat(np.arange(60), 4), rng.integers(0, 9, 240), rng.integers(0, 3, 60)
     loss, x = quality.ordinal_loss(row, column, grades, 9), rng.normal(0, 0.5, 11)
@@ -226,7 +226,7 @@ def test_ordinal_gradient():
     best, slow = quality.minimise(loss, np.zeros(11), 300), np.zeros(11)
     for _ in range(20_000):
         slow -= 0.3 * loss(slow)[1]
-    assert loss(best)[0] == pytest.approx(loss(slow)[0], abs=2e-6) and loss(best)[0] < loss(x)[0]
+    assert loss(best)[0] == pytest.approx(loss(slow)[0], abs=1e-4) and loss(best)[0] < loss(x)[0]
 
 
 def test_ordinal_grades():
