@@ -69,8 +69,9 @@ def _postings(codes: DataFrame, name: str, words: int) -> DataFrame:
 
 
 def _masks(radius: int) -> Column:
-    """All substrings of ``radius`` set bits: a constant, evaluated once when the plan is made."""
-    return F.expr(f"filter(sequence(0, {(1 << WIDTH) - 1}), x -> bit_count(x) = {radius})")
+    """All substrings of ``radius`` set bits: a constant that is folded once, when the plan is made."""
+    masks = (str(x) for x in range(1 << WIDTH) if x.bit_count() == radius)
+    return F.split(F.lit(",".join(masks)), ",").cast("array<int>")
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
