@@ -127,17 +127,26 @@ def _normaliser(points: np.ndarray) -> np.ndarray:
     return np.array([[s, 0, -s * centre[0]], [0, s, -s * centre[1]], [0, 0, 1]])
 
 
+#: Matches whose rows of the design are held at once.
+DESIGN_ROWS = 1 << 14
+
+
 def fit_projective(source: np.ndarray, target: np.ndarray, least_separation: float = 1e-10) -> tuple[Projective, float]:
-    """Normalised direct linear transform; also the ratio of the last two but one singular values (rank evidence)."""
+    """Normalised direct linear transform; also the ratio of the last two but one singular values (rank evidence).
+
+    The design is reduced to its triangular factor, which has the same singular values and right vectors, part by part:
+    memory does not grow with the square of the matches.
+    """
     require(len(source) >= 4, "a homography needs four matches")
     a, b = _normaliser(source), _normaliser(target)
-    x, y = a[:2, :2] @ source.T + a[:2, 2:]
-    u, v = b[:2, :2] @ target.T + b[:2, 2:]
-    zero, one = np.zeros_like(x), np.ones_like(x)
-    design = np.concatenate(
-        [np.stack([-x, -y, -one, zero, zero, zero, u * x, u * y, u], axis=1), np.stack([zero, zero, zero, -x, -y, -one, v * x, v * y, v], axis=1)]
-    )
-    _, singular, basis = np.linalg.svd(design)
+    r = np.zeros((0, 9))
+    for k in range(0, len(source), DESIGN_ROWS):
+        x, y = a[:2, :2] @ source[k : k + DESIGN_ROWS].T + a[:2, 2:]
+        u, v = b[:2, :2] @ target[k : k + DESIGN_ROWS].T + b[:2, 2:]
+        zero, one = np.zeros_like(x), np.ones_like(x)
+        design = [np.stack([-x, -y, -one, zero, zero, zero, u * x, u * y, u], axis=1), np.stack([zero, zero, zero, -x, -y, -one, v * x, v * y, v], axis=1)]
+        r = np.linalg.qr(np.concatenate([r, *design]), mode="r")
+    _, singular, basis = np.linalg.svd(r)
     ratio = float(singular[7] / singular[0])
     require(ratio > least_separation, "the matches do not determine a homography")
     return Projective.of(np.linalg.inv(b) @ basis[8].reshape(3, 3) @ a), ratio

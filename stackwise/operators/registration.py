@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -357,15 +358,20 @@ def compare_models(source: np.ndarray, target: np.ndarray, width: int, height: i
 
 
 def model_evidence(matches: DataFrame, width: int, height: int, keys: list[str], folds: int = 5) -> DataFrame:
-    """Evidence for or against a homography for each group of matches; one frame pair is one group."""
-    kinds = ", ".join(f"{k} {matches.schema[k].dataType.simpleString()}" for k in keys)
+    """Evidence for or against a homography for each group of matches; one frame pair is one group.
+
+    A group's memory is proportional to its matches; ties of the folds' order go by the order of the input.
+    """
+    kinds = ", ".join(f"`{k}` {matches.schema[k].dataType.simpleString()}" for k in keys)
     names = [part.split()[0] for part in MODELS.split(", ")]
+    held = {n: {"long": pa.int64(), "double": pa.float64()}.get(kind, pa.list_(pa.float64())) for n, kind in (part.split() for part in MODELS.split(", "))}
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        row = compare_models(pdf[["sx", "sy"]].to_numpy(), pdf[["rx", "ry"]].to_numpy(), width, height, folds)
-        return pd.DataFrame([dict(zip(keys, key, strict=True)) | row])[[*keys, *names]]
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        points = [np.stack([rows[c].to_numpy().astype(np.float64) for c in pair], axis=1) for pair in (("sx", "sy"), ("rx", "ry"))]
+        row = compare_models(*points, width, height, folds)
+        return pa.table([pa.array([k.as_py()], k.type) for k in key] + [pa.array([row[n]], held[n]) for n in names], names=[*keys, *names])
 
-    return matches.groupBy(*keys).applyInPandas(run, f"{kinds}, {MODELS}")
+    return matches.select(*keys, "sx", "sy", "rx", "ry").groupBy(*keys).applyInArrow(run, f"{kinds}, {MODELS}")
 
 
 @dataclass(frozen=True)

@@ -138,6 +138,33 @@ def test_fits_recover_their_transform():
     assert registration.compare_models(p, q, 500, 500)["projective_better_folds"] == 5
 
 
+def test_homography_of_many_matches():
+    """In parts and in memory proportional to the matches: the left vectors of 40,000 would take 51 GB."""
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    p = rng.uniform(0, 500, (40_000, 2))
+    h = G.Projective.of(np.array([[1, 0.02, 3], [0.01, 1.02, -2], [1e-5, 2e-5, 1]]))
+    q = np.stack(h.apply(p[:, 0], p[:, 1]), axis=1) + rng.normal(0, 0.1, p.shape)
+    tracemalloc.start()
+    fit, _ = G.fit_projective(p, q)
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+    assert np.abs(fit.matrix - h.matrix).max() < 0.05
+    few, ratio = G.fit_projective(p[:4], q[:4])
+    assert G.residuals(few, p[:4], q[:4]).max() < 1e-6 and ratio > 1e-10
+
+
+def test_parts_of_a_design_make_one_fit(monkeypatch):
+    rng = np.random.default_rng(3)
+    p = rng.uniform(0, 500, (50, 2))
+    q = p * 1.01 + rng.normal(0, 0.2, p.shape)
+    whole, ratio = G.fit_projective(p, q)
+    monkeypatch.setattr(G, "DESIGN_ROWS", 7)
+    parts, other = G.fit_projective(p, q)
+    assert np.allclose(whole.matrix, parts.matrix, rtol=1e-9, atol=1e-9) and np.isclose(ratio, other)
+
+
 def test_stars_and_quality(spark):
     rng = np.random.default_rng(5)
     y, x = np.mgrid[0:64, 0:64]
