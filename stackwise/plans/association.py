@@ -17,6 +17,8 @@ from stackwise.schema import require
 HARD = ("camera", "width", "height", "x_binning", "y_binning")
 #: What every master must share with its target besides.
 FITTING = (*HARD, "gain", "offset")
+#: Tolerances of temperature from which bins are used.
+LEAST_BIN = 1e-6
 POLICIES = ("require_matched_dark", "require_bias", "prefer_matched_dark_then_bias")
 
 
@@ -74,11 +76,44 @@ def pedestal_candidates(flats: DataFrame, masters: DataFrame, p: Tolerances) ->
     return joined.withColumn("mismatches", mismatches(checks))
 
 
-def select_unique(compatible: DataFrame, target: str, candidate: str, scores: list[str]) -> DataFrame:
-    """``target, best, ties``: candidates with the least score; the match is unique iff ``ties`` is 1."""
-    order = W.partitionBy(target).orderBy(*scores)
+def select_unique(compatible: DataFrame, target: list[str], candidate: str, scores: list[str], copies: Column | None = None) -> DataFrame:
+    """``target, best, ties, scores``: candidates with the least score; the match is unique iff ``ties`` is 1.
+
+    ``copies`` says how many candidates a row stands for.
+    """
+    order = W.partitionBy(*target).orderBy(*scores)
     best = compatible.withColumn("_r", F.rank().over(order)).filter("_r = 1")
-    return best.groupBy(target).agg(F.min(candidate).alias("best"), F.count(F.lit(1)).alias("ties"))
+    return best.groupBy(*target).agg(F.min(candidate).alias("best"), F.sum(F.lit(1) if copies is None else copies).alias("ties"), *[F.first(s).alias(s) for s in scores])
+
+
+def nearest(targets: DataFrame, masters: DataFrame, exact: tuple[str, ...], same: tuple[str, ...], temperature: float, exposure: float | None = None) -> DataFrame:
+    """``group_id, best, ties``: for each target the masters with the same key that are nearest in exposure, if asked for, and then in temperature.
+
+    Groups with equal conditions are one row before anything is joined, so the work grows with the groups and with the
+    different conditions near to each other, not with the pairs of groups.  Temperatures meet by bins of twice the tolerance.
+    """
+    measured = F.col("sensor_temperature").isNotNull()
+    compared = [*exact, *same, *(["exposure"] if exposure is not None else [])]
+    own = [*compared, "measured", "degrees"]
+    t = targets.select("group_id", *compared, measured.alias("measured"), F.coalesce("sensor_temperature", "set_temperature").cast("double").alias("degrees"))
+    either = [F.struct(F.lit(k).alias("measured"), F.col(c).cast("double").alias("degrees")) for k, c in ((True, "sensor_temperature"), (False, "set_temperature"))]
+    m = masters.select("group_id", *compared, F.inline(F.array(*either))).filter("degrees IS NOT NULL")
+    stock = m.groupBy(*own).agg(F.min("group_id").alias("group_id"), F.count(F.lit(1)).alias("copies"))
+    # Equal temperatures are their own bin; a tolerance too fine for bins does without.
+    near = F.col("degrees") if temperature == 0 else F.rint(F.col("degrees") / (2 * temperature)) if temperature >= LEAST_BIN else F.lit(0.0)
+    beside = F.array_distinct(F.array(*[near + k for k in ((0,) if temperature == 0 else (-1, 0, 1))]))
+    kinds = t.select(*own).distinct().withColumn("bin", F.explode(beside))
+    good = candidates(kinds, stock.withColumn("bin", near), (*exact, "measured", "bin"), same)
+    good = good.withColumn("d_temperature", F.abs(F.col("t_degrees") - F.col("m_degrees"))).filter(F.col("d_temperature") <= temperature)
+    scores = ["d_temperature"]
+    if exposure is not None:
+        good = good.withColumn("d_exposure", F.abs(F.col("t_exposure") - F.col("m_exposure"))).filter(F.col("d_exposure") <= exposure)
+        scores = ["d_exposure", *scores]
+    found = select_unique(good, [f"t_{c}" for c in own], "m_group_id", scores, F.col("m_copies"))
+    on = F.lit(True)
+    for c in own:
+        on = on & F.col(c).eqNullSafe(F.col(f"t_{c}"))
+    return select_unique(t.join(found, on), ["group_id"], "best", scores, F.col("ties")).drop(*scores)
 
 
 def associate_pedestals(flats: DataFrame, masters: DataFrame, parameters: Tolerances | None = None) -> DataFrame:
@@ -87,11 +122,8 @@ def associate_pedestals(flats: DataFrame, masters: DataFrame, parameters: Tolera
     An ambiguous dark does not fall back to a bias.
     """
     p = parameters or Tolerances()
-    good = candidates(flats, masters, FITTING, ("bayer",))
-    good = good.withColumns({"d_exposure": F.abs(F.col("t_exposure") - F.col("m_exposure")), "d_temperature": temperature_delta("t", "m")})
-    good = good.filter(F.col("d_temperature") <= p.temperature)
-    dark = select_unique(good.filter("m_frame_type = 'DARK'").filter(F.col("d_exposure") <= p.exposure), "t_group_id", "m_group_id", ["d_exposure", "d_temperature"]).select(F.col("t_group_id").alias("g1"), F.col("best").alias("dark"), F.col("ties").alias("darks"))
-    bias = select_unique(good.filter("m_frame_type = 'BIAS'"), "t_group_id", "m_group_id", ["d_temperature"]).select(F.col("t_group_id").alias("g2"), F.col("best").alias("bias"), F.col("ties").alias("biases"))
+    dark = nearest(flats, masters.filter("frame_type = 'DARK'"), FITTING, ("bayer",), p.temperature, p.exposure).toDF("g1", "dark", "darks")
+    bias = nearest(flats, masters.filter("frame_type = 'BIAS'"), FITTING, ("bayer",), p.temperature).toDF("g2", "bias", "biases")
     joined = flats.select(F.col("group_id").alias("flat_id")).join(dark, F.col("flat_id") == F.col("g1"), "left").join(bias, F.col("flat_id") == F.col("g2"), "left")
     from_dark = F.when(F.col("darks") == 1, "matched_dark").when(F.col("darks") > 1, "ambiguous_dark")
     from_bias = F.when(F.col("biases") == 1, "bias").when(F.col("biases") > 1, "ambiguous_bias")

@@ -8,7 +8,7 @@ from test_images import frame
 from stackwise.functions import geometry as G
 from stackwise.operators import defects, drizzle, localnorm, preview, resample
 from stackwise.operators.integrate import GeneralizedEsd, integrate_clipped
-from stackwise.plans import pipelines
+from stackwise.plans import association, pipelines
 from stackwise.schema import ParameterError
 from stackwise.streaming import running
 
@@ -96,3 +96,67 @@ def test_drizzle_names_a_frame_without_transform(spark):
     samples = frame(spark, [[1.0]], 5)
     with pytest.raises(Exception, match="no transform for frame 5"):
         drizzle.scatter(samples, {4: G.Affine().homography()}, drizzle.Drizzle(1.0, 0.5, 2, 2)).collect()
+
+
+def _groups(spark, n, kinds):
+    """Many groups with few conditions: temperatures are measured or set, and some are missing."""
+    rows = [
+        (f"g{k}", kinds[k % len(kinds)], "cam", 100, 80, 1, 1, [1.0, 2.0, None][k % 3], [None, -10.0, -9.5, -8.7, 0.0][k % 5], [-10.0, -9.0, None][k % 7 % 3], 20.0, 10.0, None if k % 2 else "RGGB", "L" if k % 11 else None)
+        for k in range(n)
+    ]
+    return spark.createDataFrame(rows, "group_id string, frame_type string, camera string, width int, height int, x_binning int, y_binning int, exposure double, sensor_temperature double, set_temperature double, gain double, offset double, bayer string, filter string")
+
+
+def _by_hand(targets, masters, fits, scores):
+    """The best and the number of ties for each target, from all pairs."""
+    out = {}
+    for t in targets:
+        kind = "set_temperature" if t["sensor_temperature"] is None else "sensor_temperature"
+        found = []
+        for m in masters:
+            dt = None if t[kind] is None or m[kind] is None else abs(t[kind] - m[kind])
+            de = None if t["exposure"] is None or m["exposure"] is None else abs(t["exposure"] - m["exposure"])
+            if t["bayer"] == m["bayer"] and fits(t, m, de, dt):
+                found.append((scores(de, dt), m["group_id"]))
+        least = min(found, default=(None,))[0]
+        same = [g for s, g in found if s == least]
+        out[t["group_id"]] = (min(same, default=None), len(same))
+    return out
+
+
+@pytest.mark.parametrize("tolerance", [0.0, 1e-9, 0.5, 1.0])
+def test_pedestals_against_all_pairs(spark, tolerance):
+    g = _groups(spark, 90, ("FLAT", "DARK", "BIAS", "FLAT", "FLAT"))
+    flats, darks, biases = (g.filter(f"frame_type = '{k}'") for k in ("FLAT", "DARK", "BIAS"))
+    near = lambda t, m, de, dt: dt is not None and dt <= tolerance
+    dark = _by_hand(flats.collect(), darks.collect(), lambda t, m, de, dt: near(t, m, de, dt) and de is not None and de <= 1.0, lambda de, dt: (de, dt))
+    bias = _by_hand(flats.collect(), biases.collect(), near, lambda de, dt: dt)
+    for r in association.associate_pedestals(flats, darks.unionByName(biases), association.Tolerances(1.0, tolerance)).collect():
+        (d, nd), (b, nb) = dark[r["flat_id"]], bias[r["flat_id"]]
+        want = ("matched_dark", d) if nd == 1 else ("ambiguous_dark", None) if nd else ("bias", b) if nb == 1 else ("ambiguous_bias", None) if nb else ("none", None)
+        assert (r["status"], r["master_id"]) == want
+
+
+def _rows_of_joins(df):
+    """The most rows that a join of the plan that ran has put out."""
+    df.collect()
+    plan, most = [df._jdf.queryExecution().executedPlan()], 0
+    while plan:
+        node = plan.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            plan.append(node.executedPlan())
+        elif "QueryStage" in name:
+            plan.append(node.plan())
+        if "Join" in name and node.metrics().contains("numOutputRows"):
+            most = max(most, node.metrics().apply("numOutputRows").value())
+        children = node.children()
+        plan += [children.apply(k) for k in range(children.size())]
+    return most
+
+
+def test_pedestals_join_conditions_not_pairs(spark):
+    """600 flats and 400 masters of a few conditions: pairs would be tens of thousands."""
+    g = _groups(spark, 1000, ("FLAT", "DARK", "BIAS", "FLAT", "FLAT"))
+    out = association.associate_pedestals(g.filter("frame_type = 'FLAT'"), g.filter("frame_type <> 'FLAT'"), association.Tolerances(1.0, 1.0))
+    assert 0 < _rows_of_joins(out) <= 600
