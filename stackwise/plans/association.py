@@ -1,7 +1,8 @@
 """Association of calibration masters: exact keys and tolerances, unique best match, ambiguity instead of guesses.
 
 Candidates meet on exact equi-keys (camera, size, binning), never as a product; tolerances are conditions on top.  A tie
-of the best score is ambiguous and stays so.
+of the best score is ambiguous and stays so.  Associations join conditions, each with the number of its masters;
+``pedestal_candidates`` and ``light_candidates`` list every pair, which is what they are asked for.
 """
 
 from __future__ import annotations
@@ -145,11 +146,11 @@ def light_candidates(lights: DataFrame, masters: DataFrame, p: Tolerances) -> Da
 def associate_lights(lights: DataFrame, masters: DataFrame, parameters: Tolerances | None = None) -> DataFrame:
     """``light_id, dark_status, dark_id, flat_status, flat_id``: the nearest dark if unique, the flat if there is one."""
     p = parameters or Tolerances()
-    darks = candidates(lights, masters.filter("frame_type = 'DARK'"), (*FITTING, "exposure"), ("bayer",))
-    darks = darks.withColumn("d_temperature", temperature_delta("t", "m")).filter(F.col("d_temperature") <= p.temperature)
-    flats = candidates(lights, masters.filter("frame_type = 'FLAT'"), FITTING, ("bayer", "filter"))
-    dark = select_unique(darks, "t_group_id", "m_group_id", ["d_temperature"]).select(F.col("t_group_id").alias("g1"), F.col("best").alias("dark"), F.col("ties").alias("darks"))
-    flat = flats.groupBy(F.col("t_group_id").alias("g2")).agg(F.min("m_group_id").alias("flat"), F.count(F.lit(1)).alias("flats"))
+    dark = nearest(lights, masters.filter("frame_type = 'DARK'"), (*FITTING, "exposure"), ("bayer",), p.temperature).toDF("g1", "dark", "darks")
+    key = [*FITTING, "bayer", "filter"]
+    stock = masters.filter("frame_type = 'FLAT'").groupBy(*key).agg(F.min("group_id").alias("group_id"), F.count(F.lit(1)).alias("copies"))
+    flats = candidates(lights.select("group_id", *key), stock, FITTING, ("bayer", "filter"))
+    flat = flats.groupBy(F.col("t_group_id").alias("g2")).agg(F.min("m_group_id").alias("flat"), F.sum("m_copies").alias("flats"))
     joined = lights.select(F.col("group_id").alias("light_id")).join(dark, F.col("light_id") == F.col("g1"), "left").join(flat, F.col("light_id") == F.col("g2"), "left")
     status = lambda n: F.when(F.col(n).isNull(), "none").when(F.col(n) == 1, "matched").otherwise("ambiguous")
     return joined.select(

@@ -160,3 +160,20 @@ def test_pedestals_join_conditions_not_pairs(spark):
     g = _groups(spark, 1000, ("FLAT", "DARK", "BIAS", "FLAT", "FLAT"))
     out = association.associate_pedestals(g.filter("frame_type = 'FLAT'"), g.filter("frame_type <> 'FLAT'"), association.Tolerances(1.0, 1.0))
     assert 0 < _rows_of_joins(out) <= 600
+
+
+@pytest.mark.parametrize("tolerance", [0.0, 0.5])
+def test_lights_against_all_pairs(spark, tolerance):
+    g = _groups(spark, 90, ("LIGHT", "DARK", "FLAT", "LIGHT", "LIGHT"))
+    lights, darks, flats = (g.filter(f"frame_type = '{k}'") for k in ("LIGHT", "DARK", "FLAT"))
+    dark = _by_hand(lights.collect(), darks.collect(), lambda t, m, de, dt: de == 0 and dt is not None and dt <= tolerance, lambda de, dt: dt)
+    flat = _by_hand(lights.collect(), flats.collect(), lambda t, m, de, dt: t["filter"] == m["filter"], lambda de, dt: 0)
+    for r in association.associate_lights(lights, darks.unionByName(flats), association.Tolerances(0.0, tolerance)).collect():
+        for kind, (best, n) in (("dark", dark[r["light_id"]]), ("flat", flat[r["light_id"]])):
+            assert (r[f"{kind}_status"], r[f"{kind}_id"]) == (("none", None) if n == 0 else ("matched", best) if n == 1 else ("ambiguous", None))
+
+
+def test_lights_join_conditions_not_pairs(spark):
+    g = _groups(spark, 1000, ("LIGHT", "DARK", "FLAT", "LIGHT", "LIGHT"))
+    out = association.associate_lights(g.filter("frame_type = 'LIGHT'"), g.filter("frame_type <> 'LIGHT'"), association.Tolerances(0.0, 1.0))
+    assert 0 < _rows_of_joins(out) <= 600
