@@ -33,34 +33,6 @@ def neumaier_sum(values: Column) -> Column:
     return F.aggregate(values, start, step, lambda acc: acc["s"] + acc["c"])
 
 
-def largest_magnitude(values: Column) -> Column:
-    return F.array_max(F.transform(values, F.abs))
-
-
-def strict_mean(values: Column) -> Column:
-    """Mean that neither overflows nor loses small terms: scaled, compensated, kept within the extremes."""
-    scale, n = largest_magnitude(values), F.size(values)
-    total = neumaier_sum(F.transform(values, lambda v: v / scale / n))
-    kept = F.least(F.greatest(total, F.array_min(values) / scale), F.array_max(values) / scale)
-    return F.when(n == 0, F.lit(float("nan"))).when(scale == 0, _zero()).otherwise(canonical_zero(kept * scale))
-
-
-def population_statistics(values: Column) -> Column:
-    """``struct(scale, mean, sigma)`` of an array; mean and sigma are in units of the scale."""
-    scale, n = largest_magnitude(values), F.size(values)
-
-    def rest(unit: Column) -> Column:
-        mean = neumaier_sum(F.transform(unit, lambda v: v / n))
-        return F.struct(
-            mean.alias("mean"),
-            F.sqrt(F.greatest(neumaier_sum(F.transform(unit, lambda v: (v - mean) * (v - mean) / n)), _zero())).alias("sigma"),
-        )
-
-    found = rest(F.transform(values, lambda v: v / scale))
-    none = F.struct(F.lit(1.0).alias("scale"), _zero().alias("mean"), _zero().alias("sigma"))
-    return F.when(scale == 0, none).otherwise(F.struct(scale.alias("scale"), found["mean"].alias("mean"), found["sigma"].alias("sigma")))
-
-
 def midpoint(low: Column, high: Column) -> Column:
     """Mean of two numbers without overflow."""
     return F.when((low < 0) == (high < 0), low + (high - low) * 0.5).otherwise(low * 0.5 + high * 0.5)

@@ -15,7 +15,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stackwise.functions.numerics import strict_mean
 from stackwise.schema import PIXEL, count_of, eligible, masked, non_finite, or_flags, require, unsupported_flags
 
 from . import kernels
@@ -109,27 +108,48 @@ def _finish(gathered: DataFrame, keys: tuple[str, ...], n: Column, value: Column
     )
 
 
-def _estimated(gathered: DataFrame, keys: tuple[str, ...], estimate: Callable[..., tuple], fields: tuple[str, ...] = ("value",)) -> DataFrame:
-    """Positions with the result of ``estimate(matrix of each field, counts)``: values and the numbers rejected low and high.
+#: Cells of a matrix of positions and samples.
+MOST_CELLS = 1 << 22
+
+
+def _sent(gathered: DataFrame, kept: list[str], estimate: Callable[..., tuple], fields: tuple[str, ...]) -> DataFrame:
+    """The columns ``kept`` of positions with ``_n, _value, _low, _high``, which ``estimate`` makes of blocks of them.
 
     Only the named fields of the samples leave the JVM, and one number for each position comes back.
     """
-    evidence = ["masked", "non_finite", "seen_flags"]
-    sent = gathered.select(*keys, *evidence, *[F.col(f"samples.{f}").alias(f"_{f}") for f in fields])
+    sent = gathered.select(*kept, *[F.col(f"samples.{f}").alias(f"_{f}") for f in fields])
     added = ["_n", "_value", "_low", "_high"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held = [batch.column(f"_{f}") for f in fields]
-            offsets = held[0].offsets.to_numpy()
-            n = np.diff(offsets)
-            value, low, high = estimate(*[kernels.padded(x.values.to_numpy(zero_copy_only=False), offsets)[0] for x in held], n)
-            columns = [*(batch.column(c) for c in (*keys, *evidence)), pa.array(n.astype(np.int32)), pa.array(value)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))], [*keys, *evidence, *added])
+        for whole in batches:
+            for batch in blocks(whole, whole.column(f"_{fields[0]}").offsets.to_numpy()):
+                held = [batch.column(f"_{f}") for f in fields]
+                offsets = [x.offsets.to_numpy() for x in held]
+                n = np.diff(offsets[0])
+                value, low, high = estimate(*[kernels.padded(x.values.to_numpy(zero_copy_only=False), o)[0] for x, o in zip(held, offsets, strict=True)], n)
+                columns = [*(batch.column(c) for c in kept), pa.array(n.astype(np.int32)), pa.array(value)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))], [*kept, *added])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sent.schema if f.name in kept)
+    return sent.mapInArrow(run, schema + ", _n int, _value double, _low int, _high int")
+
+
+def blocks(batch: pa.RecordBatch, offsets: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose padded matrix has at most ``MOST_CELLS`` cells, or one row."""
+    n, at = np.diff(offsets), 0
+    if not len(n):
+        yield batch
+    while at < len(n):
+        cells = np.maximum.accumulate(n[at:]) * np.arange(1, len(n) - at + 1)
+        rows = max(1, int(np.searchsorted(cells, MOST_CELLS, side="right")))
+        yield batch.slice(at, rows)
+        at += rows
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sent.schema if f.name in (*keys, *evidence))
-    out = sent.mapInArrow(run, schema + ", _n int, _value double, _low int, _high int")
-    return _finish(out, keys, *[F.col(c) for c in added])
+
+def _estimated(gathered: DataFrame, keys: tuple[str, ...], estimate: Callable[..., tuple], fields: tuple[str, ...] = ("value",)) -> DataFrame:
+    """Positions with the result of ``estimate(matrix of each field, counts)``: values and the numbers rejected low and high."""
+    out = _sent(gathered, [*keys, "masked", "non_finite", "seen_flags"], estimate, fields)
+    return _finish(out, keys, *[F.col(c) for c in ("_n", "_value", "_low", "_high")])
 
 
 def integrate_mean(samples: DataFrame, keys: tuple[str, ...] = PIXEL) -> DataFrame:
@@ -188,16 +208,17 @@ def classify(samples: DataFrame, clip: SigmaClip | GeneralizedEsd, keys: tuple[s
     names = gathered.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("samples")
-            offsets = lists.offsets.to_numpy()
-            values = lists.values.field("value").to_numpy(zero_copy_only=False)
-            matrix, n = kernels.padded(values, offsets)
-            side = sides(matrix, n, clip) if matrix.size else np.zeros(matrix.shape, np.int8)
-            real = np.arange(matrix.shape[1])[None, :] < n[:, None]
-            mean = kernels.strict_means(matrix, real & (side == 0))
-            flat = pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), pa.array(side[real].astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, flat, pa.array(mean)], [*names, "side", "mean"])
+        for whole in batches:
+            for batch in blocks(whole, whole.column("samples").offsets.to_numpy()):
+                lists = batch.column("samples")
+                offsets = lists.offsets.to_numpy()
+                values = lists.values.field("value").to_numpy(zero_copy_only=False)
+                matrix, n = kernels.padded(values, offsets)
+                side = sides(matrix, n, clip) if matrix.size else np.zeros(matrix.shape, np.int8)
+                real = np.arange(matrix.shape[1])[None, :] < n[:, None]
+                mean = kernels.strict_means(matrix, real & (side == 0))
+                flat = pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), pa.array(side[real].astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*batch.columns, flat, pa.array(mean)], [*names, "side", "mean"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in gathered.schema)
     return gathered.mapInArrow(run, schema + ", side array<int>, mean double")
@@ -245,14 +266,15 @@ def rebuild(found: DataFrame, keys: tuple[str, ...] = PIXEL) -> DataFrame:
     """Value and support from dispositions: the strict mean of the accepted samples."""
     d = F.col("disposition")
     gathered = found.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.when(d == "accepted", F.col("value")))).alias("values"),
+        F.sort_array(F.collect_list(F.when(d == "accepted", F.struct("value")))).alias("samples"),
         *[count_of(d == name).alias(name) for name in DISPOSITIONS],
         or_flags().alias("seen_flags"),
     )
+    out = _sent(gathered, [*keys, *DISPOSITIONS, "seen_flags"], kernels.mean, ("value",))
     none = F.col("accepted") == 0
-    return gathered.select(
+    return out.select(
         *keys,
-        F.when(none, F.lit(NAN)).otherwise(strict_mean(F.col("values"))).alias("value"),
+        F.when(none, F.lit(NAN)).otherwise(F.col("_value")).alias("value"),
         F.when(none, unsupported_flags(F.col("seen_flags"), F.col("non_finite") > 0)).otherwise(F.lit(0).cast("short")).alias("flags"),
         "accepted", "masked", "non_finite",
         F.col("rejected_low").alias("low_rejected"), F.col("rejected_high").alias("high_rejected"),

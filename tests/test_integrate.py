@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stackwise.functions.student import esd_critical_value, quantile_from_tail
 from stackwise.operators import integrate as I
@@ -118,3 +119,31 @@ def test_empty(spark):
     empty = spark.createDataFrame([], SAMPLES)
     for name in ("strict_mean", "sigma_clip", "generalized_esd", "linear_fit_clip"):
         assert I.integrate(empty, name).count() == 0
+
+
+def test_rebuild_of_a_deep_position(spark):
+    """60,000 samples at one position: the scale was sought again for each sample, over a minute in all."""
+    import time
+
+    n = F.col("id")
+    samples = spark.range(60_000).select(F.lit(0).alias("stack_id"), n.alias("frame_id"), F.lit(0).alias("plane"), F.lit(0).alias("y"), F.lit(0).alias("x"),
+                                         ((n * 7919) % 60_013 + 0.5).alias("value"), F.when(n % 10 == 0, 1).otherwise(0).cast("short").alias("flags"))
+    k = F.col("frame_id")
+    found = samples.withColumn("disposition", F.when(k % 10 == 0, "masked").when(k % 10 == 1, "rejected_low").otherwise("accepted"))
+    began = time.time()
+    got = I.rebuild(found).collect()[0]
+    assert time.time() - began < 25
+    assert (got["accepted"], got["masked"], got["low_rejected"], got["high_rejected"], got["non_finite"]) == (48_000, 6_000, 6_000, 0, 0)
+    assert got["value"] == I.integrate_mean(samples.filter("frame_id % 10 > 1")).collect()[0]["value"]
+
+
+def test_blocks_of_positions_hold_all_rows(monkeypatch):
+    import pyarrow as pa
+
+    lists = [[1.0] * n for n in (3, 0, 2, 9, 1, 1, 0)]
+    batch = pa.record_batch([pa.array(range(7)), pa.array(lists, pa.list_(pa.float64()))], ["k", "v"])
+    monkeypatch.setattr(I, "MOST_CELLS", 8)
+    parts = list(I.blocks(batch, batch.column("v").offsets.to_numpy()))
+    assert [p.column("k").to_pylist() for p in parts] == [[0, 1], [2], [3], [4, 5, 6]]
+    assert [r for p in parts for r in p.column("v").to_pylist()] == lists
+    assert len(list(I.blocks(batch.slice(0, 0), np.zeros(1, np.int32)))) == 1
