@@ -7,10 +7,13 @@ says the same as a join: each output position knows the up to 36 source taps tha
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stackwise.functions.geometry import Affine, Projective
@@ -216,8 +219,6 @@ def largest_rectangle(footprint: DataFrame) -> tuple[int, int, int, int] | None:
 
     Rows are reduced to their runs of common positions before anything reaches the driver, a few numbers per row.
     """
-    from pyspark.sql import Window as W
-
     ok = footprint.filter("common").withColumn("g", F.col("x") - F.row_number().over(W.partitionBy("y").orderBy("x")))
     runs = ok.groupBy("y", "g").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).select("y", "x0", "x1").toPandas()
     if not len(runs):
@@ -256,14 +257,14 @@ def sampled_channel(pattern: str, y: Column, x: Column) -> Column:
     return F.element_at(F.array(*[F.lit(c) for c in PATTERNS[pattern]]), phase + 1)
 
 
-def kernel_table(spark: SparkSession, pattern: str) -> DataFrame:
-    """(phase, channel, dx, dy, weight): at most 4 x 3 x 11 rows."""
-    rows = []
+def kernel_taps(pattern: str) -> dict[tuple[int, int], list[tuple[int, int, float]]]:
+    """``(dx, dy, weight)`` of the up to 11 taps of each phase and channel."""
+    out = {}
     for phase, sampled in enumerate(PATTERNS[pattern]):
         beside = PATTERNS[pattern][phase ^ 1]  # the colour next to this position in its row
         for channel in range(3):
             if channel == sampled:
-                rows.append((phase, channel, 0, 0, 1.0))
+                out[phase, channel] = [(0, 0, 1.0)]
                 continue
             if channel == 1:
                 kernel, turned = GREEN_AT_COLOUR, False
@@ -271,33 +272,90 @@ def kernel_table(spark: SparkSession, pattern: str) -> DataFrame:
                 kernel, turned = COLOUR_IN_ROW, beside != channel
             else:
                 kernel, turned = OPPOSITE_COLOUR, False
-            rows += [(phase, channel, *((dy, dx) if turned else (dx, dy)), n / kernel[0]) for (dx, dy), n in kernel[1].items()]
-    return spark.createDataFrame(rows, "phase int, channel int, dx int, dy int, weight double")
+            out[phase, channel] = [(*((dy, dx) if turned else (dx, dy)), n / kernel[0]) for (dx, dy), n in kernel[1].items()]
+    return out
 
 
-def reflect(c: Column, length: Column) -> Column:
+def reflect(c: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Whole-sample symmetric reflection into 0..length-1."""
-    return F.when(length == 1, F.lit(0)).otherwise((length - 1) - F.abs(F.pmod(c, 2 * (length - 1)) - (length - 1)))
+    last = length - 1
+    return np.where(last == 0, 0, last - np.abs(np.mod(c, 2 * np.maximum(last, 1)) - last))
+
+
+#: Positions along a side of a tile, and how far the taps reach.
+TILE, REACH = 16, 2
+TILED = ("stack_id", "frame_id", "ty", "tx")
+
+
+def _mosaic_tiles(columns: list[np.ndarray], taps: dict[tuple[int, int], list[tuple[int, int, float]]]) -> pa.RecordBatch:
+    """The three planes of whole tiles whose rows are adjacent, many tiles at a time."""
+    stack, frame, ty, tx, y, x, value, flags, h, w = columns
+    if (y < 0).any() or (x < 0).any():
+        raise ValueError("positions must not be negative")
+    wide = TILE + 2 * REACH
+    tile = np.cumsum(np.concatenate([[0], _changes(columns[:4])]))
+    place = lambda row, column, at: ((tile[at] * wide) + row - ty[at] * TILE + REACH) * wide + column - tx[at] * TILE + REACH
+    cell, cells = place(y, x, slice(None)), (int(tile[-1]) + 1) * wide * wide
+    nan = (flags == 0) & ~np.isfinite(value)
+    wrong = (flags != 0) | nan
+    there = np.bincount(cell, minlength=cells)
+    total = np.bincount(cell, np.where(wrong, 0.0, value), minlength=cells)
+    bad = (np.bincount(cell, wrong, minlength=cells) > 0) | (there == 0)
+    lost = np.bincount(cell, nan, minlength=cells) > 0
+    seen = np.zeros(cells, np.int64)
+    np.bitwise_or.at(seen, cell, flags.astype(np.int64))
+    own = np.flatnonzero((y // TILE == ty) & (x // TILE == tx))
+    own = own[np.unique(cell[own], return_index=True)[1]]
+    phase, parts = (y[own] & 1) * 2 + (x[own] & 1), []
+    for (k, channel), kernel in taps.items():
+        at = own[phase == k]
+        top, void, met, none = np.zeros(len(at)), np.zeros(len(at), bool), np.zeros(len(at), np.int64), np.zeros(len(at), bool)
+        for dx, dy, weight in kernel:
+            c = place(reflect(y[at] + dy, h[at]), reflect(x[at] + dx, w[at]), at)
+            top += weight * total[c]
+            void |= bad[c]
+            met |= seen[c]
+            none |= lost[c]
+        # a position that is there twice counts twice, as each of its taps does
+        top = np.where(void, np.nan, top * there[cell[at]])
+        parts.append((stack[at], frame[at], np.full(len(at), channel, np.int32), y[at], x[at], top, np.where(void, met | MISSING | np.where(none, INVALID, 0), 0).astype(np.int16)))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names=[*IMAGE, "y", "x", "value", "flags"])
+
+
+def _changes(keys: list[np.ndarray]) -> np.ndarray:
+    """Where a row differs from the one before it."""
+    out = np.zeros(max(len(keys[0]) - 1, 0), bool)
+    for k in keys:
+        out |= k[1:] != k[:-1]
+    return out
 
 
 def demosaic(samples: DataFrame, pattern: str) -> DataFrame:
-    """Three planes from one mosaic plane: a broadcast kernel table, an equi-join on taps and one aggregation.
+    """Three planes from one mosaic plane: one shuffle by frames, then an Arrow kernel over tiles with the taps around them.
 
-    One bad tap voids the sample: NaN, all flags seen, and MISSING.
+    One bad tap voids the sample: NaN, all flags seen, and MISSING.  Memory is that of a batch, whatever the size of a frame.
     """
-    spark = samples.sparkSession
-    keys = ["stack_id", "frame_id"]
-    size = samples.groupBy(*keys).agg((F.max("y") + 1).alias("_h"), (F.max("x") + 1).alias("_w"))
-    phase = (F.col("y").bitwiseAND(F.lit(1)) * 2 + F.col("x").bitwiseAND(F.lit(1))).cast("int")
-    table = F.broadcast(kernel_table(spark, pattern))
-    want = samples.select(*keys, "y", "x", phase.alias("phase")).join(size, keys).join(table, "phase")
-    want = want.select(*keys, "channel", "y", "x", "weight", reflect(F.col("y") + F.col("dy"), F.col("_h")).cast("int").alias("ty"), reflect(F.col("x") + F.col("dx"), F.col("_w")).cast("int").alias("tx"))
-    side = samples.select(*keys, F.col("y").alias("ty"), F.col("x").alias("tx"), "value", F.coalesce("flags", F.lit(0)).cast("int").alias("flags"))
-    bad = ~(clear(F.col("flags")) & finite(F.col("value")))
-    met = want.join(side, [*keys, "ty", "tx"], "left").groupBy(*keys, "channel", "y", "x").agg(
-        F.sum(F.col("weight") * F.when(~bad, F.col("value"))).alias("v"), count_of(F.coalesce(bad, F.lit(True))).alias("bad"), or_flags().alias("seen"),
-        count_of(clear(F.col("flags")) & ~finite(F.col("value"))).alias("nan"),
-    )
-    good = F.col("bad") == 0
-    flags = F.col("seen").bitwiseOR(F.lit(MISSING)).bitwiseOR(F.when(F.col("nan") > 0, INVALID).otherwise(0))
-    return met.select(*keys, F.col("channel").alias("plane"), "y", "x", F.when(good, F.col("v")).otherwise(float("nan")).alias("value"), F.when(good, 0).otherwise(flags).cast("short").alias("flags"))
+    require(pattern in PATTERNS, "pattern must be RGGB, BGGR, GRBG or GBRG")
+    keys, whole = ["stack_id", "frame_id"], W.partitionBy("stack_id", "frame_id")
+    side = samples.filter("stack_id IS NOT NULL AND frame_id IS NOT NULL").select(*keys, "y", "x", "value", F.coalesce("flags", F.lit(0)).cast("int").alias("flags")).repartition(*keys)
+    side = side.withColumns({"h": F.max("y").over(whole) + 1, "w": F.max("x").over(whole) + 1})
+    for c, size, tile in (("y", "h", "ty"), ("x", "w", "tx")):
+        first, last = F.greatest(F.col(c) - REACH, F.lit(0)), F.least(F.col(c) + REACH, F.col(size) - 1)
+        side = side.withColumn(tile, F.explode(F.sequence(*[F.floor(k / TILE).cast("int") for k in (first, F.greatest(first, last))])))
+    sent = side.select(*TILED, "y", "x", "value", "flags", "h", "w").sortWithinPartitions(*TILED)
+    taps = kernel_taps(pattern)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            own = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            held = [np.concatenate(c) for c in zip(held, own, strict=True)] if held else own
+            ends = np.flatnonzero(_changes(held[:4])) + 1
+            if len(ends):
+                yield _mosaic_tiles([c[: ends[-1]] for c in held], taps)
+                held = [c[ends[-1] :].copy() for c in held]
+        if held and len(held[0]):
+            yield _mosaic_tiles(held, taps)
+
+    kinds = {c: samples.schema[c].dataType.simpleString() for c in (*keys, "y", "x")}
+    return sent.mapInArrow(run, f"stack_id {kinds['stack_id']}, frame_id {kinds['frame_id']}, plane int, y {kinds['y']}, x {kinds['x']}, value double, flags smallint")

@@ -225,6 +225,57 @@ def test_footprint_rectangle(spark):
     assert resample.largest_rectangle(found) == (1, 2, 15, 11)
 
 
+def _mosaic_by_hand(cells, h, w, pattern):
+    """Three planes of each position that is there, tap by tap; ``cells``: {(y, x): [(value, flags), ...]}."""
+    taps, out = resample.kernel_taps(pattern), {}
+    turn = lambda c, n: 0 if n == 1 else (n - 1) - abs(c % (2 * (n - 1)) - (n - 1))
+    for (y, x), copies in cells.items():
+        for channel in range(3):
+            top, bad, seen, lost = 0.0, False, 0, False
+            for dx, dy, weight in taps[(y & 1) * 2 + (x & 1), channel]:
+                met = cells.get((turn(y + dy, h), turn(x + dx, w)), [])
+                bad |= not met
+                for value, flags in met:
+                    nan = flags == 0 and not np.isfinite(value)
+                    bad, seen, lost = bad or flags != 0 or nan, seen | flags, lost or nan
+                    top += weight * value
+            out[channel, y, x] = (None, seen | 1 | (32 if lost else 0)) if bad else (round(top * len(copies), 9), 0)
+    return out
+
+
+@pytest.mark.parametrize(("h", "w"), [(37, 35), (1, 1), (1, 18), (2, 17), (16, 16)])
+def test_demosaic_over_tiles(spark, h, w):
+    """Edges of tiles and frames, gaps, repeated positions, flags and values that aren't finite; two frames at once."""
+    rng = np.random.default_rng(h * 100 + w)
+    frames, sent = {}, []
+    for f in (3, 1 << 40):
+        cells = {}
+        for y in range(h):
+            for x in range(w):
+                kind = rng.integers(0, 300) if h * w > 300 else 99
+                if kind == 0 and (y, x) != (h - 1, w - 1):
+                    continue
+                value = float(rng.integers(-500, 500))
+                cells[y, x] = [(float("nan") if kind == 1 else value, 2 if kind == 2 else 12 if kind == 3 else 0)] * (2 if kind == 4 else 1)
+        frames[f] = _mosaic_by_hand(cells, h, w, "GRBG")
+        sent += [(7, f, 0, y, x, v, g) for (y, x), copies in cells.items() for v, g in copies]
+    rng.shuffle(sent)
+    samples = spark.createDataFrame([(int(a), int(b), int(c), int(d), int(e), float(v), int(g)) for a, b, c, d, e, v, g in sent], SAMPLES)
+    got = {}
+    for r in resample.demosaic(samples, "GRBG").collect():
+        assert (r["frame_id"], r["plane"], r["y"], r["x"]) not in got and r["stack_id"] == 7
+        got[r["frame_id"], r["plane"], r["y"], r["x"]] = (None if np.isnan(r["value"]) else round(r["value"], 9), r["flags"])
+    assert got == {(f, *k): v for f, cells in frames.items() for k, v in cells.items()}
+
+
+def test_demosaic_shuffles_samples_once(spark):
+    """No exchange but the one of the samples: each sample had gone out once for every tap that reads it."""
+    out = resample.demosaic(frame(spark, np.full((6, 4), 42.5)), "RGGB")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    assert resample.demosaic(frame(spark, np.full((6, 4), 42.5)).filter("y < 0"), "RGGB").count() == 0
+
+
 def test_drizzle_conserves_flux(spark):
     src = np.random.default_rng(2).uniform(1, 9, (6, 6))
     p = drizzle.Drizzle(2.0, 0.7, 30, 30)
