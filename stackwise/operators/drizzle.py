@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stackwise.functions.geometry import Projective
@@ -29,12 +29,12 @@ class Drizzle:
         require(self.width > 0 and self.height > 0, "the output needs a positive size")
 
 
-def corners(x: np.ndarray, y: np.ndarray, transform: Projective, p: Drizzle) -> np.ndarray:
-    """Corners ``(n, 4, 2)`` of the footprints in output coordinates."""
+def corners(x: np.ndarray, y: np.ndarray, matrix: np.ndarray, p: Drizzle) -> np.ndarray:
+    """Corners ``(n, 4, 2)`` of the footprints in output coordinates; ``matrix``: the nine entries of each sample's transform."""
     h = p.drop / 2
     cx = x[:, None] + np.array([-h, h, h, -h])
     cy = y[:, None] + np.array([-h, -h, h, h])
-    (a, b, c), (d, e, f), (g, i, k) = transform.rows
+    a, b, c, d, e, f, g, i, k = (column[:, None] for column in matrix.T)
     w = g * cx + i * cy + k
     if (np.sign(w).min(axis=1) != np.sign(w).max(axis=1)).any() or (w == 0).any():
         raise ValueError("a footprint crosses the horizon of its transform")
@@ -101,38 +101,44 @@ def deposits(polygons: np.ndarray, p: Drizzle) -> tuple[np.ndarray, np.ndarray,
     return index[got], y[got], x[got], share[got]
 
 
-def scatter(samples: DataFrame, transforms: dict[int, Projective], parameters: Drizzle, pattern: str | None = None, weights: dict[int, float] | None = None) -> DataFrame:
+def frame_table(spark: SparkSession, transforms: dict[int, Projective]) -> DataFrame:
+    """``(frame_id, matrix)`` with the nine entries of each transform, row by row."""
+    return spark.createDataFrame([(int(f), [v for row in t.rows for v in row]) for f, t in transforms.items()], "frame_id long, matrix array<double>")
+
+
+def scatter(samples: DataFrame, transforms: dict[int, Projective] | DataFrame, parameters: Drizzle, pattern: str | None = None, weights: dict[int, float] | DataFrame | None = None) -> DataFrame:
     """Contributions ``(stack_id, plane, y, x, flux, weight)`` of all usable samples.
 
-    ``transforms`` and ``weights`` hold one small entry per frame.  With a mosaic ``pattern`` the plane is the colour of
-    the sample's own position.  Masked and non-finite samples are left out before any geometry.
+    ``transforms`` and ``weights`` have one entry per frame, as a dict or as a table: ``(frame_id, matrix)`` with nine
+    entries row by row, and ``(frame_id, weight)``; a frame without a weight has 1.  They are joined, so no worker holds
+    those of all frames.  With a mosaic ``pattern`` the plane is the colour of the sample's own position.  Masked and
+    non-finite samples are left out before any geometry.
     """
-    p = parameters
+    p, spark = parameters, samples.sparkSession
     plane = sampled_channel(pattern, F.col("y"), F.col("x")) if pattern else F.col("plane")
+    shapes = transforms if isinstance(transforms, DataFrame) else frame_table(spark, transforms)
+    shapes = shapes.select(F.col("frame_id").alias("_frame"), "matrix", F.lit(1.0).alias("_weight"))
+    if weights is not None:
+        heavy = weights if isinstance(weights, DataFrame) else spark.createDataFrame([(int(f), float(w)) for f, w in weights.items()], "frame_id long, weight double")
+        heavy = heavy.select(F.col("frame_id").alias("_heavy"), F.col("weight").alias("_own"))
+        shapes = shapes.join(heavy, F.col("_frame") == F.col("_heavy"), "left").select("_frame", "matrix", F.coalesce("_own", "_weight").alias("_weight"))
     good = samples.filter(eligible()).select("stack_id", "frame_id", plane.cast("int").alias("plane"), "y", "x", "value")
-    spark = samples.sparkSession
-    held = spark.sparkContext.broadcast((transforms, weights or {}))
+    good = good.join(shapes, F.col("frame_id") == F.col("_frame"), "left")
+    missing = F.raise_error(F.concat(F.lit("no transform for frame "), F.coalesce(F.col("frame_id").cast("string"), F.lit("null")))).cast("double")
+    entries = [F.get("matrix", F.lit(k)).alias(f"_m{k}") for k in range(9)]
+    sent = good.select("stack_id", "plane", "y", "x", "value", F.when(F.coalesce(F.size("matrix"), F.lit(0)) == 9, F.col("_weight")).otherwise(missing).alias("_weight"), *entries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shapes, heavy = held.value
         for batch in batches:
-            stack, frame, plane, y, x, value = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(6))
-            order = np.argsort(frame, kind="stable")
-            for at in np.split(order, np.flatnonzero(np.diff(frame[order])) + 1) if len(order) else ():
-                f = int(frame[at[0]])
-                if f not in shapes:
-                    raise ValueError(f"no transform for frame {f}")
-                w = heavy.get(f, 1.0)
-                for a in range(0, len(at), 8192):
-                    own = at[a : a + 8192]
-                    k, oy, ox, part = deposits(corners(x[own].astype(float), y[own].astype(float), shapes[f], p), p)
-                    own = own[k]
-                    yield pa.RecordBatch.from_arrays(
-                        [*(pa.array(c.astype(np.int32)) for c in (stack[own], plane[own], oy, ox)), pa.array(value[own] * w * part), pa.array(w * part)],
-                        ["stack_id", "plane", "y", "x", "flux", "weight"],
-                    )
-
-    return good.mapInArrow(run, "stack_id int, plane int, y int, x int, flux double, weight double")
+            for first in range(0, batch.num_rows, 8192):
+                stack, plane, y, x, value, w, *matrix = (c.to_numpy(zero_copy_only=False) for c in batch.slice(first, 8192).columns)
+                own, oy, ox, part = deposits(corners(x.astype(float), y.astype(float), np.stack(matrix, axis=1), p), p)
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(c.astype(np.int32)) for c in (stack[own], plane[own], oy, ox)), pa.array(value[own] * w[own] * part), pa.array(w[own] * part)],
+                    ["stack_id", "plane", "y", "x", "flux", "weight"],
+                )
+
+    return sent.mapInArrow(run, "stack_id int, plane int, y int, x int, flux double, weight double")
 
 
 def accumulate(contributions: DataFrame) -> DataFrame:

@@ -86,7 +86,7 @@ def local_normalization(source: DataFrame, reference: DataFrame, width: int, hei
     return localnorm.normalize(source, reference, width, height, grid, surface, protected)
 
 
-def drizzle_output(samples: DataFrame, transforms: dict[int, Projective], parameters: drizzle.Drizzle, pattern: str | None = None, weights: dict[int, float] | None = None) -> DataFrame:
+def drizzle_output(samples: DataFrame, transforms: dict[int, Projective] | DataFrame, parameters: drizzle.Drizzle, pattern: str | None = None, weights: dict[int, float] | DataFrame | None = None) -> DataFrame:
     return drizzle.finish(drizzle.accumulate(drizzle.scatter(samples, transforms, parameters, pattern, weights)), parameters)
 
 

@@ -682,6 +682,12 @@ def demosaic(spark, d):
 DRIZZLE = drizzle.Drizzle(1.0, 0.5, 8, 8)
 
 
+def moved_frames(samples: DataFrame) -> DataFrame:
+    """One transform for each frame, as a plan has, in a table: nothing is collected."""
+    shape = Affine(1, 0, 0.4, 0, 1, 0).homography()
+    return samples.select("frame_id").distinct().withColumn("matrix", F.array(*[F.lit(v) for row in shape.rows for v in row]))
+
+
 @register(
     "drizzle_shift",
     f"""{BASE}, g AS (SELECT stack_id, y, x, value FROM e WHERE {GOOD}), t AS (SELECT stack_id, o.y, o.x, value,
@@ -691,9 +697,7 @@ SELECT stack_id, y::INT AS y, x::INT AS x, round(sum(value * w) / sum(w), 6) AS
 )
 def drizzle_shift(spark, d):
     e = embedding_samples(spark, d)
-    frames = [r[0] for r in e.select("frame_id").distinct().collect()]  # one transform per frame, as a plan has
-    moved = {f: Affine(1, 0, 0.4, 0, 1, 0).homography() for f in frames}
-    out = drizzle.finish(drizzle.accumulate(drizzle.scatter(e, moved, DRIZZLE)), DRIZZLE)
+    out = drizzle.finish(drizzle.accumulate(drizzle.scatter(e, moved_frames(e), DRIZZLE)), DRIZZLE)
     return out.filter("contributions > 0").select("stack_id", "y", "x", F.round("value", 6).alias("value"), F.round("weight", 6).alias("weight"))
 
 
@@ -707,9 +711,7 @@ SELECT stack_id, plane::INT AS plane, y::INT AS y, x::INT AS x, round(sum(value
 def drizzle_mosaic(spark, d):
     """Each colour of a mosaic drizzled to its own plane."""
     e = embedding_samples(spark, d)
-    ids = [r[0] for r in e.select("frame_id").distinct().collect()]  # a plan has one transform for each frame
-    moved = {f: Affine(1, 0, 0.4, 0, 1, 0).homography() for f in ids}
-    out = pipelines.drizzle_output(e, moved, DRIZZLE, "RGGB")
+    out = pipelines.drizzle_output(e, moved_frames(e), DRIZZLE, "RGGB")
     return out.filter("contributions > 0").select("stack_id", "plane", "y", "x", F.round("value", 6).alias("value"), F.round("weight", 6).alias("weight"))
 
 

@@ -276,6 +276,28 @@ def test_demosaic_shuffles_samples_once(spark):
     assert resample.demosaic(frame(spark, np.full((6, 4), 42.5)).filter("y < 0"), "RGGB").count() == 0
 
 
+def test_drizzle_joins_the_transforms(spark, monkeypatch):
+    """Frames with transforms and weights of their own, as dicts and as tables, without a broadcast of all of them to the workers."""
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda *_: pytest.fail("no worker needs all transforms"))
+    p = drizzle.Drizzle(1.5, 0.6, 12, 12)
+    shapes = {f: G.Projective.of(np.array([[1, 0.01 * f, 0.3 * f], [0.02, 1, 0.4], [1e-4 * f, 0, 1]])) for f in range(3)}
+    src = np.arange(30.0).reshape(5, 6)
+    samples = frame(spark, src).unionByName(frame(spark, src + 100, 1)).unionByName(frame(spark, src * 2, 2))
+    weights = {0: 0.5, 2: 3.0}
+    want = {}
+    for f, image_ in ((0, src), (1, src + 100), (2, src * 2)):
+        y, x = (a.ravel().astype(float) for a in np.mgrid[0:5, 0:6])
+        own, oy, ox, part = drizzle.deposits(drizzle.corners(x, y, np.tile(shapes[f].matrix.ravel(), (30, 1)), p), p)
+        for k, v in zip(zip(oy.tolist(), ox.tolist(), strict=True), np.stack([image_.ravel()[own] * part, part], axis=1) * weights.get(f, 1.0), strict=True):
+            want[k] = want.get(k, 0) + v
+    tables = drizzle.frame_table(spark, shapes), spark.createDataFrame(list(weights.items()), "frame_id long, weight double")
+    for t, w in ((shapes, weights), tables, (shapes, tables[1])):
+        got = {(r["y"], r["x"]): (r["flux"], r["weight"]) for r in drizzle.accumulate(drizzle.scatter(samples, t, p, weights=w)).collect()}
+        assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+    with pytest.raises(Exception, match="no transform for frame 2"):
+        drizzle.scatter(samples, tables[0].filter("frame_id < 2"), p).collect()
+
+
 def test_drizzle_conserves_flux(spark):
     src = np.random.default_rng(2).uniform(1, 9, (6, 6))
     p = drizzle.Drizzle(2.0, 0.7, 30, 30)
